@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorloom.llm import mixing, toxicity, urlfilter
+from floorloom.llm import decontaminate, mixing, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words hit in every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.judge(documents, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def held_out(doc_id):
     """Fold 2 of 4 by crc32 of the id as text; an unknown id is in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -45,6 +55,10 @@ def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_url_reputation": op4_url_reputation,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
 }
-ORACLES = {"op4_url_reputation": urlfilter.SQL}
+ORACLES = {
+    "op4_url_reputation": urlfilter.SQL,
+    "op8_decontaminate": decontaminate.SQL,
+}
