@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorloom.llm import decontaminate, mixing, toxicity, urlfilter
+from floorloom.llm import decontaminate, mixing, setsketch, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +52,20 @@ def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document, by the smallest id of the class."""
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_url_reputation": op4_url_reputation,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
+    "op10_setsketch_dedup": op10_setsketch_dedup,
 }
 ORACLES = {
     "op4_url_reputation": urlfilter.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op10_setsketch_dedup": setsketch.SQL,
 }
