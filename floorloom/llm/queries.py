@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorloom.llm import decontaminate, mixing, setsketch, toxicity, urlfilter
+from floorloom.llm import decontaminate, embeddings, mixing, setsketch, suffixes, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that an earlier one has in a string of 50."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.dedup(documents).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector at a cosine of 0.9."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document in a mix of the corpus' own size, sources weighing 5, 2, 1 in turn."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -58,6 +69,8 @@ def op10_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_reputation": op4_url_reputation,
     "op8_decontaminate": op8_decontaminate,
@@ -65,6 +78,7 @@ QUERIES = {
     "op10_setsketch_dedup": op10_setsketch_dedup,
 }
 ORACLES = {
+    "op2_embedding_dedup": embeddings.SQL,
     "op4_url_reputation": urlfilter.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op10_setsketch_dedup": setsketch.SQL,
