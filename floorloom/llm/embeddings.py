@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from floorloom.operators.connectivity import components
 from floorloom.plans.recovery import settled
@@ -99,8 +100,14 @@ def _unit(values: np.ndarray) -> np.ndarray:
     return (values / np.sqrt((values * values).sum(axis=1))[:, None]).astype(np.float32)
 
 
+def _kind(vectors: DataFrame) -> type:
+    of = vectors.schema["embedding"].dataType
+    return np.float32 if isinstance(of, T.ArrayType) and isinstance(of.elementType, T.FloatType) else np.float64
+
+
 def clean(vectors: DataFrame) -> DataFrame:
-    """vec_id, dim and v (doubles as bytes) of the vectors that can link."""
+    """vec_id, dim and v (bytes of the components, as wide as they come) of the vectors that can link."""
+    kind = _kind(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +115,11 @@ def clean(vectors: DataFrame) -> DataFrame:
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if i is None or not v.is_valid or not len(v.values) or v.values.null_count:
                     continue
-                x = np.asarray(v.values, np.float64)
+                x = np.asarray(v.values, kind)
                 s = np.abs(x).max()
                 if np.isfinite(s) and s > 0:
-                    x = x / s if not 1e-100 < s < 1e100 else x
+                    if not 1e-100 < float(s) < 1e100:
+                        x = x / s  # squares neither vanish nor overflow; floats of four bytes never come here
                     ids.append(i), dims.append(len(x)), raw.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "dim", "v"])
 
@@ -130,11 +138,11 @@ def _local(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
             return low
 
 
-def _links(distinct: DataFrame, dim: int, n: int, link: float, margin: float) -> DataFrame:
+def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margin: float) -> DataFrame:
     """Rows (vec_id, n_links, edge) from the tiles of one vector length."""
     spark = distinct.sparkSession
     sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE rows at most
-    x = _unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim))
+    x = _unit(np.frombuffer(b"".join(sample), kind).astype(np.float64).reshape(-1, dim))
     lists = int(np.clip(n // PER_LIST, 1, min(LISTS, max(1, len(x) // 8))))
     shared = spark.sparkContext.broadcast(Index(x, lists))
     reach = float(np.sqrt(max(0.0, 2 - 2 * link)))
@@ -144,7 +152,7 @@ def _links(distinct: DataFrame, dim: int, n: int, link: float, margin: float) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float64).reshape(-1, dim)
+            values = np.frombuffer(b"".join(batch.column("v").to_pylist()), kind).astype(np.float64).reshape(-1, dim)
             home, codes, error, probes = index.encode(_unit(values), margin)
             yield pa.RecordBatch.from_arrays(
                 [*batch.select(["vec_id", "copies", "v"]).columns, pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float64)), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
@@ -184,7 +192,7 @@ def _links(distinct: DataFrame, dim: int, n: int, link: float, margin: float) ->
             right = t if one else t[t["side"] == 1]
             if not len(left) or not len(right):
                 continue
-            x, y = (np.frombuffer(b"".join(s["v"]), np.float64).reshape(-1, dim) for s in (left, right))
+            x, y = (np.frombuffer(b"".join(s["v"]), kind).astype(np.float64).reshape(-1, dim) for s in (left, right))
             codes = np.frombuffer(b"".join(right["codes"]), np.uint8).reshape(len(right), -1)
             p, q = [], []
             for lo in range(0, len(left), 256):
@@ -223,7 +231,7 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, margin: float = MARG
     spark = vectors.sparkSession
     found = spark.createDataFrame([], "vec_id long, n_links long, edge long")
     for r in sorted(sizes):
-        found = found.union(_links(distinct.where(F.col("dim") == r["dim"]).drop("dim"), r["dim"], r["n"], link, margin))
+        found = found.union(_links(distinct.where(F.col("dim") == r["dim"]).drop("dim"), r["dim"], _kind(vectors), r["n"], link, margin))
     found = settled(found)
     counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n"))
     heads = distinct.join(counts, "vec_id", "left").select(F.col("dim").alias("_d"), F.col("v").alias("_v"), F.col("vec_id").alias("head"), F.col("copies"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorloom.llm import decontaminate, embeddings, mixing, setsketch, suffixes, toxicity, urlfilter
+from floorloom.llm import crossentropy, decontaminate, embeddings, mixing, preferences, setsketch, suffixes, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,24 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all pages, written to archives and read back through the merged index."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of all adjacent pairs of conversations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return preferences.segments(turns, preferences.adjacent(turns))
+
+
+def op7_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a model of the documents labelled good and one of all."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return crossentropy.score(documents, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words hit in every document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +91,9 @@ QUERIES = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_reputation": op4_url_reputation,
+    "op5_warc_index": op5_warc_index,
+    "op6_preference_pairs": op6_preference_pairs,
+    "op7_cross_entropy": op7_cross_entropy,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
     "op10_setsketch_dedup": op10_setsketch_dedup,
@@ -80,6 +101,8 @@ QUERIES = {
 ORACLES = {
     "op2_embedding_dedup": embeddings.SQL,
     "op4_url_reputation": urlfilter.SQL,
+    "op5_warc_index": warc.SQL,
+    "op6_preference_pairs": preferences.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op10_setsketch_dedup": setsketch.SQL,
 }

@@ -41,6 +41,7 @@ from floorloom.llm import text
 LENGTH, GRAM = 50, 24
 #: Bytes of text per block and per range; splitter samples.
 BLOCK, LEAST_BLOCKS, SAMPLES = 8 << 20, 48, 1 << 14
+_KEY = "_suffix_block"
 _LAST = np.iinfo(np.int64).max
 
 
@@ -220,7 +221,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
     With ``texts`` the column text is what is left, as UTF-8; characters of which a byte was removed go as a whole.
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    rest = documents.drop(*made, "block")
+    rest = documents.drop(*made, _KEY)
     size = rest.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK))
     start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - GRAM, F.lit(1))).cast("int") + 1
@@ -230,15 +231,14 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
     splitters = np.array([leads[len(leads) * i // ranges] for i in range(1, ranges)], dtype=f"S{GRAM}")
 
     # One shuffle of the texts; the three passes over them read the same exchange.
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    slim = dealt
+    dealt = rest.withColumn(_KEY, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
     def ask_marks(table: pa.Table) -> pa.Table:
         b = Block(table, blocks, length)
         raw = np.ascontiguousarray(b.keys).view(np.uint8).reshape(-1, 8)[:, :5]
         cut = np.searchsorted(b.bucket, np.arange(blocks + 1))
         some = np.flatnonzero(np.diff(cut))
-        return _rows(table.column("block")[0].as_py(), 0, some.tolist(), [raw[cut[k] : cut[k + 1]].tobytes() for k in some])
+        return _rows(table.column(_KEY)[0].as_py(), 0, some.tolist(), [raw[cut[k] : cut[k + 1]].tobytes() for k in some])
 
     def tell_marks(table: pa.Table) -> pa.Table:
         keys = []
@@ -266,7 +266,7 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
         cut = np.searchsorted(where, np.arange(ranges + 1))
         pack = zstandard.ZstdCompressor(level=1)
         some = np.flatnonzero(np.diff(cut))
-        return _rows(table.column("block")[0].as_py(), 2, some.tolist(), [pack.compress(records[cut[k] : cut[k + 1]].tobytes()) for k in some])
+        return _rows(table.column(_KEY)[0].as_py(), 2, some.tolist(), [pack.compress(records[cut[k] : cut[k + 1]].tobytes()) for k in some])
 
     def _sent(b: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Records of a block by range, and their ranges; ``b.sent`` has the groups in that order."""
@@ -335,6 +335,6 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
             columns["text"] = pa.array([k if v else None for k, v in zip(kept, whole.is_valid().to_pylist())], kind)
         return pa.table(columns | {"n_bytes": pa.array(np.diff(b.off)), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array(digests, pa.string())})
 
-    first = slim.groupBy("block").applyInArrow(ask_marks, _MESSAGE).groupBy("bucket").applyInArrow(tell_marks, _MESSAGE)
-    second = slim.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_ranges, _MESSAGE).groupBy("bucket").applyInArrow(tell_ranges, _MESSAGE)
-    return dealt.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(remove, schema)
+    first = dealt.groupBy(_KEY).applyInArrow(ask_marks, _MESSAGE).groupBy("bucket").applyInArrow(tell_marks, _MESSAGE)
+    second = dealt.groupBy(_KEY).cogroup(first.groupBy("block")).applyInArrow(ask_ranges, _MESSAGE).groupBy("bucket").applyInArrow(tell_ranges, _MESSAGE)
+    return dealt.groupBy(_KEY).cogroup(first.union(second).groupBy("block")).applyInArrow(remove, schema)
