@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, which driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``; only where the session names none (a local test) a temporary one is set.
+    It lies in ``spark.checkpoint.dir``; only where the session names none (a local test) a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
