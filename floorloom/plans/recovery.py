@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +24,11 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """``df`` marked for broadcast if it was counted and has at most ``rows`` rows; as it is otherwise, to be shuffled.
+
+    For tables of a few numbers a row, which are settled or cheap to make.
+    """
+    return broadcast(df) if df.count() <= rows else df
