@@ -6,19 +6,19 @@ minima), so registers of unions are maxima of registers and equal registers tell
 
 1. One pass over the texts makes the size, a signature of the set and the registers of every document.  Equal
    signatures are equal sets; only the smallest id of each goes on (summed map-side, whatever the number of copies).
-2. Registers are banded.  In every bucket the smallest id is compared with all others: as many pairs as members.
+2. Registers are banded.  In every bucket one document, the hub, is compared with all others: as many pairs as members.
 3. A pair's registers are compared once more, jointly: from how many are larger, smaller and equal, and the two exact sizes, the
    likelihood of the threshold is held against the best one.  Pairs far less likely than any link go.
 4. The rest is verified on the full sets, made again from the texts of the documents concerned.
-5. Buckets whose members still lie in different components hold pairs that no smallest id has spoken for.  They are
+5. Buckets whose members still lie in different components hold pairs that no hub has spoken for.  They are
    compared pair by pair, in tiles of bounded size, between components only, and pass steps 3 and 4 as well.  No bucket is
    cut short, however large.
 
 Elements are 52-bit hashes of their words; sets are exact up to collisions of these within a pair (about 1e-10 for sets of 500).
-A link of similarity 0.85 is missed by all bands with a probability below 1e-6, and by step 3 below 1e-8.
+A link of similarity 0.85 is missed by all bands with a probability below 1e-5 (0.9: below 1e-7), and by step 3 below 1e-8.
 
 Texts that are null or without words have an empty set and link with nothing.  Fewer than five words are one element.  Rows with
-equal ids count as one document.  Null ids are returned, linked with nothing.  An empty table gives an empty result.
+equal ids count as one document, linked to what one of its rows is.  Null ids are returned, linked with nothing.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 
 from floorloom.llm import text
 from floorloom.operators.connectivity import components
-from floorloom.plans.recovery import settled
+from floorloom.plans.recovery import settled, small
 
 WIDTH = 5
-M, BANDS, ROWS = 140, 28, 5
+M, BANDS, ROWS = 100, 20, 5
 B, A = 1.001, 20.0
 #: 100 * intersection >= LINK * union
 LINK = 85
@@ -177,7 +177,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, link: int) -> DataFrame:
             ok = likely(batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy(), *_counts(a, b), link / 100)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(run, "u long, v long")
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(run, "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) -> DataFrame:
@@ -194,8 +194,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) ->
                     raw = found.astype(np.uint64).tobytes()
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, z - a), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["id", "elements"])
 
-    made = documents.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text").mapInArrow(run, "id long, elements binary")
-    made = made.groupBy("id").agg(F.max("elements").alias("elements"))  # one of the rows with equal ids
+    made = documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").mapInArrow(run, "id long, elements binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,23 +210,25 @@ def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) ->
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
     of = lambda x: made.select(F.col("id").alias(x), F.col("elements").alias("e" + x))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "eu", "ev").mapInArrow(compare, "u long, v long")
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "eu", "ev").mapInArrow(compare, "u long, v long").distinct()
 
 
-def _between(keys: DataFrame, labels: DataFrame, reps: DataFrame, link: int) -> DataFrame:
-    """Plausible pairs of one bucket that lie in different components and don't contain the bucket's smallest id."""
-    placed = keys.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 AND lo <> hi")
-    apart = apart.select("key", "hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: DataFrame, link: int) -> DataFrame:
+    """Plausible pairs of one bucket that lie in different components and don't contain the bucket's hub."""
+    placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 AND lo <> hi")
+    apart = apart.join(hubs, "key").select("key", "hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     rest = placed.join(apart, "key").where("doc_id <> hub")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label")
-    rest = rest.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id").withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4096)))
+    rest = rest.join(involved, "doc_id").withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4096)))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
         for (_, i, j), t in pdf.groupby(["key", "i", "j"], sort=False):
             left, right = t[t["own"] == i], t[t["own"] == j]
+            if i == j and t["label"].nunique() == 1:
+                continue
             regs = [np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(-1, M) for x in (left, right)]
             for k, (doc, label, n) in enumerate(zip(left["doc_id"], left["label"], left["n_shingles"])):
                 see = np.flatnonzero((right["label"].to_numpy() != label) & ((right["doc_id"].to_numpy() > doc) | (i != j)))
@@ -235,7 +236,7 @@ def _between(keys: DataFrame, labels: DataFrame, reps: DataFrame, link: int) ->
                     ok = likely(np.full(len(see), n), right["n_shingles"].to_numpy()[see], *_counts(regs[0][k], regs[1][see]), link / 100)
                     ids = right["doc_id"].to_numpy()[see][ok]
                     out.append(np.column_stack([np.minimum(ids, doc), np.maximum(ids, doc)]))
-        return pd.DataFrame(np.concatenate(out), columns=["u", "v"])
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
     return rest.groupBy("g").applyInPandas(tile, "u long, v long").distinct()
 
@@ -244,16 +245,22 @@ def near_duplicates(documents: DataFrame, link: int = LINK, width: int = WIDTH)
     """doc_id, n_shingles, component_id and kept for every row of ``documents`` (needs doc_id, text)."""
     made = settled(sketch(documents, width))
     full = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
-    copies = full.join(first, ["sig_a", "sig_b"]).where("rep <> doc_id").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    reps = full.groupBy("sig_a", "sig_b").agg(F.min_by(F.struct("n_shingles", "registers", "bands"), "doc_id").alias("x"), F.min("doc_id").alias("doc_id")).select("doc_id", "x.*")
-    reps = reps.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    first = full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = settled(full.select("doc_id", "sig_a", "sig_b").join(first, ["sig_a", "sig_b"]).where("rep <> doc_id").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct())
+    reps = full.join(small(copies.select(F.col("src").alias("doc_id"))), "doc_id", "left_anti")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keys.join(hubs, "key").where("hub <> doc_id").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    linked = settled(_verified(settled(_plausible(pairs, reps, link)), documents, link, width))
-    labels = components(linked, "u", "v")
-    more = settled(_between(keys, labels, reps, link))
+    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = settled(keys.join(crowded, "key"))
+    # The hub of a bucket is its member that meets most others in all buckets: of copies with changes of their own, the common origin.
+    degree = members.groupBy("doc_id").agg(F.sum("n").alias("d"))
+    hubs = members.join(degree, "doc_id").groupBy("key").agg(F.min(F.struct((-F.col("d")).alias("d"), "doc_id")).alias("h")).select("key", F.col("h.doc_id").alias("hub"))
+    hubs = settled(hubs)
+    members = members.select("key", "doc_id")
+    involved = settled(reps.select("doc_id", "n_shingles", "registers").join(small(degree.select("doc_id")), "doc_id", "left_semi"))
+    pairs = members.join(hubs, "key").where("hub <> doc_id").select(F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v")).distinct()
+    linked = settled(_verified(settled(_plausible(pairs, involved, link)), documents, link, width))
+    labels = settled(components(linked, "u", "v"))
+    more = settled(_between(members, hubs, labels, involved, link))
     edges = linked.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(copies)
     if not more.isEmpty():
         edges = edges.union(_verified(more, documents, link, width))
