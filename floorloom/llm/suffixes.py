@@ -225,8 +225,8 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
     size = rest.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK))
     start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - GRAM, F.lit(1))).cast("int") + 1
-    sample = rest.where(F.length("text") >= length).orderBy(F.xxhash64("doc_id", F.lit(3))).limit(SAMPLES)
-    leads = sorted({r[0].encode()[:GRAM] for r in sample.select(F.substring(F.col("text"), start, F.lit(GRAM))).collect()})
+    sample = rest.where(F.length("text") >= length).select(F.substring(F.col("text"), start, F.lit(GRAM)).alias("lead"), F.xxhash64("doc_id", F.lit(3)).alias("h"))
+    leads = sorted({r["lead"].encode()[:GRAM] for r in sample.orderBy("h", "lead").limit(SAMPLES).collect()})
     ranges = max(1, min(blocks, len(leads) // 4))
     splitters = np.array([leads[len(leads) * i // ranges] for i in range(1, ranges)], dtype=f"S{GRAM}")
 
