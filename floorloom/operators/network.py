@@ -35,3 +35,26 @@ def orphans(wanted: DataFrame, known: DataFrame, limit: int = 5) -> DataFrame:
     """First keys (prefix, feature_id, role) that the node map lacks."""
     keys = ["prefix", "feature_id", "role"]
     return wanted.select(*keys).join(known, keys, "left_anti").orderBy(*keys).limit(limit)
+
+
+def sorted_fold(rows: DataFrame, by: list[str], order: list[str], start, step, made: str) -> DataFrame:
+    """Rows with a column that a sequential rule gives them in the order of each group.
+
+    Groups are sorted by Spark, which spills, and streamed through ``step(state, rows)`` batch by batch; a group is never held whole.
+    """
+    name = made.split()[0]
+    sorted_rows = rows.repartition(*by).sortWithinPartitions(*by, *order)
+    schema = ", ".join(f"`{c}` {t}" for c, t in sorted_rows.dtypes) + ", " + made
+
+    def run(batches):
+        key = state = None
+        for pdf in batches:
+            for k, part in pdf.groupby(by, sort=False, dropna=False):
+                k = tuple("" if x is None else x for x in k)
+                if k != key:
+                    key, state = k, start()
+                part = part.copy()
+                part[name] = step(state, part)
+                yield part
+
+    return sorted_rows.mapInPandas(run, schema)

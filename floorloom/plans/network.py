@@ -1 +1,953 @@
+"""Queries with joins, windows, graphs, sets, search and routes."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from floorloom.functions import geometry as G
+from floorloom.functions import texts as X
+from floorloom.operators import connectivity, graph, network, normalise, review, routes, search
+from floorloom.plans.registry import query
+
+_PROFILES = "prof AS (SELECT * FROM (VALUES ('default','elevator'),('default','pathway'),('default','stairs'),('elevator_only','elevator'),('elevator_only','pathway')) AS t(profile, mode))"
+_ARCS = f"{_PROFILES}, arcs AS (SELECT p.profile, f.* FROM v_feature f JOIN prof p USING (mode) WHERE src <> dst)"
+_COMP = f"""{_ARCS}, und AS (SELECT profile, src AS a, dst AS b FROM arcs UNION SELECT profile, dst, src FROM arcs),
+reach AS (SELECT DISTINCT profile, a AS node, a AS seen FROM und UNION SELECT r.profile, r.node, u.b FROM reach r JOIN und u ON u.profile = r.profile AND u.a = r.seen),
+comp AS (SELECT profile, node, min(seen) AS component FROM reach GROUP BY profile, node)"""
+_ANCHOR = """near AS (SELECT unit_id, n.node_id, round(sqrt((u.x-n.x)*(u.x-n.x) + (u.y-n.y)*(u.y-n.y)), 6) AS distance,
+  row_number() OVER (PARTITION BY unit_id ORDER BY round(sqrt((u.x-n.x)*(u.x-n.x) + (u.y-n.y)*(u.y-n.y)), 6), CAST(n.node_id AS VARCHAR)) AS rn FROM v_unit u JOIN v_node n ON n.level_id = u.level_id),
+anchor AS (SELECT u.unit_id, node_id, distance, coalesce(distance <= 10, false) AS eligible, CASE WHEN node_id IS NULL THEN 'no_node_on_level' WHEN distance > 10 THEN 'too_far' ELSE 'ok' END AS reason
+  FROM v_unit u LEFT JOIN near n ON n.unit_id = u.unit_id AND n.rn = 1)"""
+_LIMIT = 10.0
+
+
+def _arcs(v):
+    return graph.by_profile(v.feature.where("src <> dst").withColumn("key", F.col("feature_id")))
+
+
+def _anchors(v):
+    return graph.nearest(v.unit, v.node, _LIMIT)
+
+
+def _labels(v):
+    """profile, unit_id, rid: reachability label (component or the anchor itself) of every eligible unit."""
+    found = graph.profile_components(_arcs(v)).withColumnsRenamed({"profile": "_p", "node": "_n"})
+    units = _anchors(v).where("eligible").select("unit_id", "node_id").crossJoin(F.broadcast(v.spark.createDataFrame([(p,) for p in graph.PROFILES], "profile string")))  # two profiles
+    return units.join(found, (F.col("profile") == F.col("_p")) & (F.col("node_id") == F.col("_n")), "left").select("profile", "unit_id", "node_id", F.coalesce(F.concat(F.lit("c"), "component"), F.concat(F.lit("i"), "node_id")).alias("rid"))
+
+
+_LABELS = f"""{_COMP}, {_ANCHOR}, profs AS (SELECT DISTINCT profile FROM prof),
+lab AS (SELECT p.profile, a.unit_id, a.node_id, coalesce('c' || c.component, 'i' || a.node_id) AS rid FROM anchor a CROSS JOIN profs p LEFT JOIN comp c ON c.profile = p.profile AND c.node = a.node_id WHERE a.eligible)"""
+
+
+@query("p0_facility_overview", """
+SELECT f.name, coalesce(c.category, 'none') AS category, count(*) AS units, count(*) FILTER (accessible) AS accessible
+FROM v_unit u JOIN v_level l USING (level_id) JOIN v_facility f USING (facility_id) LEFT JOIN v_category c ON c.use_type = u.use_type WHERE searchable = 'Y' GROUP BY 1, 2""")
+def _(v):
+    """Searchable units per facility and category."""
+    places = v.level.join(F.broadcast(v.facility), "facility_id").select("level_id", "name")
+    rows = normalise.categorise(v.unit.where("searchable = 'Y'"), v.category, "survey", "2024-01-01").join(F.broadcast(places), "level_id")
+    return rows.groupBy("name", F.coalesce("category", F.lit("none")).alias("category")).agg(F.count(F.lit(1)).alias("units"), F.count_if(F.col("accessible") == 1).alias("accessible"))
+
+
+@query("c1_level_order", "SELECT vertical_order, count(*) AS n FROM v_unit JOIN v_level USING (level_id) GROUP BY 1")
+def _(v):
+    return v.unit.join(F.broadcast(v.level.select("level_id", "vertical_order")), "level_id").groupBy("vertical_order").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("c3_node_map", "SELECT CASE mode WHEN 'pathway' THEN 'PW' ELSE 'TR' END AS prefix, feature_id, 'start' AS role, src AS node FROM v_feature UNION ALL SELECT CASE mode WHEN 'pathway' THEN 'PW' ELSE 'TR' END, feature_id, 'end', dst FROM v_feature")
+def _(v):
+    return network.node_map(v.feature)
+
+
+@query("c3_orphans", "SELECT 'PW' AS prefix, feature_id, 'start' AS role FROM v_feature WHERE mode <> 'pathway' GROUP BY 1, 2, 3 ORDER BY 2 LIMIT 5")
+def _(v):
+    """Keys asked for that the node map lacks, the first five."""
+    wanted = v.feature.select(F.lit("PW").alias("prefix"), "feature_id", F.lit("start").alias("role")).distinct()
+    return network.orphans(wanted, network.node_map(v.feature))
+
+
+@query("c4_level_labels", "SELECT l.level_id, CASE WHEN f.code IS NULL OR f.code = '' OR l.short_name IS NULL THEN '' ELSE trim(f.code) || ' ' || trim(l.short_name) END AS label, vertical_order FROM v_level l LEFT JOIN v_facility f ON f.facility_id = l.facility_id AND f.facility_id <> 3")
+def _(v):
+    """Floor labels, empty where the facility is unknown."""
+    names = v.facility.where("facility_id <> 3").select("facility_id", F.coalesce(F.nullif("code", F.lit("")), "name").alias("_name"))
+    rows = v.level.join(F.broadcast(names), "facility_id", "left")
+    full = F.col("_name").isNotNull() & F.col("short_name").isNotNull()
+    return rows.select("level_id", F.when(full, F.concat_ws(" ", F.trim("_name"), F.trim("short_name"))).otherwise("").alias("label"), "vertical_order")
+
+
+@query("c5_facility_levels", "SELECT f.name, string_agg(short_name, ',' ORDER BY vertical_order, short_name) AS levels, count(*) AS n FROM v_facility f JOIN v_level l USING (facility_id) GROUP BY 1")
+def _(v):
+    nested = v.level.groupBy("facility_id").agg(F.array_sort(F.collect_list(F.struct("vertical_order", "short_name"))).alias("l"))
+    rows = v.facility.join(nested, "facility_id")
+    return rows.select("name", F.array_join(F.transform("l", lambda x: x["short_name"]), ",").alias("levels"), F.size("l").cast("long").alias("n"))
+
+
+@query("c6_proximity_nodes", "SELECT DISTINCT n.node_id FROM v_node n JOIN v_unit u ON u.level_id = n.level_id AND sqrt((u.x-n.x)*(u.x-n.x) + (u.y-n.y)*(u.y-n.y)) <= 5")
+def _(v):
+    """Nodes near a unit of their level, by grid cells."""
+    return graph.within(v.unit, v.node, 5.0).select("node_id")
+
+
+@query("c7_nearest_anchor", f"WITH {_ANCHOR} SELECT * FROM anchor")
+def _(v):
+    """Nearest node of each unit, with its eligibility."""
+    return _anchors(v)
+
+
+@query("c8_transition_nodes", "SELECT DISTINCT src AS node FROM v_feature WHERE mode <> 'pathway' UNION SELECT dst FROM v_feature WHERE mode <> 'pathway'")
+def _(v):
+    rows = v.feature.where("mode <> 'pathway'")
+    return rows.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+@query("c9_parallel_pairing", """
+WITH r AS (SELECT src, mode, feature_id, length_3d, row_number() OVER (PARTITION BY src, mode ORDER BY length_3d, feature_id) AS rn FROM v_feature)
+SELECT a.src, a.rn, a.feature_id AS walk, b.feature_id AS ride FROM r a JOIN r b ON a.src = b.src AND a.rn = b.rn AND a.mode = 'pathway' AND b.mode = 'stairs'""")
+def _(v):
+    """Parallel features paired by position in two sorted lists, the shorter one deciding."""
+    rn = F.row_number().over(W.Window.partitionBy("src", "mode").orderBy("length_3d", "feature_id"))
+    rows = v.feature.withColumn("rn", rn.cast("long"))
+    a = rows.where("mode = 'pathway'").select("src", "rn", F.col("feature_id").alias("walk"))
+    return a.join(rows.where("mode = 'stairs'").select("src", "rn", F.col("feature_id").alias("ride")), ["src", "rn"])
+
+
+@query("c10_reverse_arcs", "SELECT 0 AS unmatched, 2 * count(*) AS arcs FROM v_feature WHERE src <> dst")
+def _(v):
+    """Arcs whose reverse is absent: none."""
+    arcs = graph.both_ways(v.feature)
+    back = arcs.select(F.regexp_replace("key", "_R$", "").alias("f"), F.col("src").alias("d"), F.col("dst").alias("s"), F.col("key").endswith("_R").alias("r"))
+    met = arcs.withColumns({"f": F.regexp_replace("key", "_R$", ""), "r": ~F.col("key").endswith("_R")})
+    lost = met.join(back, (met.f == back.f) & (met.r == back.r) & (met.src == back.s) & (met.dst == back.d), "left_anti")
+    return lost.agg(F.count(F.lit(1)).cast("int").alias("unmatched")).crossJoin(arcs.agg(F.count(F.lit(1)).alias("arcs")))
+
+
+_DIFF = """d AS (SELECT coalesce(o.fid, n.fid) AS fid, CASE WHEN o.fid IS NULL THEN 'added' WHEN n.fid IS NULL THEN 'removed'
+  WHEN o.c_name IS NOT DISTINCT FROM n.c_name AND o.c_mktsegment IS NOT DISTINCT FROM n.c_mktsegment AND o.c_acctbal IS NOT DISTINCT FROM n.c_acctbal THEN 'unchanged' ELSE 'changed' END AS status
+  FROM v_snap_old o FULL JOIN v_snap_new n ON o.fid = n.fid)"""
+
+
+def _diff(v):
+    return review.diff(v.snap_old, v.snap_new, "fid", ["c_name", "c_mktsegment", "c_acctbal"])
+
+
+@query("c11_snapshot_diff", f"WITH {_DIFF} SELECT fid, status FROM d")
+def _(v):
+    return _diff(v)
+
+
+@query("c13_first_pairs", f"""
+WITH RECURSIVE {_LABELS}, same AS (SELECT a.profile, a.unit_id AS o, min(b.unit_id) AS d FROM lab a JOIN lab b ON a.profile = b.profile AND a.rid = b.rid AND a.unit_id < b.unit_id GROUP BY 1, 2),
+other AS (SELECT a.profile, a.unit_id AS o, min(b.unit_id) AS d FROM lab a JOIN lab b ON a.profile = b.profile AND a.rid <> b.rid AND a.unit_id < b.unit_id GROUP BY 1, 2)
+SELECT profile, 'same' AS outcome, o, d FROM same s WHERE o = (SELECT min(o) FROM same t WHERE t.profile = s.profile)
+UNION ALL SELECT profile, 'different', o, d FROM other s WHERE o = (SELECT min(o) FROM other t WHERE t.profile = s.profile)""")
+def _(v):
+    return graph.first_pairs(_labels(v).select("profile", "unit_id", "rid"))
+
+
+@query("c15_contacts", "SELECT s.p_partkey AS fid, string_agg(DISTINCT CAST(o.l_suppkey AS VARCHAR), ',' ORDER BY CAST(o.l_suppkey AS VARCHAR)) AS owners FROM part s JOIN lineitem o ON o.l_partkey = s.p_partkey AND o.l_quantity = s.p_size GROUP BY 1")
+def _(v):
+    """Added ends that lie exactly on known vertices, with their owners."""
+    ends = v.table("part").select(F.col("p_partkey").alias("fid"), F.col("p_partkey").alias("x"), F.col("p_size").cast("double").alias("y"))
+    known = v.table("lineitem").select(F.col("l_partkey").alias("x"), F.col("l_quantity").alias("y"), F.col("l_suppkey").alias("owner")).distinct()
+    owners = F.array_join(F.array_sort(F.collect_set(F.col("owner").cast("string"))), ",")
+    return ends.join(known, ["x", "y"]).groupBy("fid").agg(owners.alias("owners"))
+
+
+@query("c16_exclusions", "SELECT p_partkey AS fid FROM part WHERE p_size > 40 AND p_retailprice > 1000")
+def _(v):
+    """Rows whose diagnostics contain all required reasons."""
+    tests = {"large": F.col("p_size") > 40, "dear": F.col("p_retailprice") > 1000, "odd": F.col("p_partkey") % 2 == 1}
+    rows = review.diagnosed(v.table("part"), tests, "p_partkey")
+    return rows.where(F.size(F.array_except(F.array(F.lit("large"), F.lit("dear")), "reasons")) == 0).select(F.col("p_partkey").alias("fid"))
+
+
+@query("c18_enriched_units", "SELECT unit_id, room_id, short_name, name FROM v_unit JOIN v_level USING (level_id) JOIN v_facility USING (facility_id)")
+def _(v):
+    return v.unit.join(F.broadcast(v.level), "level_id").join(F.broadcast(v.facility.select("facility_id", "name")), "facility_id").select("unit_id", "room_id", "short_name", "name")
+
+
+@query("c19_references", "SELECT facility_id, count(*) AS units FROM v_unit JOIN v_level USING (level_id) GROUP BY 1")
+def _(v):
+    """Units per facility, after levels without a facility and units without a level were found absent."""
+    if not v.level.join(v.facility, "facility_id", "left_anti").isEmpty() or not v.unit.join(v.level, "level_id", "left_anti").isEmpty():
+        raise ValueError("a level or a unit refers to nothing")
+    return v.unit.join(F.broadcast(v.level.select("level_id", "facility_id")), "level_id").groupBy("facility_id").agg(F.count(F.lit(1)).alias("units"))
+
+
+_SEG = """seg AS (SELECT edge_id, i AS pos, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+s AS (SELECT *, sqrt(dx*dx + dy*dy) AS length FROM seg WHERE dx IS NOT NULL),
+h AS (SELECT *, CASE WHEN length >= 0.5 THEN degrees(atan2(dy, dx)) END AS heading FROM s),
+p AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY edge_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM h),
+t AS (SELECT *, ((heading - previous + 180) % 360 + 360) % 360 - 180 AS delta FROM p),
+a AS (SELECT *, CASE WHEN delta IS NULL OR abs(delta) < 15 THEN 'continue' ELSE CASE WHEN abs(delta) <= 45 THEN 'bear' WHEN abs(delta) <= 135 THEN 'turn' ELSE 'u_turn' END || CASE WHEN delta > 0 THEN '_left' ELSE '_right' END END AS act FROM t)"""
+
+
+@query("d3_unit_distances", "SELECT unit_id, round(sqrt(x*x + y*y), 6) AS distance FROM v_unit")
+def _(v):
+    return v.unit.select("unit_id", F.round(G.planar(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0)), 6).alias("distance"))
+
+
+@query("d4_polyline_length", f"WITH {_SEG} SELECT edge_id, round(sum(length), 4) AS length, count(*) AS segments FROM s GROUP BY 1")
+def _(v):
+    """Length of each line, from its array of vertices."""
+    line = F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("z")))
+    rows = v.vertex.groupBy("edge_id").agg(line.alias("g"))
+    return rows.where(F.size("g") > 1).select("edge_id", F.round(G.length(F.reverse("g")), 4).alias("length"), (F.size("g") - 1).cast("long").alias("segments"))
+
+
+@query("d10_bearing", f"WITH {_SEG} SELECT edge_id, pos, round(degrees(atan2(dy, dx)), 6) AS bearing FROM s WHERE dx <> 0 OR dy <> 0")
+def _(v):
+    rows = routes.segments(v.vertex, "edge_id", "i")
+    return rows.where("dx <> 0 OR dy <> 0").select("edge_id", "pos", F.round(G.bearing(F.col("dx"), F.col("dy")), 6).alias("bearing"))
+
+
+@query("d11_turns", f"WITH {_SEG} SELECT act, count(*) AS n FROM a GROUP BY 1")
+def _(v):
+    """Turns by kind; headings carry over short segments (F1, F2)."""
+    return routes.headed(routes.segments(v.vertex, "edge_id", "i"), "edge_id").groupBy("act").agg(F.count(F.lit(1)).alias("n"))
+
+
+_TEXT = """CASE WHEN act = 'continue' THEN 'Continue for ' || amount || '.' WHEN starts_with(act, 'u_turn') THEN 'Turn around, then continue for ' || amount || '.'
+ ELSE upper(substr(split_part(act, '_', 1), 1, 1)) || substr(split_part(act, '_', 1), 2) || ' ' || split_part(act, '_', 2) || ', then continue for ' || amount || '.' END"""
+
+
+@query("d12_walking_text", f"WITH {_SEG}, x AS (SELECT *, CASE WHEN round(length, 6) >= 1 THEN 'about ' || CAST(floor(round(length, 6) + 0.5) AS BIGINT) || ' m' ELSE 'less than 1 m' END AS amount FROM a) SELECT edge_id, pos, {_TEXT} AS instruction FROM x")
+def _(v):
+    rows = routes.headed(routes.segments(v.vertex, "edge_id", "i"), "edge_id")
+    return rows.select("edge_id", "pos", G.walking_text(F.col("act"), F.round("length", 6)).alias("instruction"))
+
+
+@query("d21_cells", "SELECT level_id, floor(x * 100 + 0.5) / 100 AS sx, floor(y * 100 + 0.5) / 100 AS sy, count(*) AS n FROM v_unit GROUP BY 1, 2, 3")
+def _(v):
+    return v.unit.groupBy("level_id", G.snap(F.col("x")).alias("sx"), G.snap(F.col("y")).alias("sy")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d25_segment_keys", "SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM v_feature GROUP BY 1, 2")
+def _(v):
+    return v.feature.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e12_component_sizes", f"WITH RECURSIVE {_COMP}, z AS (SELECT profile, component, count(*) AS n FROM comp GROUP BY 1, 2) SELECT profile, count(*) AS components, max(n) AS largest, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) AS sizes FROM z GROUP BY 1")
+def _(v):
+    """Component counts and sizes in falling order (I8)."""
+    sizes = graph.profile_components(_arcs(v)).groupBy("profile", "component").agg(F.count(F.lit(1)).alias("n"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("n"), asc=False), lambda x: x.cast("string")), ",")
+    return sizes.groupBy("profile").agg(F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"), listed.alias("sizes"))
+
+
+@query("e12_arcs_by_mode", "SELECT mode, 2 * count(*) AS n FROM v_feature WHERE src <> dst GROUP BY 1")
+def _(v):
+    return graph.both_ways(v.feature).groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e10_level_components", """
+WITH RECURSIVE e AS (SELECT n.level_id, f.src AS a, f.dst AS b FROM v_feature f JOIN v_node n ON n.node_id = f.src JOIN v_node m ON m.node_id = f.dst AND m.level_id % 5 = n.level_id % 5 WHERE f.src <> f.dst),
+u AS (SELECT level_id, a, b FROM e UNION SELECT level_id, b, a FROM e), r AS (SELECT DISTINCT level_id, a AS node, a AS seen FROM u UNION SELECT r.level_id, r.node, u.b FROM r JOIN u ON u.level_id = r.level_id AND u.a = r.seen),
+c AS (SELECT level_id, node, min(seen) AS k FROM r GROUP BY 1, 2), z AS (SELECT level_id, k, count(*) AS n FROM c GROUP BY 1, 2)
+SELECT l.level_id, coalesce(sum(n), 0)::BIGINT AS nodes, count(k) AS components, max(n) AS largest FROM v_level l LEFT JOIN z USING (level_id) GROUP BY 1""")
+def _(v):
+    """Connectivity of every level; levels without arcs report 0 and no largest component."""
+    at = lambda n, l: v.node.select(F.col("node_id").alias(n), F.col("level_id").alias(l))
+    edges = v.feature.where("src <> dst").join(at("src", "level_id"), "src").join(at("dst", "_m"), "dst").where("_m % 5 = level_id % 5")
+    found = connectivity.components(edges.select(F.struct("level_id", F.col("src").alias("n")).alias("src"), F.struct("level_id", F.col("dst").alias("n")).alias("dst")))
+    sizes = found.groupBy(F.col("node.level_id").alias("level_id"), F.col("component.n").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    per = sizes.groupBy("level_id").agg(F.sum("n").alias("nodes"), F.count(F.lit(1)).alias("components"), F.max("n").alias("largest"))
+    return v.level.select("level_id").join(per, "level_id", "left").select("level_id", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.coalesce("components", F.lit(0)).alias("components"), "largest")
+
+
+_THREE = {"pathway_only": ("pathway",), "no_stairs": ("elevator", "pathway"), "all": ("elevator", "pathway", "stairs")}
+
+
+@query("e13_bridged", """
+WITH RECURSIVE prof AS (SELECT * FROM (VALUES ('pathway_only','pathway'),('no_stairs','pathway'),('no_stairs','elevator'),('all','pathway'),('all','elevator'),('all','stairs')) AS t(profile, mode)),
+nodes AS (SELECT src AS n FROM v_feature WHERE src <> dst UNION SELECT dst FROM v_feature WHERE src <> dst), profs AS (SELECT DISTINCT profile FROM prof),
+und AS (SELECT p.profile, src AS a, dst AS b FROM v_feature f JOIN prof p USING (mode) UNION SELECT p.profile, dst, src FROM v_feature f JOIN prof p USING (mode)),
+r AS (SELECT profile, n AS node, n AS seen FROM nodes, profs UNION SELECT r.profile, r.node, u.b FROM r JOIN und u ON u.profile = r.profile AND u.a = r.seen),
+k AS (SELECT profile, count(DISTINCT m) AS c FROM (SELECT profile, node, min(seen) AS m FROM r GROUP BY 1, 2) GROUP BY 1)
+SELECT max(c) FILTER (profile = 'pathway_only') AS walking, max(c) FILTER (profile = 'pathway_only') - max(c) FILTER (profile = 'no_stairs') AS by_elevators,
+       max(c) FILTER (profile = 'no_stairs') - max(c) FILTER (profile = 'all') AS by_stairs, max(c) FILTER (profile = 'pathway_only') - max(c) FILTER (profile = 'all') AS by_all FROM k""")
+def _(v):
+    """Components that elevators, stairs and both join (G13's gates); nodes without an allowed arc count alone."""
+    real = v.feature.where("src <> dst")
+    nodes = real.select(F.explode(F.array("src", "dst")).alias("n")).distinct().crossJoin(F.broadcast(v.spark.createDataFrame([(p,) for p in _THREE], "profile string")))  # three profiles
+    loops = nodes.select("profile", F.col("n").alias("src"), F.col("n").alias("dst"))
+    found = graph.profile_components(graph.by_profile(real, _THREE).select("profile", "src", "dst").union(loops))
+    count = found.groupBy("profile").agg(F.count_distinct("component").alias("c"))
+    pick = lambda p: F.max(F.when(F.col("profile") == p, F.col("c")))
+    return count.agg(pick("pathway_only").alias("walking"), (pick("pathway_only") - pick("no_stairs")).alias("by_elevators"), (pick("no_stairs") - pick("all")).alias("by_stairs"), (pick("pathway_only") - pick("all")).alias("by_all"))
+
+
+@query("e15_degree", "SELECT node, count(DISTINCT nbr) AS degree FROM (SELECT src AS node, dst AS nbr FROM v_feature WHERE src <> dst UNION ALL SELECT dst, src FROM v_feature WHERE src <> dst) GROUP BY 1")
+def _(v):
+    return graph.physical_degree(v.feature)
+
+
+@query("e16_ambiguous", "SELECT node, min(n) <> max(n) AS ambiguous FROM (SELECT node, nbr, count(DISTINCT feature_id) AS n FROM (SELECT src AS node, dst AS nbr, feature_id FROM v_feature WHERE src <> dst UNION ALL SELECT dst, src, feature_id FROM v_feature WHERE src <> dst) GROUP BY 1, 2) GROUP BY 1")
+def _(v):
+    return graph.ambiguous_nodes(v.feature)
+
+
+@query("e17_min_parallel", "SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(length_3d) AS length FROM v_feature WHERE src <> dst GROUP BY 1, 2")
+def _(v):
+    return graph.cheapest_pairs(v.feature)
+
+
+_PROTECTED = """prot AS (SELECT 'near_unit' AS category, node_id AS node FROM v_node n WHERE EXISTS (SELECT 1 FROM v_unit u WHERE u.level_id = n.level_id AND sqrt((u.x-n.x)*(u.x-n.x) + (u.y-n.y)*(u.y-n.y)) <= 5)
+UNION SELECT 'transition', src FROM v_feature WHERE mode <> 'pathway' UNION SELECT 'transition', dst FROM v_feature WHERE mode <> 'pathway')"""
+
+
+def _protected(v):
+    near = graph.within(v.unit, v.node, 5.0).select(F.lit("near_unit").alias("category"), F.col("node_id").alias("node"))
+    ends = v.feature.where("mode <> 'pathway'").select(F.lit("transition").alias("category"), F.explode(F.array("src", "dst")).alias("node"))
+    return near.union(ends).distinct()
+
+
+@query("e18_protected", f"WITH {_PROTECTED} SELECT category, count(*) AS n FROM prot GROUP BY 1 UNION ALL SELECT 'any', count(DISTINCT node) FROM prot")
+def _(v):
+    """Protected nodes by category and together (H2)."""
+    rows = _protected(v)
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n")).union(rows.agg(F.count_distinct("node")).select(F.lit("any"), "*"))
+
+
+@query("e19_reachable_pairs", f"WITH RECURSIVE {_LABELS}, z AS (SELECT profile, rid, count(*) AS n FROM lab GROUP BY 1, 2) SELECT profile, sum(n * (n - 1) // 2)::BIGINT AS pairs, sum(n)::BIGINT AS eligible FROM z GROUP BY 1")
+def _(v):
+    """Pairs of units that reach each other, per profile."""
+    sizes = _labels(v).groupBy("profile", "rid").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("profile").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs"), F.sum("n").alias("eligible"))
+
+
+@query("e20_pair_gain", f"""
+WITH RECURSIVE {_LABELS}, j AS (SELECT a.rid AS l, b.rid AS r, count(*) AS n FROM lab a JOIN lab b USING (unit_id) WHERE a.profile = 'elevator_only' AND b.profile = 'default' GROUP BY 1, 2),
+l AS (SELECT sum(n) AS n FROM j GROUP BY l), r AS (SELECT sum(n) AS n FROM j GROUP BY r)
+SELECT (SELECT sum(n * (n - 1) // 2) FROM j)::BIGINT AS shared, ((SELECT sum(n * (n - 1) // 2) FROM r) - (SELECT sum(n * (n - 1) // 2) FROM j))::BIGINT AS gained,
+       ((SELECT sum(n * (n - 1) // 2) FROM l) - (SELECT sum(n * (n - 1) // 2) FROM j))::BIGINT AS lost""")
+def _(v):
+    """Pairs that both partitions connect, that only the right one does and that only the left one does."""
+    rows = _labels(v)
+    side = lambda p, c: rows.where(F.col("profile") == p).select("unit_id", F.col("rid").alias(c))
+    both = side("elevator_only", "l").join(side("default", "r"), "unit_id").groupBy("l", "r").agg(F.count(F.lit(1)).alias("n"))
+    pairs = lambda df: df.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("p"))
+    total = lambda c: both.groupBy(c).agg(F.sum("n").alias("n"))
+    one = pairs(both).select(F.col("p").alias("s")).crossJoin(pairs(total("r")).select(F.col("p").alias("r"))).crossJoin(pairs(total("l")).select(F.col("p").alias("l")))  # one row each
+    return one.select(F.col("s").alias("shared"), (F.col("r") - F.col("s")).alias("gained"), (F.col("l") - F.col("s")).alias("lost"))
+
+
+@query("e27_shared_isolated", f"""
+WITH RECURSIVE {_LABELS} SELECT profile, node_id, count(*) AS n, min(unit_id) AS first, list_sort(list(unit_id))[2] AS second FROM lab WHERE starts_with(rid, 'i') GROUP BY 1, 2 HAVING count(*) >= 2""")
+def _(v):
+    """Isolated anchors that several units share, with their first pair."""
+    rows = _labels(v).where("startswith(rid, 'i')").groupBy("profile", "node_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("unit_id")).alias("u")).where("n >= 2")
+    return rows.select("profile", "node_id", "n", F.get("u", F.lit(0)).alias("first"), F.get("u", F.lit(1)).alias("second"))
+
+
+@query("f3_walk_steps", f"""
+WITH {_SEG}, g AS (SELECT *, sum(CASE WHEN act <> 'continue' THEN 1 ELSE 0 END) OVER (PARTITION BY edge_id ORDER BY pos) AS step FROM a)
+SELECT edge_id, step::BIGINT AS step, arg_min(act, pos) AS act, min(pos) AS start, max(pos) + 1 AS "end", round(sum(length), 4) AS length FROM g GROUP BY 1, 2""")
+def _(v):
+    """Walk steps between turns (K4)."""
+    return routes.walk_steps(routes.segments(v.vertex, "edge_id", "i"), "edge_id").withColumn("length", F.round("length", 4))
+
+
+@query("f4_visits", """
+WITH n AS (SELECT edge_id, i, level_id, CASE WHEN i > 0 AND (level_id <> lag(level_id) OVER w OR y % 10 = 0) THEN 1 ELSE 0 END AS new FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i))
+SELECT edge_id, i, level_id, (sum(new) OVER (PARTITION BY edge_id ORDER BY i))::BIGINT AS visit FROM n""")
+def _(v):
+    """Visits: a new one on another level, or forced; numbered."""
+    return routes.visits(v.vertex, "edge_id", "i", "level_id", F.col("y") % 10 == 0).select("edge_id", "i", "level_id", "visit")
+
+
+@query("f5_heading_reset", """
+WITH s AS (SELECT edge_id, i, level_id, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lag(level_id) OVER w AS before FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+b AS (SELECT *, degrees(atan2(dy, dx)) AS bearing FROM s WHERE dx IS NOT NULL)
+SELECT edge_id, i, round(CASE WHEN level_id = before THEN lag(bearing) OVER (PARTITION BY edge_id ORDER BY i) END, 6) AS previous FROM b""")
+def _(v):
+    """The bearing before, forgotten where the level changes."""
+    w = W.Window.partitionBy("edge_id").orderBy("i")
+    rows = v.vertex.withColumns({"dx": F.lead("x").over(w) - F.col("x"), "dy": F.lead("y").over(w) - F.col("y"), "before": F.lag("level_id").over(w)}).where("dx IS NOT NULL")
+    rows = rows.withColumn("bearing", F.degrees(F.atan2("dy", "dx")))
+    return rows.select("edge_id", "i", F.round(F.when(F.col("level_id") == F.col("before"), F.lag("bearing").over(w)), 6).alias("previous"))
+
+
+@query("f7_spans", """
+WITH n AS (SELECT *, CASE WHEN level_id IS DISTINCT FROM lag(level_id) OVER w THEN 1 ELSE 0 END AS new FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY edge_id ORDER BY i) AS run FROM n)
+SELECT edge_id, level_id, min(i) AS start_segment, max(i) + 1 AS end_segment FROM r GROUP BY edge_id, level_id, run""")
+def _(v):
+    return routes.spans(v.vertex, "edge_id", "i", "level_id").select("edge_id", "level_id", "start_segment", "end_segment")
+
+
+@query("f8_landmark_dedupe")
+def _(v):
+    """First representatives of landmarks within half a metre, per category and level."""
+    rows = v.landmark_raw.withColumn("category", F.substring("description", 1, 3))
+    return graph.greedy_representatives(rows, 0.5).select("category", "level_id", "fid")
+
+
+@query("f10_discontinuity", "SELECT user_id AS feature_id, bool_or(jump) AS discontinuous FROM (SELECT user_id, coalesce(value <> lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS jump FROM events) GROUP BY 1")
+def _(v):
+    """Multipart lines whose stored parts do not meet."""
+    from floorloom.operators import topology
+
+    at = lambda c: F.struct(F.col(c).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    parts = v.vertex.select(F.col("edge_id").alias("feature_id"), F.col("i").alias("part_index"), F.array(at("x"), at("x")).alias("geometry"))
+    return topology.discontinuous(parts)
+
+
+@query("f11_running_length", f"WITH {_SEG} SELECT edge_id, pos, round(sum(length) OVER (PARTITION BY edge_id ORDER BY pos), 4) AS running FROM s")
+def _(v):
+    rows = routes.running(routes.segments(v.vertex, "edge_id", "i"), "edge_id", "pos", "length")
+    return rows.select("edge_id", "pos", F.round("running", 4).alias("running"))
+
+
+@query("f13_display_labels", "SELECT unit_id, CASE WHEN count(*) OVER (PARTITION BY room_id) > 1 THEN room_id || ' (' || unit_id || ')' ELSE room_id END AS label FROM v_unit")
+def _(v):
+    many = review.repeated_identity("room_id")
+    return v.unit.select("unit_id", F.when(many, F.concat("room_id", F.lit(" ("), "unit_id", F.lit(")"))).otherwise(F.col("room_id")).alias("label"))
+
+
+@query("f14_adjacent_visits", "SELECT * FROM (SELECT edge_id, i, lag(level_id) OVER w AS previous, lead(level_id) OVER w AS next, level_id FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)) WHERE previous <> level_id OR next <> level_id")
+def _(v):
+    """Levels before and after a vertex where one differs."""
+    w = W.Window.partitionBy("edge_id").orderBy("i")
+    rows = v.vertex.select("edge_id", "i", F.lag("level_id").over(w).alias("previous"), F.lead("level_id").over(w).alias("next"), "level_id")
+    return rows.where("previous <> level_id OR next <> level_id")
+
+
+@query("g1_components", f"WITH RECURSIVE {_COMP} SELECT profile, node, component FROM comp")
+def _(v):
+    return graph.profile_components(_arcs(v))
+
+
+@query("g2_component_ids", f"""WITH RECURSIVE {_COMP} SELECT profile, component, count(*) AS size, sha256('{{"kind":"component","nodes":[' || string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)) || '],"profile":"' || profile || '"}}') AS component_id FROM comp GROUP BY 1, 2""")
+def _(v):
+    return graph.component_ids(graph.profile_components(_arcs(v)))
+
+
+@query("g3_reachability_ids", f"WITH RECURSIVE {_LABELS} SELECT profile, unit_id, rid, CASE WHEN starts_with(rid, 'c') THEN 'component' ELSE 'isolated' END AS kind FROM lab")
+def _(v):
+    return _labels(v).select("profile", "unit_id", "rid", F.when(F.col("rid").startswith("c"), "component").otherwise("isolated").alias("kind"))
+
+
+_REACH = f"""{_ARCS}, {_ANCHOR}, origin AS (SELECT unit_id, node_id FROM anchor WHERE eligible ORDER BY unit_id LIMIT 1), profs AS (SELECT DISTINCT profile FROM prof),
+far AS (SELECT profile, node_id AS node FROM origin, profs UNION SELECT f.profile, a.dst FROM far f JOIN arcs a ON a.profile = f.profile AND a.src = f.node)"""
+
+
+def _origin(v):
+    """profile, origin, node of the first eligible unit."""
+    first = _anchors(v).where("eligible").orderBy("unit_id").limit(1)
+    return first.crossJoin(F.broadcast(v.spark.createDataFrame([(p,) for p in graph.PROFILES], "profile string"))).select("profile", F.col("unit_id").alias("origin"), F.col("node_id").alias("node"))
+
+
+@query("g4_reachable", f"WITH RECURSIVE {_REACH} SELECT profile, node FROM far")
+def _(v):
+    """Nodes that the first eligible unit's anchor reaches along directed arcs."""
+    return graph.reachable(_arcs(v), _origin(v)).select("profile", "node")
+
+
+_OPTIONS = f"""{_REACH}, opt AS (SELECT p.profile, a.unit_id, CASE WHEN NOT a.eligible THEN 'unavailable' WHEN a.node_id = o.node_id THEN 'same_anchor'
+  WHEN EXISTS (SELECT 1 FROM far f WHERE f.profile = p.profile AND f.node = a.node_id) THEN 'connected' ELSE 'disconnected' END AS state
+  FROM anchor a, origin o, profs p WHERE a.unit_id <> o.unit_id)"""
+
+
+def _options(v):
+    """profile, unit_id, state of every unit but the origin."""
+    seeds = _origin(v)
+    far = graph.reachable(_arcs(v), seeds).select(F.col("profile").alias("_p"), F.col("node").alias("_n"), F.lit(True).alias("far"))
+    every = _anchors(v).crossJoin(F.broadcast(seeds.withColumnRenamed("node", "start")))  # one row a profile
+    rows = every.where("unit_id <> origin").join(far, (F.col("profile") == F.col("_p")) & (F.col("node_id") == F.col("_n")), "left")
+    state = F.when(~F.col("eligible"), "unavailable").when(F.col("node_id") == F.col("start"), "same_anchor").when(F.col("far"), "connected").otherwise("disconnected")
+    return rows.select("profile", "unit_id", state.alias("state"))
+
+
+@query("g5_route_options", f"WITH RECURSIVE {_OPTIONS} SELECT profile, unit_id, state FROM opt")
+def _(v):
+    return _options(v)
+
+
+@query("e21_availability", f"WITH RECURSIVE {_OPTIONS} SELECT profile, count(*) FILTER (state = 'connected') AS connected, count(*) FILTER (state = 'same_anchor') AS same_anchor, count(*) FILTER (state = 'disconnected') AS disconnected, count(*) FILTER (state = 'unavailable') AS unavailable FROM opt GROUP BY 1")
+def _(v):
+    """Destinations by state, zeros included."""
+    return _options(v).groupBy("profile").agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("connected", "same_anchor", "disconnected", "unavailable")))
+
+
+@query("i6_connected_first", f"WITH RECURSIVE {_OPTIONS} SELECT profile, unit_id, row_number() OVER (PARTITION BY profile ORDER BY (state = 'connected') DESC, unit_id) AS place FROM opt")
+def _(v):
+    order = W.Window.partitionBy("profile").orderBy(F.desc(F.col("state") == "connected"), "unit_id")
+    return _options(v).select("profile", "unit_id", F.row_number().over(order).alias("place"))
+
+
+@query("j12_options_complete", "SELECT p.profile, 0 AS missing, 0 AS extra FROM (VALUES ('default'), ('elevator_only')) AS p(profile)")
+def _(v):
+    """Every unit but the origin is answered, and no other."""
+    rows = _options(v)
+    seeds = _origin(v).select("profile", "origin")
+    want = v.unit.select("unit_id").crossJoin(F.broadcast(seeds)).where("unit_id <> origin").select("profile", "unit_id")
+    missing = want.join(rows, ["profile", "unit_id"], "left_anti").groupBy("profile").agg(F.count(F.lit(1)).alias("m"))
+    extra = rows.join(want, ["profile", "unit_id"], "left_anti").groupBy("profile").agg(F.count(F.lit(1)).alias("e"))
+    return seeds.select("profile").join(missing, "profile", "left").join(extra, "profile", "left").select("profile", F.coalesce("m", F.lit(0)).cast("int").alias("missing"), F.coalesce("e", F.lit(0)).cast("int").alias("extra"))
+
+
+@query("e22_coverage", f"""
+WITH RECURSIVE {_ARCS}, {_ANCHOR}, seeds AS (SELECT DISTINCT profile, node_id FROM anchor, (SELECT DISTINCT profile FROM prof) WHERE eligible),
+far AS (SELECT profile, node_id AS origin, node_id AS node FROM seeds UNION SELECT f.profile, f.origin, a.dst FROM far f JOIN arcs a ON a.profile = f.profile AND a.src = f.node),
+c AS (SELECT l.facility_id, a.node_id, count(*) AS n FROM anchor a JOIN v_unit u USING (unit_id) JOIN v_level l USING (level_id) WHERE a.eligible GROUP BY 1, 2)
+SELECT f.profile, o.facility_id AS f_from, d.facility_id AS f_to, sum(CASE WHEN f.origin = f.node THEN 0 ELSE o.n * d.n END)::BIGINT AS connected, sum(CASE WHEN f.origin = f.node THEN o.n * d.n ELSE 0 END)::BIGINT AS same_anchor
+FROM far f JOIN c o ON o.node_id = f.origin JOIN c d ON d.node_id = f.node GROUP BY 1, 2, 3""")
+def _(v):
+    """Connected pairs of units per ordered pair of facilities, counted by anchors."""
+    units = _anchors(v).where("eligible").select("unit_id", "node_id").join(v.unit.select("unit_id", "level_id"), "unit_id").join(F.broadcast(v.level.select("level_id", "facility_id")), "level_id")
+    counts = units.groupBy("facility_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
+    seeds = counts.select("node_id").distinct().crossJoin(F.broadcast(v.spark.createDataFrame([(p,) for p in graph.PROFILES], "profile string"))).select("profile", F.col("node_id").alias("origin"), F.col("node_id").alias("node"))
+    far = graph.reachable(_arcs(v), seeds)
+    rows = far.join(counts.select(F.col("node_id").alias("origin"), F.col("facility_id").alias("f_from"), F.col("n").alias("a")), "origin").join(counts.select(F.col("node_id").alias("node"), F.col("facility_id").alias("f_to"), F.col("n").alias("b")), "node")
+    n, same = F.col("a") * F.col("b"), F.col("origin") == F.col("node")
+    return rows.groupBy("profile", "f_from", "f_to").agg(F.sum(F.when(same, 0).otherwise(n)).alias("connected"), F.sum(F.when(same, n).otherwise(0)).alias("same_anchor"))
+
+
+@query("g6_shortest_cost", f"""
+WITH RECURSIVE {_ARCS}, {_ANCHOR}, origin AS (SELECT unit_id, node_id FROM anchor WHERE eligible ORDER BY unit_id LIMIT 1), profs AS (SELECT DISTINCT profile FROM prof),
+sp(profile, node, cost) USING KEY (profile, node) AS (SELECT profile, node_id, 0.0::DOUBLE FROM origin, profs
+  UNION SELECT s.profile, a.dst, min(s.cost + a.length_3d) FROM sp s JOIN arcs a ON a.profile = s.profile AND a.src = s.node LEFT JOIN recurring.sp r ON r.profile = s.profile AND r.node = a.dst
+  WHERE r.cost IS NULL OR s.cost + a.length_3d < r.cost - 1e-7 GROUP BY s.profile, a.dst)
+SELECT profile, node, round(cost, 4) AS cost FROM sp""")
+def _(v):
+    """Cheapest cost from the first eligible unit's anchor; paths are deterministic."""
+    return graph.shortest(_arcs(v), _origin(v)).select("profile", "node", F.round("cost", 4).alias("cost"))
+
+
+@query("g7_path_validity")
+def _(v):
+    """Whether every arc of each cheapest path is allowed and positive."""
+    arcs = _arcs(v)
+    return graph.path_valid(graph.shortest(arcs, _origin(v)), arcs).select("profile", "node", "valid")
+
+
+@query("g8_route_envelope", f"""
+WITH RECURSIVE {_LABELS}, rq AS (SELECT unit_id AS request, unit_id AS o, (unit_id * 7 + 3) % (SELECT count(*) FROM v_unit) AS d, CASE WHEN unit_id % 11 = 0 THEN 'walk' WHEN unit_id % 2 = 0 THEN 'default' ELSE 'elevator_only' END AS profile FROM v_unit)
+SELECT request, CASE WHEN q.profile = 'walk' THEN 400 WHEN NOT EXISTS (SELECT 1 FROM v_unit u WHERE u.unit_id = q.d) THEN 404 WHEN NOT ao.eligible OR NOT ad.eligible THEN 422 WHEN lo.rid <> ld.rid THEN 409 ELSE 200 END AS status,
+ CASE WHEN q.profile <> 'walk' AND ao.eligible AND ad.eligible AND lo.rid <> ld.rid THEN CASE WHEN q.profile = 'default' THEN 'disconnected' ELSE 'no_elevator_only_route' END END AS code
+FROM rq q LEFT JOIN anchor ao ON ao.unit_id = q.o LEFT JOIN anchor ad ON ad.unit_id = q.d LEFT JOIN lab lo ON lo.profile = q.profile AND lo.unit_id = q.o LEFT JOIN lab ld ON ld.profile = q.profile AND ld.unit_id = q.d""")
+def _(v):
+    """Route requests up to the search: profile, endpoints, eligibility, components."""
+    n = F.broadcast(v.unit.agg(F.count(F.lit(1)).alias("_c")))  # one row
+    asked = v.unit.crossJoin(n).select(F.col("unit_id").alias("request"), F.col("unit_id").alias("o"), ((F.col("unit_id") * 7 + 3) % F.col("_c")).alias("d"), F.when(F.col("unit_id") % 11 == 0, "walk").when(F.col("unit_id") % 2 == 0, "default").otherwise("elevator_only").alias("profile"))
+    at = lambda p: _anchors(v).select(F.col("unit_id").alias(p), F.col("eligible").alias(p + "_ok"))
+    labels = _labels(v)
+    lab = lambda p: labels.select(F.col("profile"), F.col("unit_id").alias(p), F.col("rid").alias(p + "_rid"))
+    rows = asked.join(at("o"), "o", "left").join(at("d"), "d", "left").join(lab("o"), ["profile", "o"], "left").join(lab("d"), ["profile", "d"], "left")
+    apart = F.col("o_rid") != F.col("d_rid")
+    status = F.when(~F.col("profile").isin(*graph.PROFILES), 400).when(F.col("o_ok").isNull() | F.col("d_ok").isNull(), 404).when(~F.col("o_ok") | ~F.col("d_ok"), 422).when(apart, 409).otherwise(200)
+    return rows.select("request", status.alias("status"), F.when(status == 409, F.when(F.col("profile") == "default", "disconnected").otherwise("no_elevator_only_route")).alias("code"))
+
+
+@query("g9_edge_levels", """
+WITH e AS (SELECT feature_id, CASE WHEN mode = 'pathway' THEN [a.level_id] ELSE list_distinct([a.level_id, b.level_id]) END AS ls FROM v_feature f JOIN v_node a ON a.node_id = f.src JOIN v_node b ON b.node_id = f.dst)
+SELECT DISTINCT feature_id, unnest(ls) AS level_id FROM e""")
+def _(v):
+    """Levels that show an edge."""
+    at = lambda n, l: v.node.select(F.col("node_id").alias(n), F.col("level_id").alias(l))
+    rows = v.feature.join(at("src", "a"), "src").join(at("dst", "b"), "dst")
+    ids = F.when(F.col("mode") == "pathway", F.array("a")).otherwise(F.array_distinct(F.array("a", "b")))
+    return rows.select("feature_id", F.explode(F.array_sort(ids)).alias("level_id")).distinct()
+
+
+@query("g10_bidirected", "SELECT CASE mode WHEN 'pathway' THEN 'PW_' ELSE 'TR_' END || feature_id AS key, src, dst, mode FROM v_feature WHERE src <> dst UNION ALL SELECT CASE mode WHEN 'pathway' THEN 'PW_' ELSE 'TR_' END || feature_id || '_R', dst, src, mode FROM v_feature WHERE src <> dst")
+def _(v):
+    """Both arcs of every feature."""
+    return graph.both_ways(v.feature).select("key", "src", "dst", "mode")
+
+
+@query("g11_self_loops", "SELECT feature_id FROM v_feature WHERE src = dst")
+def _(v):
+    return graph.self_loops(v.feature)
+
+
+_LINES = "pts AS (SELECT edge_id, i, round(x, 0) AS x, y % 3 AS y, level_id FROM v_vertex WHERE i < 40)"
+
+
+def _lines(v):
+    """Lines on a coarse grid, so that they share vertices; the first 40 vertices of each are its shape."""
+    p = F.transform(F.array_sort(F.collect_list(F.struct("i", "gx", "gy"))), lambda q: F.struct(q["gx"].alias("x"), q["gy"].alias("y"), F.lit(0.0).alias("z")))
+    rows = v.vertex.where("i < 40").withColumns({"gx": F.round("x", 0), "gy": F.col("y") % 3})
+    return rows.groupBy(F.col("edge_id").alias("feature_id")).agg(p.alias("geometry"), F.lit(0).alias("level_id"), (F.lit(1.0) * F.count(F.lit(1))).alias("length_3d")).where(F.size("geometry") > 1)
+
+
+@query("g14_shared_vertices", f"WITH {_LINES}, ok AS (SELECT edge_id FROM pts GROUP BY 1 HAVING count(*) > 1) SELECT x, y, count(DISTINCT edge_id) AS owners FROM pts JOIN ok USING (edge_id) GROUP BY 1, 2 HAVING count(DISTINCT edge_id) > 1")
+def _(v):
+    """Positions that several lines share (C14)."""
+    from floorloom.operators import topology
+
+    return topology.shared(_lines(v)).select("x", "y", "owners")
+
+
+@query("g14_noded_conservation", f"WITH {_LINES} SELECT edge_id AS feature_id, true AS conserved FROM pts GROUP BY 1 HAVING count(*) > 1")
+def _(v):
+    """Pieces of every line add up to it again."""
+    from floorloom.operators import topology
+
+    lines = _lines(v)
+    return topology.conserved(lines, topology.noded(lines))
+
+
+@query("g18_multipart")
+def _(v):
+    """Parts of each line, dealt out of order, joined again or refused with a reason."""
+    from floorloom.operators import topology
+
+    at = lambda c, d: F.struct((F.col("i") + d).cast("double").alias("x"), F.col("edge_id").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    parts = v.vertex.where("i < 6").select(F.col("edge_id").alias("feature_id"), ((F.col("i") * 5) % 7).cast("int").alias("part_index"), F.lit(1).alias("direction"), F.array(at("i", 0), at("i", 1)).alias("geometry"))
+    out = topology.joined_parts(parts)
+    return out.select("feature_id", "reason", F.size("geometry").alias("points"), F.round(G.length(F.col("geometry")), 6).alias("length"))
+
+
+def _boundary(v):
+    """Nodes at which chains end: protected, ambiguous, or without exactly two neighbours over single features."""
+    simple = v.feature.where("src <> dst")
+    inside = graph.physical_degree(simple).where("degree = 2").join(graph.ambiguous_nodes(simple).where("NOT ambiguous"), "node", "left_semi").select("node")
+    pairs = simple.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = inside.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_anti")
+    nodes = simple.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return nodes.join(inside, "node", "left_anti")
+
+
+_BOUND = """sf AS (SELECT * FROM v_feature WHERE src <> dst), sides AS (SELECT src AS node, dst AS nbr, feature_id FROM sf UNION ALL SELECT dst, src, feature_id FROM sf),
+inside AS (SELECT node FROM sides GROUP BY node HAVING count(*) = 2 AND count(DISTINCT nbr) = 2)"""
+
+
+@query("g19_boundary", f"WITH {_BOUND} SELECT DISTINCT node FROM sides WHERE node NOT IN (SELECT node FROM inside)")
+def _(v):
+    return _boundary(v)
+
+
+@query("g20_chains", f"""
+WITH RECURSIVE {_BOUND}, lk AS (SELECT a.feature_id AS a, b.feature_id AS b FROM sides a JOIN sides b ON a.node = b.node AND a.feature_id <> b.feature_id WHERE a.node IN (SELECT node FROM inside)),
+r AS (SELECT feature_id AS f, feature_id AS seen FROM sf UNION SELECT r.f, lk.b FROM r JOIN lk ON lk.a = r.seen), c AS (SELECT f, min(seen) AS chain FROM r GROUP BY f)
+SELECT chain, count(*) AS segments, round(sum(length_3d), 4) AS length, string_agg(f, ',' ORDER BY f) AS ids FROM c JOIN sf ON sf.feature_id = c.f GROUP BY 1""")
+def _(v):
+    """Chains through plain nodes, merged."""
+    edges = v.feature.where("src <> dst").select("feature_id", F.col("src").alias("a"), F.col("dst").alias("b"), "length_3d")
+    return graph.contracted(edges, _boundary(v)).select("chain", "segments", F.round("length", 4).alias("length"), F.array_join("original_feature_ids", ",").alias("ids"))
+
+
+@query("e14_contraction", f"""
+WITH RECURSIVE {_BOUND}, lk AS (SELECT a.feature_id AS a, b.feature_id AS b FROM sides a JOIN sides b ON a.node = b.node AND a.feature_id <> b.feature_id WHERE a.node IN (SELECT node FROM inside)),
+r AS (SELECT feature_id AS f, feature_id AS seen FROM sf UNION SELECT r.f, lk.b FROM r JOIN lk ON lk.a = r.seen), c AS (SELECT f, min(seen) AS chain FROM r GROUP BY f)
+SELECT (SELECT count(*) FROM sf) AS before, count(DISTINCT chain) AS after, round((SELECT count(*) FROM sf) - count(DISTINCT chain), 4)::DOUBLE / (SELECT count(*) FROM sf) AS ratio FROM c""")
+def _(v):
+    """Edges before and after contraction and the share saved."""
+    edges = v.feature.where("src <> dst").select("feature_id", F.col("src").alias("a"), F.col("dst").alias("b"), "length_3d")
+    found = graph.chains(edges, _boundary(v)).agg(F.count(F.lit(1)).alias("before"), F.count_distinct("chain").alias("after"))
+    return found.select("before", "after", ((F.col("before") - F.col("after")).cast("double") / F.col("before")).alias("ratio"))
+
+
+@query("g24_distance_preservation", "SELECT 0 AS mismatches")
+def _(v):
+    """Cheapest distances between boundary nodes before and after contraction, from the first one: no difference above a centimetre."""
+    plain = v.feature.where("src <> dst")
+    edges = plain.select("feature_id", F.col("src").alias("a"), F.col("dst").alias("b"), "length_3d")
+    bound = _boundary(v)
+    merged = graph.contracted(edges, bound).where(F.size("terminals") == 2)
+    both = lambda df: df.union(df.select("profile", "dst", "src", "key", "length_3d"))
+    before = both(edges.select(F.lit("all").alias("profile"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("feature_id").alias("key"), "length_3d"))
+    after = both(merged.select(F.lit("all").alias("profile"), F.get("terminals", F.lit(0)).alias("src"), F.get("terminals", F.lit(1)).alias("dst"), F.col("chain").alias("key"), F.col("length").alias("length_3d")))
+    seed = bound.orderBy("node").limit(1).select(F.lit("all").alias("profile"), F.col("node").alias("origin"), "node")
+    a, b = graph.shortest(before, seed), graph.shortest(after, seed)
+    met = a.select("node", F.col("cost").alias("x")).join(bound, "node").join(b.select("node", F.col("cost").alias("y")), "node", "left")
+    return met.agg(F.count_if(F.col("y").isNull() | (F.abs(F.col("x") - F.col("y")) > 0.01)).cast("int").alias("mismatches"))
+
+
+@query("g25_isolated_inventory", f"WITH RECURSIVE {_COMP} SELECT p.profile, n.node_id AS node FROM v_node n CROSS JOIN (SELECT DISTINCT profile FROM prof) p LEFT JOIN comp c ON c.profile = p.profile AND c.node = n.node_id WHERE c.node IS NULL")
+def _(v):
+    """Nodes without an arc of the profile (H1)."""
+    nodes = v.node.select(F.col("node_id").alias("node")).crossJoin(F.broadcast(v.spark.createDataFrame([(p,) for p in graph.PROFILES], "profile string")))
+    used = _arcs(v).select("profile", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return nodes.join(used, ["profile", "node"], "left_anti").select("profile", "node")
+
+
+@query("g27_close_vectors", """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) <= 0.03),
+r AS (SELECT DISTINCT u AS node, u AS seen FROM l UNION SELECT r.node, l.v FROM r JOIN l ON l.u = r.seen)
+SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def _(v):
+    """Components of points at most 0.03 apart, by grid cells per label."""
+    rows = v.table("embeddings").select("vec_id", "label", F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    cell = lambda c: F.floor(F.col(c) / 0.03)
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    a = rows.withColumns({"cx": cell("x"), "cy": cell("y")})
+    b = a.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).select(F.col("vec_id").alias("w"), F.col("label").alias("l"), F.col("x").alias("u"), F.col("y").alias("t"), (F.col("cx") + F.col("_i")).alias("gx"), (F.col("cy") + F.col("_j")).alias("gy"))
+    near = a.join(b, (F.col("label") == F.col("l")) & (F.col("cx") == F.col("gx")) & (F.col("cy") == F.col("gy")) & (F.col("vec_id") < F.col("w")) & (F.hypot(F.col("x") - F.col("u"), F.col("y") - F.col("t")) <= 0.03))
+    return connectivity.components(near.select(F.col("vec_id").alias("src"), F.col("w").alias("dst")))
+
+
+@query("g28_farthest", """
+WITH d AS (SELECT u.unit_id, u.level_id = o.level_id AS same_floor, (u.x-o.x)*(u.x-o.x) + (u.y-o.y)*(u.y-o.y) AS d2 FROM v_unit u, (SELECT * FROM v_unit ORDER BY unit_id LIMIT 1) o WHERE u.unit_id <> o.unit_id)
+SELECT same_floor, unit_id FROM (SELECT *, row_number() OVER (PARTITION BY same_floor ORDER BY d2 DESC, unit_id) AS rn FROM d) WHERE rn = 1""")
+def _(v):
+    """Farthest unit from the first one, on its floor and elsewhere; ties to the smaller id."""
+    o = F.broadcast(v.unit.orderBy("unit_id").limit(1).select(F.col("unit_id").alias("o"), F.col("level_id").alias("ol"), F.col("x").alias("ox"), F.col("y").alias("oy")))  # one row
+    d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
+    rows = v.unit.crossJoin(o).where("unit_id <> o").select((F.col("level_id") == F.col("ol")).alias("same_floor"), "unit_id", d2.alias("d2"))
+    return rows.groupBy("same_floor").agg(F.min(F.struct((-F.col("d2")).alias("k"), "unit_id")).alias("b")).select("same_floor", "b.unit_id")
+
+
+@query("h1_new_keys", "SELECT fid FROM v_snap_new WHERE fid NOT IN (SELECT fid FROM v_snap_old)")
+def _(v):
+    return v.snap_new.select("fid").subtract(v.snap_old.select("fid"))
+
+
+@query("h2_shared_keys", "SELECT fid FROM v_snap_old INTERSECT SELECT fid FROM v_snap_new")
+def _(v):
+    return v.snap_old.select("fid").intersect(v.snap_new.select("fid"))
+
+
+@query("h3_schema_changes")
+def _(v):
+    """Columns of two layers that differ in name or type."""
+    return review.schema_changes(v.snap_old, v.snap_new.withColumn("fid", F.col("fid").cast("string")).withColumn("extra", F.lit(1)))
+
+
+@query("h4_counts", f"WITH {_DIFF} SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'unchanged') AS unchanged FROM d")
+def _(v):
+    return _diff(v).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("added", "removed", "changed", "unchanged")))
+
+
+@query("h5_bag_difference", """
+WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O'), b AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'F')
+SELECT side, count(*) AS n FROM (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY 1""")
+def _(v):
+    rows = v.table("lineitem")
+    pick = lambda s: rows.where(F.col("l_linestatus") == s).select("l_partkey", "l_suppkey")
+    return review.bag_difference(pick("O"), pick("F")).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h6_diagnostics", """
+WITH t AS (SELECT o_orderkey, list_sort(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_totalprice > 400000 THEN 'dear' END, CASE WHEN o_custkey % 97 = 0 THEN 'orphan_customer' END, CASE WHEN o_orderpriority LIKE '1%' THEN 'urgent' END], lambda x: x IS NOT NULL)) AS r FROM orders)
+SELECT o_orderkey, array_to_string(r, ',') AS reasons FROM t WHERE len(r) > 0""")
+def _(v):
+    """Rows with the sorted reasons that they fail for."""
+    tests = {"pending": F.col("o_orderstatus") == "P", "dear": F.col("o_totalprice") > 400000, "orphan_customer": F.col("o_custkey") % 97 == 0, "urgent": F.col("o_orderpriority").startswith("1")}
+    return review.diagnosed(v.table("orders"), tests, "o_orderkey").select("o_orderkey", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("h7_line_reasons", """
+SELECT unit_id, CASE unit_id % 5 WHEN 0 THEN 'missing_geometry' WHEN 1 THEN 'degenerate_geometry,nonpositive_geometry_length' WHEN 2 THEN 'discontinuous_multipart' WHEN 3 THEN 'nonpositive_geometry_length' ELSE '' END AS reasons FROM v_unit""")
+def _(v):
+    """What is wrong with lines of several parts."""
+    p = lambda dx: F.struct((F.col("x") + dx).alias("x"), F.col("y").alias("y"), F.lit(0.0).alias("z"))
+    k = F.col("unit_id") % 5
+    parts = F.when(k == 1, F.array(F.array(p(0.0)))).when(k == 2, F.array(F.array(p(0.0), p(1.0)), F.array(p(2.0), p(3.0)))).when(k == 3, F.array(F.array(p(0.0), p(0.0)))).when(k == 4, F.array(F.array(p(0.0), p(1.0)), F.array(p(1.0), p(3.0))))
+    return v.unit.select("unit_id", F.array_join(review.line_reasons(parts), ",").alias("reasons"))
+
+
+@query("h8_readiness", "SELECT count(*) AS diagnostics, CASE WHEN count(*) > 0 THEN 'blocked' ELSE 'ready' END AS readiness FROM v_linework WHERE use_type IS NULL")
+def _(v):
+    return review.readiness(v.linework.where("use_type IS NULL"))
+
+
+@query("h9_changed_ids", f"WITH {_DIFF} SELECT fid FROM d WHERE status = 'changed'")
+def _(v):
+    """Changed keys, by fingerprints that are compared null-safe."""
+    side = lambda df, c: df.select(F.col("fid").alias("fid_" + c), review.fingerprint(["c_name", "c_acctbal"], F.col("c_mktsegment")).alias(c))
+    met = side(v.snap_old, "a").join(side(v.snap_new, "b"), F.col("fid_a") == F.col("fid_b"), "full_outer")
+    return met.where("fid_a IS NOT NULL AND fid_b IS NOT NULL AND NOT (a <=> b)").select(F.col("fid_a").alias("fid"))
+
+
+@query("h10_weight_audit", "SELECT l_orderkey, count(*) AS disagreements FROM lineitem WHERE abs(l_extendedprice - l_quantity * 1000) > 0.05 GROUP BY 1")
+def _(v):
+    rows = v.table("lineitem").where(F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1000) > 0.05)
+    return rows.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("disagreements"))
+
+
+@query("h12_signatures", """
+WITH o AS (SELECT o_custkey, o_orderstatus, o_orderkey FROM orders), a AS (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS k FROM o WHERE o_orderstatus <> 'P' GROUP BY 1), b AS (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS k FROM o GROUP BY 1)
+SELECT b.o_custkey AS request, a.n IS NOT DISTINCT FROM b.n AND a.k IS NOT DISTINCT FROM b.k AS same FROM b LEFT JOIN a USING (o_custkey)""")
+def _(v):
+    """Signatures of two result sets compared by request (C17)."""
+    sign = lambda df: df.groupBy(F.col("o_custkey").alias("request")).agg(F.struct(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("k")).alias("s"))
+    rows = v.table("orders")
+    old = sign(rows.where("o_orderstatus <> 'P'")).withColumnRenamed("s", "old")
+    return sign(rows).join(old, "request", "left").select("request", F.col("s").eqNullSafe(F.col("old")).alias("same"))
+
+
+_REQ = "rq AS (SELECT unit_id AS request, CASE unit_id % 5 WHEN 0 THEN CAST(unit_id AS VARCHAR) WHEN 1 THEN room_id WHEN 2 THEN lower(room_id) WHEN 3 THEN '' ELSE 'nowhere' END AS identifier FROM v_unit)"
+
+
+def _requests(v):
+    k = F.col("unit_id") % 5
+    return v.unit.select(F.col("unit_id").alias("request"), F.when(k == 0, F.col("unit_id").cast("string")).when(k == 1, F.col("room_id")).when(k == 2, F.lower("room_id")).when(k == 3, "").otherwise("nowhere").alias("identifier"))
+
+
+@query("j1_resolve", f"""
+WITH {_REQ}, lb AS (SELECT lower(room_id) AS label, count(*) AS n, min(unit_id) AS u FROM v_unit GROUP BY 1)
+SELECT request, CASE WHEN identifier = '' THEN 400 WHEN e.unit_id IS NOT NULL OR lb.n = 1 THEN 200 WHEN lb.n > 1 THEN 409 ELSE 404 END AS status,
+ CASE WHEN identifier = '' THEN NULL WHEN e.unit_id IS NOT NULL THEN e.unit_id WHEN lb.n = 1 THEN lb.u END AS unit_id, CASE WHEN identifier <> '' AND e.unit_id IS NULL AND lb.n > 1 THEN lb.n ELSE 0 END AS matches
+FROM rq LEFT JOIN v_unit e ON CAST(e.unit_id AS VARCHAR) = identifier LEFT JOIN lb ON lb.label = lower(identifier)""")
+def _(v):
+    """Identifiers to units: exact id, unique label, ambiguous, unknown."""
+    return search.resolve(_requests(v), v.unit)
+
+
+@query("j2_exact_room", "WITH m AS (SELECT unit_id AS message_id, '  ' || lower(room_id) || ' ' AS message FROM v_unit), r AS (SELECT lower(room_id) AS room, min(unit_id) AS u FROM v_unit GROUP BY 1 HAVING count(*) = 1) SELECT message_id, u AS unit_id FROM m LEFT JOIN r ON r.room = trim(message)")
+def _(v):
+    return search.unique_room(v.unit.select(F.col("unit_id").alias("message_id"), F.concat(F.lit("  "), F.lower("room_id"), F.lit(" ")).alias("message")), v.unit)
+
+
+_MESSAGES = ("Directions from R1 to R2", "show a path", "wheelchair access", "how far is it", "closest cafe", "is it open now", "list buildings", "which floor", "landmarks please", "provenance", "R7", "house", "zzz")
+
+
+@query("j3_intent", f"""
+WITH m AS (SELECT event_id, lower(list_extract({list(_MESSAGES)!r}, CAST(event_id % 13 + 1 AS INT))) AS t FROM events)
+SELECT event_id, CASE WHEN regexp_full_match(t, '(wheelchair\\s+|mobility\\s+|accessible\\s+|step-free\\s+)?directions\\s+from\\s+(\\S+)\\s+to\\s+(\\S+)') THEN 'route'
+ WHEN regexp_matches(t, 'route|directions|path|get me to|distance|travel time|how far|how long|accessible|accessibility|wheelchair|mobility|step-free') THEN 'refusal_routing'
+ WHEN regexp_matches(t, 'nearest|closest') THEN 'refusal_nearest' WHEN regexp_matches(t, 'occupancy|open now|opening|elevator status') THEN 'refusal_live' WHEN t = 'r7' THEN 'room_match'
+ WHEN regexp_matches(t, 'facilit|building') THEN 'facility_list' WHEN regexp_matches(t, 'level|floor') THEN 'level_list' WHEN regexp_matches(t, 'landmark|amenit') THEN 'landmark_list'
+ WHEN regexp_matches(t, 'artifact|provenance|limitation') THEN 'provenance' WHEN t = 'house' THEN 'choices' ELSE 'unknown' END AS kind FROM m""")
+def _(v):
+    """Kind of answer to each message; the first rule decides."""
+    text = F.lower(X.collapsed(F.get(F.array(*[F.lit(m) for m in _MESSAGES]), (F.col("event_id") % 13).cast("int"))))
+    rows = v.table("events").select("event_id", text.alias("t"))
+    return rows.select("event_id", search.intent(F.col("t"), F.col("t") == "r7", F.lit(True), F.when(F.col("t") == "house", 2).otherwise(0)).alias("kind"))
+
+
+@query("j3_conversations", """
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'route|directions|path|get me to|distance|travel time|how far|how long|accessible|accessibility|wheelchair|mobility|step-free') THEN 'refusal_routing'
+ WHEN regexp_matches(t, 'nearest|closest') THEN 'refusal_nearest' WHEN regexp_matches(t, 'occupancy|open now|opening|elevator status') THEN 'refusal_live'
+ WHEN regexp_matches(t, 'facilit|building') THEN 'facility_list' WHEN regexp_matches(t, 'level|floor') THEN 'level_list' WHEN regexp_matches(t, 'landmark|amenit') THEN 'landmark_list'
+ WHEN regexp_matches(t, 'artifact|provenance|limitation') THEN 'provenance' ELSE 'unknown' END AS kind FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE text IS NOT NULL)""")
+def _(v):
+    rows = v.table("conversations").where("text IS NOT NULL").select("conv_id", "turn", F.lower(X.collapsed(F.col("text"))).alias("t"))
+    return rows.select("conv_id", "turn", search.intent(F.col("t"), F.lit(False), F.lit(False), F.lit(0)).alias("kind"))
+
+
+@query("j4_literal_top10", "SELECT unit_id, room_id FROM v_unit WHERE contains(lower(room_id), 'r1') OR contains(lower(use_type), 'r1') ORDER BY coalesce(room_id, ''), unit_id LIMIT 10")
+def _(v):
+    """First ten literal matches (I4)."""
+    return search.literal(v.unit, "R1").select("unit_id", "room_id")
+
+
+@query("j5_facility_search", "SELECT facility_id FROM v_facility WHERE contains(lower(name), 'a') AND (contains(lower(name), 'am') OR contains(lower(code), 'am'))")
+def _(v):
+    return search.substring(v.facility, "AM", "name", "code", "facility_id").select("facility_id")
+
+
+@query("j6_floor_rooms", "SELECT unit_id FROM v_unit WHERE level_id = 3 AND contains(lower(room_id || ' ' || use_type), '5 m')")
+def _(v):
+    rows = v.unit.where("level_id = 3").withColumn("_t", F.concat_ws(" ", "room_id", "use_type"))
+    return search.substring(rows, "5 M", "_t").select("unit_id")
+
+
+@query("j7_token_search", "SELECT unit_id FROM v_unit JOIN v_level l USING (level_id) WHERE facility_id = 1 AND (contains(lower(room_id), 'r2') OR contains(lower(use_type), 'r2') OR contains(lower(short_name), 'r2')) AND (contains(lower(room_id), 'mach') OR contains(lower(use_type), 'mach') OR contains(lower(short_name), 'mach'))")
+def _(v):
+    """Every word in some field, within a facility."""
+    rows = v.unit.join(F.broadcast(v.level), "level_id")
+    return search.tokens(rows, "r2 Mach", ("room_id", "use_type", "short_name"), facility_id=1, level_id=None).select("unit_id")
+
+
+@query("j8_resolve_either", f"WITH {_REQ}, nm AS (SELECT DISTINCT unit_id, upper(CAST(unit_id AS VARCHAR)) AS n FROM v_unit UNION SELECT unit_id, upper(room_id) FROM v_unit), o AS (SELECT n, min(unit_id) AS u FROM nm GROUP BY 1 HAVING count(DISTINCT unit_id) = 1) SELECT request, u AS unit_id FROM rq LEFT JOIN o ON o.n = upper(identifier)")
+def _(v):
+    return search.resolve_either(_requests(v), v.unit)
+
+
+@query("j9_overview", "SELECT f.name, count(DISTINCT l.level_id) AS levels, count(u.unit_id) AS units, min(x) AS min_x, max(x) AS max_x, CASE WHEN count(u.unit_id) > 0 THEN 'partial_indoor' ELSE 'overview_only' END AS coverage FROM v_facility f LEFT JOIN v_level l USING (facility_id) LEFT JOIN v_unit u ON u.level_id = l.level_id GROUP BY 1")
+def _(v):
+    """Facilities with levels, bounds and coverage."""
+    per = v.unit.groupBy("level_id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    rows = v.facility.join(v.level.select("facility_id", "level_id"), "facility_id", "left").join(per, "level_id", "left")
+    units = F.coalesce(F.sum("n"), F.lit(0))
+    return rows.groupBy("name").agg(F.count_distinct("level_id").alias("levels"), units.alias("units"), F.min("lo").alias("min_x"), F.max("hi").alias("max_x"), F.when(units > 0, "partial_indoor").otherwise("overview_only").alias("coverage"))
+
+
+@query("j11_evidence", "SELECT unit_id, 'unit' AS layer, 'level_id,room_id' AS fields FROM v_unit WHERE searchable = 'Y'")
+def _(v):
+    fields = F.array_join(F.array_sort(F.array_distinct(F.array(F.lit("room_id"), F.lit("level_id"), F.lit("room_id")))), ",")
+    return v.unit.where("searchable = 'Y'").select("unit_id", F.lit("unit").alias("layer"), fields.alias("fields"))
+
+
+@query("j13_document_references", "SELECT edge_id, 0 AS dangling, count(*) AS refs FROM v_vertex GROUP BY 1")
+def _(v):
+    """References of steps to visits that do not exist: none."""
+    rows = routes.visits(v.vertex, "edge_id", "i", "level_id", F.lit(False))
+    known = rows.select("edge_id", "visit").distinct().withColumn("_ok", F.lit(True))
+    return rows.join(known, ["edge_id", "visit"], "left").groupBy("edge_id").agg(F.count_if(F.col("_ok").isNull()).cast("int").alias("dangling"), F.count(F.lit(1)).alias("refs"))
+
+
+@query("j14_framed", "SELECT level_id, round(min(x) - 0.05 * greatest(max(x) - min(x), max(y) - min(y)), 6) AS min_x, round(max(y) + 0.05 * greatest(max(x) - min(x), max(y) - min(y)), 6) AS max_y FROM v_unit GROUP BY 1")
+def _(v):
+    return search.framed(v.unit, "level_id").select("level_id", F.round("min_x", 6).alias("min_x"), F.round("max_y", 6).alias("max_y"))
+
+
+@query("k2_length_reconciliation", f"WITH {_SEG}, e AS (SELECT edge_id, sum(length) AS g, round(sum(length), 0) AS w FROM s GROUP BY 1) SELECT edge_id, abs(g - w) <= greatest(0.05, 0.005 * w) AS ok FROM e")
+def _(v):
+    per = routes.segments(v.vertex, "edge_id", "i").groupBy("edge_id").agg(F.sum("length").alias("g"))
+    return per.select("edge_id", G.agrees(F.col("g"), F.round("g", 0)).alias("ok"))
+
+
+def _routes(v):
+    """A route per polyline: pathways along its vertices, an elevator where its level changes."""
+    w = W.Window.partitionBy("edge_id").orderBy("i")
+    rows = v.vertex.where("i < 60").withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "l2": F.lead("level_id").over(w)}).where("x2 IS NOT NULL")
+    node = lambda i: F.concat("edge_id", F.lit("/"), i)
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0.0).alias("z"))
+    walk = F.col("level_id") == F.col("l2")
+    edges = rows.select(
+        F.col("edge_id").alias("route"), F.col("i").alias("occurrence"), F.when(walk, "pathway").otherwise("elevator").alias("mode"), F.when(walk, F.col("level_id")).alias("level_id"),
+        F.when(~walk, F.col("level_id")).alias("level_from"), F.when(~walk, F.col("l2")).alias("level_to"), node("i").alias("source"), node(F.col("i") + 1).alias("target"),
+        F.array(point("x", "y"), point("x2", "y2")).alias("geometry"), F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")).alias("length_3d"), node("i").alias("key"),
+    )
+    names = v.spark.createDataFrame([(t, f"Floor {t}", k) for k, t in enumerate(("click", "purchase", "scroll", "signup", "view"))], "level_id string, label string, vertical_order int")
+    order = F.broadcast(names.select(F.col("level_id").alias("_l"), "vertical_order"))  # five floors
+    nodes = v.vertex.where("i < 60").join(order, F.col("level_id") == F.col("_l"), "left").select(node("i").alias("node"), "x", "y", "vertical_order", F.array("level_id").alias("level_ids"))
+    tips = v.vertex.where("i < 60").groupBy("edge_id").agg(F.min(F.struct("i", "level_id")).alias("a"), F.max(F.struct("i", "level_id")).alias("b"))
+    ends = tips.select(F.col("edge_id").alias("route"), F.concat(F.lit("R"), "edge_id").alias("origin_label"), F.col("a.level_id").alias("origin_level"), F.lit("SFU_1").alias("destination_label"), F.col("b.level_id").alias("destination_level"))
+    return edges, ends, names, nodes
+
+
+@query("k1_guidance_documents")
+def _(v):
+    """Status, distance and warnings of a route per polyline (K3, K7)."""
+    docs, _steps = routes.guidance(*_routes(v))
+    return docs.select("route", "status", F.round("distance_m", 4).alias("distance_m"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("k4_guidance_steps")
+def _(v):
+    """Steps of these routes: depart, walks, transitions, arrive (K5, K6)."""
+    _docs, steps = routes.guidance(*_routes(v))
+    return steps.withColumn("distance_m", F.round("distance_m", 4))
+
+
+@query("k8_legacy_steps")
+def _(v):
+    edges, *_rest = _routes(v)
+    return routes.legacy_steps(edges)
+
+
+@query("l1_rate_limit")
+def _(v):
+    """Admission of events under a window per client and kind; refused ones do not count."""
+    from floorloom.streaming.admission import admitted
+
+    rows = v.table("events").select(F.col("user_id").cast("string").alias("client"), F.when(F.col("event_type") == "purchase", "post").otherwise("read").alias("category"), "event_id", "ts")
+    return admitted(rows, window_seconds=86400, limits={"read": 3, "post": 1}).select("event_id", "allowed")
+
+
+@query("l4_access_summary", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def _(v):
+    rows = v.table("events")
+    return rows.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("m2_table_digest")
+def _(v):
+    """Digests of tables, whatever the order of their rows."""
+    from floorloom.operators.lineage import content_digest
+
+    return v.spark.createDataFrame([(t, content_digest(v.table(t))) for t in ("region", "nation", "customer", "supplier")], "layer string, digest string")
+
+
+@query("m6_run_comparison", f"WITH {_DIFF} SELECT count(*) FILTER (status <> 'unchanged') = 0 AS same, count(*) AS keys FROM d")
+def _(v):
+    return _diff(v).agg((F.count_if(F.col("status") != "unchanged") == 0).alias("same"), F.count(F.lit(1)).alias("keys"))
