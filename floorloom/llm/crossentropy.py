@@ -101,7 +101,8 @@ def score(documents: DataFrame, targets: DataFrame) -> DataFrame:
     ``targets`` has the doc_id of target documents.
     """
     spark = documents.sparkSession
-    wanted = targets.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
+    # Targets grow with the corpus: joined by a shuffle at every size, never by broadcast.
+    wanted = targets.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().hint("merge")
     marked = documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
     shared = spark.sparkContext.broadcast(_counted(marked))
 
