@@ -99,6 +99,7 @@ QUERIES = {
     "op10_setsketch_dedup": op10_setsketch_dedup,
 }
 ORACLES = {
+    "op1_suffix_dedup": suffixes.SQL,
     "op2_embedding_dedup": embeddings.SQL,
     "op4_url_reputation": urlfilter.SQL,
     "op5_warc_index": warc.SQL,

@@ -338,3 +338,20 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
     first = dealt.groupBy(_KEY).applyInArrow(ask_marks, _MESSAGE).groupBy("bucket").applyInArrow(tell_marks, _MESSAGE)
     second = dealt.groupBy(_KEY).cogroup(first.groupBy("block")).applyInArrow(ask_ranges, _MESSAGE).groupBy("bucket").applyInArrow(tell_ranges, _MESSAGE)
     return dealt.groupBy(_KEY).cogroup(first.union(second).groupBy("block")).applyInArrow(remove, schema)
+
+
+#: DuckDB: every window of 50 bytes of every document.
+SQL = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 49] AS g FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)),
+f AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g),
+s AS (SELECT doc_id, i FROM w JOIN f USING (g) WHERE m < doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM s),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+p AS (SELECT doc_id, run, min(i) AS a, max(i) + 49 AS z FROM r GROUP BY doc_id, run),
+k AS (SELECT p.doc_id, a, z, hex(b[coalesce(lag(z) OVER (PARTITION BY p.doc_id ORDER BY a), 0) + 1:a - 1]) AS before, b FROM p JOIN d USING (doc_id)),
+c AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans, string_agg(before, '' ORDER BY a) || hex(any_value(b)[max(z) + 1:octet_length(any_value(b))]) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN c.doc_id IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
