@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from floorloom.llm.local import reached
 from floorloom.operators.connectivity import components
 from floorloom.plans.recovery import settled
 
@@ -126,18 +127,6 @@ def clean(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
 
 
-def _local(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id that each of n nodes reaches over edges (a, b)."""
-    low = ids.copy()
-    while True:
-        before = low.copy()
-        m = np.minimum(low[a], low[b])
-        np.minimum.at(low, a, m)
-        np.minimum.at(low, b, m)
-        if (low == before).all():
-            return low
-
-
 def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margin: float) -> DataFrame:
     """Rows (vec_id, n_links, edge) from the tiles of one vector length."""
     spark = distinct.sparkSession
@@ -214,7 +203,7 @@ def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margi
             ids = np.concatenate([left["vec_id"].to_numpy(), right["vec_id"].to_numpy()])
             many = [s["copies"].to_numpy() for s in (left, right)]
             n_links = np.bincount(p, many[1][q], len(ids)) + np.bincount(q + len(left), many[0][p], len(ids))
-            edge = _local(len(ids), p, q + len(left), ids) if not one else np.tile(_local(len(left), p, q, ids[: len(left)]), 2)
+            edge = reached(len(ids), p, q + len(left), ids) if not one else np.tile(reached(len(left), p, q, ids[: len(left)]), 2)
             some = np.flatnonzero(n_links > 0)
             out.append(pd.DataFrame({"vec_id": ids[some], "n_links": n_links[some].astype(np.int64), "edge": edge[some]}))
         return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "n_links": [], "edge": []}).astype("int64")

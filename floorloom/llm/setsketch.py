@@ -11,8 +11,8 @@ minima), so registers of unions are maxima of registers and equal registers tell
    likelihood of the threshold is held against the best one.  Pairs far less likely than any link go.
 4. The rest is verified on the full sets, made again from the texts of the documents concerned.
 5. Buckets whose members still lie in different components hold pairs that no hub has spoken for.  They are
-   compared pair by pair, in tiles of bounded size, between components only, and pass steps 3 and 4 as well.  No bucket is
-   cut short, however large.
+   compared in tiles of bounded size, between components only, by registers as in step 3 and then by the full sets.  No bucket is
+   cut short, however large, and no pairs are written: a tile hands on one edge per document.
 
 Elements are 52-bit hashes of their words; sets are exact up to collisions of these within a pair (about 1e-10 for sets of 500).
 A link of similarity 0.85 is missed by all bands with a probability below 1e-5 (0.9: below 1e-7), and by step 3 below 1e-8.
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorloom.llm import text
+from floorloom.llm.local import reached
 from floorloom.operators.connectivity import components
 from floorloom.plans.recovery import settled, small
 
@@ -180,9 +181,8 @@ def _plausible(pairs: DataFrame, reps: DataFrame, link: int) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(run, "u long, v long").distinct()
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) -> DataFrame:
-    """Pairs (u, v) that are links by their full sets."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+def _elements(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """id, elements (sorted hashes as bytes) of the documents in ``wanted`` (doc_id), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +194,12 @@ def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) ->
                     raw = found.astype(np.uint64).tobytes()
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, z - a), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["id", "elements"])
 
-    made = documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").mapInArrow(run, "id long, elements binary")
+    return documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").mapInArrow(run, "id long, elements binary")
+
+
+def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) -> DataFrame:
+    """Pairs (u, v) that are links by their full sets."""
+    made = _elements(documents, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), width)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,32 +218,92 @@ def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) ->
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "eu", "ev").mapInArrow(compare, "u long, v long").distinct()
 
 
-def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: DataFrame, link: int) -> DataFrame:
-    """Plausible pairs of one bucket that lie in different components and don't contain the bucket's hub."""
+def shared_elements(left: list[np.ndarray], right: list[np.ndarray], block: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets: products of 0/1 matrices over blocks of elements that both sides have."""
+    x, y = (np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (left, right))
+    both = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for side, every in ((left, x), (right, y)):
+        row = np.repeat(np.arange(len(side)), [len(s) for s in side])
+        at = np.minimum(np.searchsorted(both, every), max(0, len(both) - 1))
+        known = both[at] == every if len(both) else np.zeros(len(every), bool)
+        order = np.argsort(at[known], kind="stable")
+        places.append((row[known][order], at[known][order]))
+    for lo in range(0, len(both), block):
+        sides = []
+        for (row, at), n in zip(places, (len(left), len(right))):
+            a, b = np.searchsorted(at, [lo, lo + block])
+            m = np.zeros((n, min(block, len(both) - lo)), np.float32)
+            m[row[a:b], at[a:b] - lo] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: DataFrame, documents: DataFrame, link: int, width: int) -> DataFrame:
+    """Edges (src, dst) from links inside buckets whose members lie in different components after the hubs were compared.
+
+    The members of such buckets that overlap make a clump.  A clump is compared in tiles of at most about TILE by TILE documents, between components only:
+    first by registers, which says which documents need their sets in which tile, then by the sets.  A tile hands on one edge per document.
+    """
     placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 AND lo <> hi")
-    apart = apart.join(hubs, "key").select("key", "hub", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rest = placed.join(apart, "key").where("doc_id <> hub")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label")
-    rest = rest.join(involved, "doc_id").withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(4096)))
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
-        for (_, i, j), t in pdf.groupby(["key", "i", "j"], sort=False):
-            left, right = t[t["own"] == i], t[t["own"] == j]
-            if i == j and t["label"].nunique() == 1:
-                continue
+    apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 AND lo <> hi").select("key")
+    open_ = settled(placed.join(apart, "key"))
+    none = documents.sparkSession.createDataFrame([], "src long, dst long")
+    if open_.isEmpty():
+        return none
+    clumps = components(open_.join(hubs, "key").select(F.col("hub").alias("src"), F.col("doc_id").alias("dst")))
+    rows = open_.select("doc_id", "label").distinct().join(clumps.select(F.col("node").alias("doc_id"), F.col("component").alias("clump")), "doc_id")
+    tiles = rows.groupBy("clump").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    rows = rows.join(tiles, "clump").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("clump", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label")
+    group = F.pmod(F.xxhash64("clump", "i", "j"), F.lit(4096))
+    place = "clump long, i int, j int, own int, doc_id long, label long"
+
+    def sides(t: pd.DataFrame, i: int, j: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        return t[t["own"] == i], t[t["own"] == j]
+
+    def plausible(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pdf.iloc[:0]]
+        for (_, i, j), t in pdf.groupby(["clump", "i", "j"], sort=False):
+            left, right = sides(t, i, j)
             regs = [np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(-1, M) for x in (left, right)]
-            for k, (doc, label, n) in enumerate(zip(left["doc_id"], left["label"], left["n_shingles"])):
-                see = np.flatnonzero((right["label"].to_numpy() != label) & ((right["doc_id"].to_numpy() > doc) | (i != j)))
+            hit = np.zeros(len(right), bool)
+            met = np.zeros(len(left), bool)
+            for k, (label, n) in enumerate(zip(left["label"], left["n_shingles"])):
+                see = np.flatnonzero(right["label"].to_numpy() != label)
                 if len(see):
                     ok = likely(np.full(len(see), n), right["n_shingles"].to_numpy()[see], *_counts(regs[0][k], regs[1][see]), link / 100)
-                    ids = right["doc_id"].to_numpy()[see][ok]
-                    out.append(np.column_stack([np.minimum(ids, doc), np.maximum(ids, doc)]))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
+                    hit[see[ok]] = True
+                    met[k] = ok.any()
+            out += [left[met], right[hit]] if i != j else [left[met]]
+        return pd.concat(out)[["clump", "i", "j", "own", "doc_id", "label"]]
 
-    return rest.groupBy("g").applyInPandas(tile, "u long, v long").distinct()
+    needed = settled(rows.join(involved, "doc_id").withColumn("g", group).groupBy("g").applyInPandas(plausible, place))
+    if needed.isEmpty():
+        return none
+    made = _elements(documents, needed.select("doc_id").distinct(), width)
+
+    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        for (_, i, j), t in pdf.groupby(["clump", "i", "j"], sort=False):
+            left, right = sides(t, i, j)
+            a, b = ([np.frombuffer(e, np.uint64) for e in x["elements"]] for x in (left, right))
+            common = shared_elements(a, b)
+            union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - common
+            apart = left["label"].to_numpy()[:, None] != right["label"].to_numpy()
+            u, v = np.nonzero((100 * common >= link * union) & apart)
+            ids = np.concatenate([left["doc_id"].to_numpy(), right["doc_id"].to_numpy()])
+            low = reached(len(ids), u, v + len(left), ids)
+            some = np.flatnonzero(low != ids)
+            out.append(np.column_stack([ids[some], low[some]]))
+            if len(u):  # the same document may stand on both sides of a tile
+                out.append(np.column_stack([ids[u], low[u]]))
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["src", "dst"])
+
+    ready = needed.join(made, F.col("doc_id") == F.col("id")).withColumn("g", group)
+    return ready.groupBy("g").applyInPandas(exact, "src long, dst long")
 
 
 def near_duplicates(documents: DataFrame, link: int = LINK, width: int = WIDTH) -> DataFrame:
@@ -260,11 +325,8 @@ def near_duplicates(documents: DataFrame, link: int = LINK, width: int = WIDTH)
     pairs = members.join(hubs, "key").where("hub <> doc_id").select(F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v")).distinct()
     linked = settled(_verified(settled(_plausible(pairs, involved, link)), documents, link, width))
     labels = settled(components(linked, "u", "v"))
-    more = settled(_between(members, hubs, labels, involved, link))
-    edges = linked.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(copies)
-    if not more.isEmpty():
-        edges = edges.union(_verified(more, documents, link, width))
-    found = components(edges)
+    more = _between(members, hubs, labels, involved, documents, link, width)
+    found = components(linked.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(copies).union(more))
     out = made.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
