@@ -103,11 +103,12 @@ def checked(edges: DataFrame, levels: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumns({"refusal": refusal, "length_ok": length_ok, "floor_ok": floor_ok, "from_ok": from_ok, "to_ok": to_ok, "measured": measured})
 
 
-def guidance(edges: DataFrame, ends: DataFrame, levels: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def guidance(edges: DataFrame, ends: DataFrame, levels: DataFrame, nodes: DataFrame, internal: str = "INT_") -> tuple[DataFrame, DataFrame]:
     """Documents (route, status, distance_m, warnings) and steps (route, step_id, kind, action, instruction, level_id, visit, distance_m).
 
     ``ends``: route, origin_label, origin_level, destination_label, destination_level.  A refused route has no steps; one whose lengths or floors
-    do not agree is limited: it has steps, but neither turns nor distances.  More than 2000 steps are refused, never cut.
+    do not agree is limited: it has steps, but neither turns nor distances.  More than 2000 steps are refused, never cut.  Labels that begin with
+    ``internal`` are not shown.
     """
     rows = checked(edges, levels, nodes)
     whole = rows.groupBy("route").agg(
@@ -154,7 +155,7 @@ def guidance(edges: DataFrame, ends: DataFrame, levels: DataFrame, nodes: DataFr
     step = lambda b, act, text, level, forced: F.struct(F.lit(b).cast("long").alias("b"), act.alias("action"), text.alias("instruction"), level.alias("level_id"), F.lit(forced).alias("forced"))
     two = F.array(step(0, F.concat(F.lit("take_"), "mode"), leave, F.col("_f"), False), step(1, F.lit("exit_transition"), F.concat(F.lit("Exit the "), "mode", F.lit(" on "), label, F.lit(".")), F.col("_t"), True))
     rides = ride.select("route", F.col("_run").alias("a"), F.explode(two).alias("s")).select("route", "a", "s.b", F.lit("transition").alias("kind"), "s.action", "s.instruction", "s.level_id", F.lit(None).cast("double").alias("distance_m"), "s.forced")
-    room = lambda c: X.room_label(F.col(c), "SFU_")  # noqa: E731  the prefix of internal ids is a fixed value
+    room = lambda c: X.room_label(F.col(c), internal)
     tip = lambda a, kind, act, text, level: ends.join(live, "route").select("route", F.lit(a).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(kind).alias("kind"), F.lit(act).alias("action"), text.alias("instruction"), F.col(level).alias("level_id"), F.lit(None).cast("double").alias("distance_m"), F.lit(False).alias("forced"))
     every = tip(-1, "depart", "start", F.concat(F.lit("Start near "), room("origin_label"), F.lit(".")), "origin_level").unionByName(steps).unionByName(rides)
     every = every.unionByName(tip(1 << 40, "arrive", "arrive", F.concat(F.lit("The mapped route ends near "), room("destination_label"), F.lit(".")), "destination_level"))

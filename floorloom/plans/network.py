@@ -901,7 +901,7 @@ def _routes(v):
     order = F.broadcast(names.select(F.col("level_id").alias("_l"), "vertical_order"))  # five floors
     nodes = v.vertex.where("i < 60").join(order, F.col("level_id") == F.col("_l"), "left").select(node("i").alias("node"), "x", "y", "vertical_order", F.array("level_id").alias("level_ids"))
     tips = v.vertex.where("i < 60").groupBy("edge_id").agg(F.min(F.struct("i", "level_id")).alias("a"), F.max(F.struct("i", "level_id")).alias("b"))
-    ends = tips.select(F.col("edge_id").alias("route"), F.concat(F.lit("R"), "edge_id").alias("origin_label"), F.col("a.level_id").alias("origin_level"), F.lit("SFU_1").alias("destination_label"), F.col("b.level_id").alias("destination_level"))
+    ends = tips.select(F.col("edge_id").alias("route"), F.concat(F.lit("R"), "edge_id").alias("origin_label"), F.col("a.level_id").alias("origin_level"), F.lit("INT_1").alias("destination_label"), F.col("b.level_id").alias("destination_level"))
     return edges, ends, names, nodes
 
 

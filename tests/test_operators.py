@@ -183,7 +183,7 @@ ENDS = "route string, origin_label string, origin_level string, destination_labe
 def guided(spark, edges, levels=(("L1", "A 1", 1), ("L2", "A 2", 2)), nodes=None):
     at = nodes or [("a", 0.0, 0.0, 1, ["L1"]), ("b", 3.0, 4.0, 1, ["L1"]), ("c", 3.0, 4.0, 2, ["L2"])]
     return routes.guidance(
-        spark.createDataFrame(edges, EDGES), spark.createDataFrame([("r", "101", "L1", "SFU_9", edges[-1][3] or edges[-1][5])], ENDS),
+        spark.createDataFrame(edges, EDGES), spark.createDataFrame([("r", "101", "L1", "INT_9", edges[-1][3] or edges[-1][5])], ENDS),
         spark.createDataFrame(list(levels), "level_id string, label string, vertical_order int"), spark.createDataFrame(at, "node string, x double, y double, vertical_order int, level_ids array<string>"),
     )
 
