@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorloom.llm import text
+from floorloom.plans.sampling import sampled
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text per block and per range; splitter samples.
@@ -222,11 +223,12 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
     """
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     rest = documents.drop(*made, _KEY)
-    size = rest.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    size, n = rest.agg(F.sum(F.octet_length("text")), F.count_if(F.length("text") >= length)).first()
+    size = size or 0
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK))
     start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - GRAM, F.lit(1))).cast("int") + 1
-    sample = rest.where(F.length("text") >= length).select(F.substring(F.col("text"), start, F.lit(GRAM)).alias("lead"), F.xxhash64("doc_id", F.lit(3)).alias("h"))
-    leads = sorted({r["lead"].encode()[:GRAM] for r in sample.orderBy("h", "lead").limit(SAMPLES).collect()})
+    sample = rest.where(F.length("text") >= length).select("doc_id", F.substring(F.col("text"), start, F.lit(GRAM)).alias("lead"))
+    leads = sorted({r["lead"].encode()[:GRAM] for r in sampled(sample, SAMPLES, n, "doc_id", also=("lead",)).collect()})
     ranges = max(1, min(blocks, len(leads) // 4))
     splitters = np.array([leads[len(leads) * i // ranges] for i in range(1, ranges)], dtype=f"S{GRAM}")
 
