@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from floorloom.llm.local import reached
 from floorloom.operators.connectivity import components
 from floorloom.plans.recovery import settled
+from floorloom.plans.sampling import sampled
 
 LINK = 0.9
 SAMPLE, LISTS, PER_LIST = 16384, 1024, 1024
@@ -130,7 +131,7 @@ def clean(vectors: DataFrame) -> DataFrame:
 def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margin: float) -> DataFrame:
     """Rows (vec_id, n_links, edge) from the tiles of one vector length."""
     spark = distinct.sparkSession
-    sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # SAMPLE rows at most
+    sample = sampled(distinct, SAMPLE, n, "vec_id").select("v").toPandas()["v"]  # SAMPLE rows at most
     x = _unit(np.frombuffer(b"".join(sample), kind).astype(np.float64).reshape(-1, dim))
     lists = int(np.clip(n // PER_LIST, 1, min(LISTS, max(1, len(x) // 8))))
     shared = spark.sparkContext.broadcast(Index(x, lists))

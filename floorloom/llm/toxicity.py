@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorloom.llm import text
+from floorloom.plans.sampling import sampled
 
 BITS = 20
 MAX_ROWS = 16384
@@ -71,11 +72,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha:
 
 def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights learnt from (doc_id, toxic) rows of ``labels``; at most ``max_rows`` of them, chosen by hash."""
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-        .groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
+    chosen = sampled(known, max_rows, known.count(), "doc_id")
     # max_rows rows of 16 bytes: a proven bound, so the sample may be broadcast.
     sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", F.lit(1).alias("one"))
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorloom.plans.recovery import shared_folder
+from floorloom.plans.sampling import sampled
 
 REVISIT = 1000
 EPOCH = 1704067200
@@ -205,7 +206,7 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     n = pages.count()
-    sample = pages.select("page_id", "url").orderBy(F.xxhash64("page_id", "url")).limit(SAMPLES).collect()
+    sample = sampled(pages.select("page_id", "url"), SAMPLES, n, "page_id", "url").collect()
     iso = lambda i: str(np.datetime64(EPOCH + (i or 0), "s")) + "Z"
     keys = sorted({(url_key(_encoded(r["url"])), iso(r["page_id"]), -1 if r["page_id"] is None else r["page_id"], "") for r in sample})
     ranges = max(1, min(-(-n // RANGE), len(keys) // 4), min(16, len(keys) // 4))
