@@ -106,6 +106,12 @@ def arcs(spark):
     return graph.by_profile(spark.createDataFrame(ARCS, "level string, src string, dst string, key string, mode string, length_3d double"))
 
 
+@pytest.mark.parametrize("local", [0, 100])
+def test_profile_components(spark, local):
+    found = {(r["profile"], r["node"]): r["component"] for r in graph.profile_components(arcs(spark), local).collect()}
+    assert found == {("default", n): "A" for n in "ABCS"} | {("elevator_only", n): "A" for n in "ABC"}
+
+
 def test_reachability_is_directed(spark):
     seeds = spark.createDataFrame([(p, n, n) for p in graph.PROFILES for n in "ABC"], "profile string, origin string, node string")
     far = {(r["profile"], r["origin"], r["node"]) for r in graph.reachable(arcs(spark), seeds).collect()}
