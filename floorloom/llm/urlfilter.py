@@ -2,14 +2,15 @@
 
 A page outcome is bad or not.  Counts of labelled outcomes are summed per host, registered domain and public
 suffix.  At each level the beta-binomial prior strength is estimated from all groups of that level (analysis
-of variance, method of moments), and every posterior mean serves as prior mean one level down: suffix
+of variance, method of moments; from 1 to 999 pseudo-observations, 2 where it cannot be estimated), and every posterior mean serves as prior mean one level down: suffix
 under the global rate, domain under its suffix, host under its domain.  A page is blocked when the lower bound of
 its host's posterior, ``mean - z * sd``, reaches ``threshold``; hosts without labels inherit their domain's
 posterior.  Everything is DataFrame code; hot hosts are summed map-side, and the join that hands the verdict
 back carries a few numbers per host, which adaptive execution splits when one host dominates.
 
 A null URL or one without ``://`` has an empty host and path and forms a group of its own.  Null labels are
-no outcomes.  Without labels every rate is the prior's 1/2 and the bound stays below any sensible threshold.
+no outcomes.  Without labels every rate is 1/2 with the spread of a uniform prior, and the bound stays below
+the threshold.
 Ties and repeated rows are counted as they stand.  Input columns are carried along, those with the names of
 results are replaced.
 """
@@ -67,8 +68,8 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
     within = (b - kk) / (t - m)
     size = (t - nn / t) / (m - 1)
     rho = (between - within) / (between + (size - 1) * within)
-    rho = F.when((m < 2) | (t <= m) | (between + (size - 1) * within <= 0), 0.01).otherwise(rho)
-    rho = F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.999))
+    rho = F.when((m < 2) | (t <= m) | (between + (size - 1) * within <= 0), 1.0 / 3).otherwise(rho)
+    rho = F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.5))
     return s.select(((1 - rho) / rho).alias(name))
 
 
@@ -139,7 +140,7 @@ s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
 lv AS (SELECT 'h' AS l, n, k FROM o UNION ALL SELECT 'd', n, k FROM d UNION ALL SELECT 's', n, k FROM s),
 v AS (SELECT l, count(*)::DOUBLE AS m, sum(n) AS t, sum(k) AS b, sum(k * k / n) AS kk, sum(n * n) AS nn FROM lv GROUP BY l),
 w AS (SELECT l, m, t, (kk - b * b / t) / (m - 1) AS bt, (b - kk) / (t - m) AS wi, (t - nn / t) / (m - 1) AS sz FROM v),
-r AS (SELECT l, least(greatest(CASE WHEN m < 2 OR t <= m OR bt + (sz - 1) * wi <= 0 THEN 0.01 ELSE (bt - wi) / (bt + (sz - 1) * wi) END, 0.001), 0.999) AS rho FROM w),
+r AS (SELECT l, least(greatest(CASE WHEN m < 2 OR t <= m OR bt + (sz - 1) * wi <= 0 THEN 1.0::DOUBLE / 3 ELSE (bt - wi) / (bt + (sz - 1) * wi) END, 0.001), 0.5) AS rho FROM w),
 c AS (SELECT max(CASE WHEN l = 'h' THEN (1 - rho) / rho END) AS ch, max(CASE WHEN l = 'd' THEN (1 - rho) / rho END) AS cd,
              max(CASE WHEN l = 's' THEN (1 - rho) / rho END) AS cs FROM r),
 z AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p0 FROM s),

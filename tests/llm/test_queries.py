@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from floorloom.llm import decontaminate, mixing, queries, setsketch, suffixes, toxicity
+from floorloom.llm import queries, toxicity
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_setsketch import brute as classes
 from tests.llm.test_suffixes import brute as cuts
@@ -53,4 +53,3 @@ def test_run_writes_every_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "taken", "target"} <= set(out.columns)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and out.where(F.col("taken") > 3 * F.col("size")).count() == 0
-    assert (decontaminate, mixing, setsketch, suffixes)

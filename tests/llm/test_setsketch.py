@@ -85,8 +85,6 @@ def test_registers_estimate_similarity():
 
 def test_likelihood_keeps_links():
     n = np.array([1000.0])
-    count = lambda j: [np.array([x]) for x in (round(100 * (0.5 - j / (1 + j))), round(100 * (0.5 - j / (1 + j))), 100 - 2 * round(100 * (0.5 - j / (1 + j))))]
     assert setsketch.likely(n, n, np.array([8]), np.array([8]), np.array([84]))[0]
     assert not setsketch.likely(n, n, np.array([45]), np.array([45]), np.array([10]))[0]
     assert not setsketch.likely(n, n * 2, np.array([5]), np.array([5]), np.array([90]))[0]  # sizes alone forbid it
-    del count
