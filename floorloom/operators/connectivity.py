@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from floorloom.plans.recovery import settled
 
+#: Edges per task.
+ROWS = 1 << 17
+
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component`` for every node of an edge; the component is its smallest node.
@@ -19,15 +22,18 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = pairs.where("u = v").select(F.col("u").alias("node"))
     held = settled(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    mark = held.count()
     while True:
+        # Edges are few bytes: few of them need few tasks, whatever the session's number of shuffle partitions.
+        n = max(1, -(-(mark if isinstance(mark, int) else mark[0]) // ROWS))
+        held = held.coalesce(n)
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        wide = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = wide.groupBy("u").agg(F.min("v").alias("m"))
+        wide = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(n).distinct().coalesce(n)
+        least = wide.groupBy("u").agg(F.min("v").alias("m")).coalesce(n)
         met = wide.join(least, "u")
-        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        held = settled(small)
+        small = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).coalesce(n).distinct()
+        held = settled(small.coalesce(n))
         # The sum of a hash of all edges; it repeats once the edges do.
         now = held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
         if now == mark:

@@ -20,10 +20,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there."""
+def settled(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read from there.
+
+    With ``rows`` the result is counted and read in partitions of about so many rows, so that what follows a few rows in many partitions does
+    not start as many tasks, each with files of its own.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    return kept if rows is None else kept.coalesce(max(1, -(-kept.count() // rows)))
 
 
 def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
