@@ -45,6 +45,8 @@ LINK = 85
 #: Log-likelihood by which the threshold may fall short of the best similarity; 18 is six standard deviations.
 SLACK = 18.0
 TILE = 256
+#: Rows of a few numbers each that one task reads of a settled table.
+FEW = 1 << 17
 _BITS = 52
 _ROWS = 1 << (64 - _BITS)
 
@@ -249,7 +251,7 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
     """
     placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
     apart = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("n > 2 AND lo <> hi").select("key")
-    open_ = settled(placed.join(apart, "key"))
+    open_ = settled(placed.join(apart, "key"), FEW)
     none = documents.sparkSession.createDataFrame([], "src long, dst long")
     if open_.isEmpty():
         return none
@@ -280,7 +282,7 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
             out += [left[met], right[hit]] if i != j else [left[met]]
         return pd.concat(out)[["clump", "i", "j", "own", "doc_id", "label"]]
 
-    needed = settled(rows.join(involved, "doc_id").withColumn("g", group).groupBy("g").applyInPandas(plausible, place))
+    needed = settled(rows.join(involved, "doc_id").withColumn("g", group).groupBy("g").applyInPandas(plausible, place), FEW)
     if needed.isEmpty():
         return none
     made = _elements(documents, needed.select("doc_id").distinct(), width)
@@ -311,20 +313,20 @@ def near_duplicates(documents: DataFrame, link: int = LINK, width: int = WIDTH)
     made = settled(sketch(documents, width))
     full = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = settled(full.select("doc_id", "sig_a", "sig_b").join(first, ["sig_a", "sig_b"]).where("rep <> doc_id").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct())
+    copies = settled(full.select("doc_id", "sig_a", "sig_b").join(first, ["sig_a", "sig_b"]).where("rep <> doc_id").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct(), FEW)
     reps = full.join(small(copies.select(F.col("src").alias("doc_id"))), "doc_id", "left_anti")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settled(keys.join(crowded, "key"))
+    members = settled(keys.join(crowded, "key"), FEW)
     # The hub of a bucket is its member that meets most others in all buckets: of copies with changes of their own, the common origin.
     degree = members.groupBy("doc_id").agg(F.sum("n").alias("d"))
     hubs = members.join(degree, "doc_id").groupBy("key").agg(F.min(F.struct((-F.col("d")).alias("d"), "doc_id")).alias("h")).select("key", F.col("h.doc_id").alias("hub"))
-    hubs = settled(hubs)
+    hubs = settled(hubs, FEW)
     members = members.select("key", "doc_id")
-    involved = settled(reps.select("doc_id", "n_shingles", "registers").join(small(degree.select("doc_id")), "doc_id", "left_semi"))
+    involved = settled(reps.select("doc_id", "n_shingles", "registers").join(small(degree.select("doc_id")), "doc_id", "left_semi"), FEW // 8)
     pairs = members.join(hubs, "key").where("hub <> doc_id").select(F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v")).distinct()
-    linked = settled(_verified(settled(_plausible(pairs, involved, link)), documents, link, width))
-    labels = settled(components(linked, "u", "v"))
+    linked = settled(_verified(settled(_plausible(pairs, involved, link), FEW), documents, link, width), FEW)
+    labels = settled(components(linked, "u", "v"), FEW)
     more = _between(members, hubs, labels, involved, documents, link, width)
     found = components(linked.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(copies).union(more))
     out = made.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
