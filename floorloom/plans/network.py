@@ -564,13 +564,13 @@ def _(v):
     return graph.self_loops(v.feature)
 
 
-_LINES = "pts AS (SELECT edge_id, i, round(x, 0) AS x, y % 3 AS y, level_id FROM v_vertex WHERE i < 40)"
+_LINES = "pts AS (SELECT edge_id, i, round(x, 0) AS x, y % 3 AS y, level_id FROM v_vertex)"
 
 
 def _lines(v):
-    """Lines on a coarse grid, so that they share vertices; the first 40 vertices of each are its shape."""
+    """Lines on a coarse grid, so that they share vertices."""
     p = F.transform(F.array_sort(F.collect_list(F.struct("i", "gx", "gy"))), lambda q: F.struct(q["gx"].alias("x"), q["gy"].alias("y"), F.lit(0.0).alias("z")))
-    rows = v.vertex.where("i < 40").withColumns({"gx": F.round("x", 0), "gy": F.col("y") % 3})
+    rows = v.vertex.withColumns({"gx": F.round("x", 0), "gy": F.col("y") % 3})
     return rows.groupBy(F.col("edge_id").alias("feature_id")).agg(p.alias("geometry"), F.lit(0).alias("level_id"), (F.lit(1.0) * F.count(F.lit(1))).alias("length_3d")).where(F.size("geometry") > 1)
 
 
@@ -597,7 +597,7 @@ def _(v):
     from floorloom.operators import topology
 
     at = lambda c, d: F.struct((F.col("i") + d).cast("double").alias("x"), F.col("edge_id").cast("double").alias("y"), F.lit(0.0).alias("z"))
-    parts = v.vertex.where("i < 6").select(F.col("edge_id").alias("feature_id"), ((F.col("i") * 5) % 7).cast("int").alias("part_index"), F.lit(1).alias("direction"), F.array(at("i", 0), at("i", 1)).alias("geometry"))
+    parts = v.vertex.select(F.col("edge_id").alias("feature_id"), F.col("i").bitwiseXOR(F.lit(1)).cast("int").alias("part_index"), F.lit(1).alias("direction"), F.array(at("i", 0), at("i", 1)).alias("geometry"))
     out = topology.joined_parts(parts)
     return out.select("feature_id", "reason", F.size("geometry").alias("points"), F.round(G.length(F.col("geometry")), 6).alias("length"))
 
@@ -888,7 +888,7 @@ def _(v):
 def _routes(v):
     """A route per polyline: pathways along its vertices, an elevator where its level changes."""
     w = W.Window.partitionBy("edge_id").orderBy("i")
-    rows = v.vertex.where("i < 60").withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "l2": F.lead("level_id").over(w)}).where("x2 IS NOT NULL")
+    rows = v.vertex.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "l2": F.lead("level_id").over(w)}).where("x2 IS NOT NULL")
     node = lambda i: F.concat("edge_id", F.lit("/"), i)
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0.0).alias("z"))
     walk = F.col("level_id") == F.col("l2")
@@ -899,8 +899,8 @@ def _routes(v):
     )
     names = v.spark.createDataFrame([(t, f"Floor {t}", k) for k, t in enumerate(("click", "purchase", "scroll", "signup", "view"))], "level_id string, label string, vertical_order int")
     order = F.broadcast(names.select(F.col("level_id").alias("_l"), "vertical_order"))  # five floors
-    nodes = v.vertex.where("i < 60").join(order, F.col("level_id") == F.col("_l"), "left").select(node("i").alias("node"), "x", "y", "vertical_order", F.array("level_id").alias("level_ids"))
-    tips = v.vertex.where("i < 60").groupBy("edge_id").agg(F.min(F.struct("i", "level_id")).alias("a"), F.max(F.struct("i", "level_id")).alias("b"))
+    nodes = v.vertex.join(order, F.col("level_id") == F.col("_l"), "left").select(node("i").alias("node"), "x", "y", "vertical_order", F.array("level_id").alias("level_ids"))
+    tips = v.vertex.groupBy("edge_id").agg(F.min(F.struct("i", "level_id")).alias("a"), F.max(F.struct("i", "level_id")).alias("b"))
     ends = tips.select(F.col("edge_id").alias("route"), F.concat(F.lit("R"), "edge_id").alias("origin_label"), F.col("a.level_id").alias("origin_level"), F.lit("INT_1").alias("destination_label"), F.col("b.level_id").alias("destination_level"))
     return edges, ends, names, nodes
 
