@@ -1,12 +1,19 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
-Both are bigram models of one form and one vocabulary: words and pairs of words hashed into ``2**WORD_BITS`` and ``2**PAIR_BITS``
-cells (a bound on the models' size that does not depend on the corpus).  A word's probability after another is its count there,
-smoothed by ``PULL`` times its share of all words.  The target is trained on the target documents, the background on all.
-``score`` is the mean over a document's words of the target's loss minus the background's, in nats: low is like the target.
+Both are bigram models of one form and one vocabulary, the words of all documents (at least ``2**WORD_BITS``).  A word's probability
+after another is its count there, smoothed by ``PULL`` times its share of all words.  The target is trained on the target documents,
+the background on all.  ``score`` is the mean over a document's words of the target's loss minus the background's, in nats: low is like
+the target.
 
-Every task counts its documents into the cells and sends them in compressed shards, which are summed per shard; counts come from all
-documents.  The summed cells, at most ``8 * 2**PAIR_BITS`` bytes, are broadcast, and a second pass scores whole texts.
+Words and pairs of words are counted apart, by 63-bit hashes; nothing is folded into a table of fixed size.
+
+1. Rows are cut into blocks of about ``BLOCK`` bytes, written once.  Labels meet the ids of a block, not the texts.
+2. Every block sorts and counts its own words and pairs and sends them, in as many shards as the corpus has times ``SHARD`` bytes.
+   A frequent word is one entry per block.
+3. A shard sums its entries over all blocks and answers each block, in the order of its entries.
+4. A block meets its answers and scores its whole texts.
+
+A task holds one block with its answers or one shard.  Only three sums come to the driver.
 
 Null texts and texts without words have no losses and a score of 0.  Null ids are no target but are scored.  Repeated rows count each time.
 Without target documents the target model is uniform.
@@ -19,80 +26,123 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorloom.llm import text
+from floorloom.plans.recovery import settled
 
-WORD_BITS, PAIR_BITS, SHARD_BITS = 20, 22, 16
+WORD_BITS = 20
+BLOCK, SHARD, MANY = 8 << 20, 16 << 20, 1 << 16
 PULL, FLOOR = 4.0, 0.1
 
 
-def cells(data: np.ndarray, off: np.ndarray) -> tuple[text.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a slice, their cells, positions that have a word before them, and the cells of these pairs."""
-    words = text.Words(data, off, text.ALNUM)
-    h = words.hashes()
-    at = words.runs(2)
-    pair = text.together(h, at, (0, 1), 0xB16) >> np.uint64(64 - PAIR_BITS)
-    return words, (h >> np.uint64(64 - WORD_BITS)).astype(np.int64), at + 1, pair.astype(np.int64)
+def entries(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words (even) and pairs (odd) of all rows, positions that have a word before them, each word's row, and words per row."""
+    words, pairs, seconds, rows, n = [], [], [], [], np.zeros(len(off) - 1, np.int64)
+    for lo, hi, part, cut in text.slices(data, off):
+        found = text.Words(part, cut, text.ALNUM)
+        h, at = found.hashes(), found.runs(2)
+        seconds.append(at + 1 + sum(map(len, words)))
+        words.append(h & ~np.uint64(1))
+        pairs.append(text.together(h, at, (0, 1), 0xB16) | np.uint64(1))
+        rows.append(found.doc + lo)
+        n[lo:hi] = found.count
+    join = lambda x, kind: np.concatenate([np.zeros(0, kind), *x]).astype(kind)
+    return join(words, np.uint64), join(pairs, np.uint64), join(seconds, np.int64), join(rows, np.int64), n
 
 
-class Model:
-    """Counts of one corpus: words and pairs by cell."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.before = words.astype(np.float32)
-        self.pairs = pairs
-        share = words.astype(np.float64) + FLOOR
-        self.share = (share / share.sum()).astype(np.float32)
 
-    def losses(self, cell: np.ndarray, second: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        p = self.share[cell].astype(np.float64)
-        seen = self.before[cell[second - 1]]
-        p[second] = (self.pairs[pair] + PULL * p[second]) / (seen + PULL)
-        return -np.log(p)
+def unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
-def _counted(marked: DataFrame) -> tuple[Model, Model]:
-    """Target and background model from rows (text, target)."""
-    sizes = [1 << WORD_BITS, 1 << PAIR_BITS]
+def _blocks(documents: DataFrame) -> DataFrame:
+    """block, bytes, ids and texts (an Arrow stream of doc_id and text, compressed): every row in one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, rows, number = [], 0, 0, 0
+        place = TaskContext.get().partitionId() << 32
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            ids = pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([place + number]), pa.array([size], pa.int64()), ids, pa.array([zstandard.ZstdCompressor(level=1).compress(sink.getvalue())], pa.binary())], names=["block", "bytes", "ids", "texts"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(s, np.uint32) for s in sizes * 2]
-        some = False
         for batch in batches:
+            batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.large_string())], names=["doc_id", "text"])
             data, off = text.buffers(batch.column("text"))
-            target = np.asarray(batch.column("target").fill_null(False))
-            for lo, hi, part, cut in text.slices(data, off):
-                words, cell, second, pair = cells(part, cut)
-                some = some or len(cell) > 0
-                liked = target[lo:hi][words.doc]
-                for total, where, mask in zip(sums, (cell, pair, cell, pair), (liked, liked[second], None, None)):
-                    at, n = np.unique(where if mask is None else where[mask], return_counts=True)
-                    total[at] += n.astype(np.uint32)
-        if not some:
-            return
-        pack, step = zstandard.ZstdCompressor(level=1), 1 << SHARD_BITS
-        for kind, total in enumerate(sums):
-            for lo in range(0, len(total), step):
-                part = total[lo : lo + step]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([lo // step], pa.int32()), pa.array([pack.compress(part.tobytes())], pa.binary())], names=["kind", "shard", "counts"])
+            for lo, hi, part, _ in text.slices(data, off):
+                for first in range(lo, hi, MANY):
+                    last = min(hi, first + MANY)
+                    here = int(off[last] - off[first])
+                    if held and (size + here > BLOCK or rows + last - first > MANY):
+                        yield block()
+                        held, size, rows, number = [], 0, 0, number + 1
+                    held.append(batch.slice(first, last - first))
+                    size, rows = size + here, rows + last - first
+        if held:
+            yield block()
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, bytes long, ids array<long>, texts binary")
+
+
+def _opened(raw: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block's rows, and their texts as bytes and offsets."""
+    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all()
+    return table, *text.buffers(table.column("text"))
 
-    def add(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        total = sum(np.frombuffer(unpack.decompress(x), np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"kind": table.column("kind")[:1], "shard": table.column("shard")[:1], "counts": pa.array([zstandard.ZstdCompressor().compress(total.tobytes())], pa.binary())})
 
-    message = "kind int, shard int, counts binary"
-    # As many rows as the models have shards, whatever the corpus.
-    rows = marked.mapInArrow(count, message).groupBy("kind", "shard").applyInArrow(add, message).collect()
-    found = [np.zeros(s, np.int64) for s in sizes * 2]
-    for kind, shard, counts in rows:
-        part = np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.int64)
-        found[kind][shard << SHARD_BITS : (shard << SHARD_BITS) + len(part)] = part
-    narrow = lambda x: x.astype(np.float32)
-    return Model(found[0], narrow(found[1])), Model(found[2], narrow(found[3]))
+def _counted(blocks: DataFrame, targets: DataFrame) -> DataFrame:
+    """block, shard, target and every (the corpus' counts of the block's entries in the shard); words, n_target and n_every (sums of a shard, on one of its rows)."""
+    # Targets grow with the corpus: joined by a shuffle at every size, never by broadcast.
+    wanted = targets.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().hint("merge")
+    liked = blocks.select("block", F.posexplode("ids").alias("row", "id")).join(wanted, F.col("id") == F.col("_id")).groupBy("block").agg(F.collect_list("row").alias("liked"))
+    shards = 1 + (blocks.agg(F.sum("bytes")).first()[0] or 0) // SHARD
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, raw, some in zip(batch.column("block"), batch.column("texts"), batch.column("liked")):
+                _, data, off = _opened(raw.as_py())
+                words, pairs, second, rows, n = entries(data, off)
+                mask = np.zeros(len(n), bool)
+                mask[some.as_py() or []] = True
+                keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+                every = np.bincount(at, minlength=len(keys))
+                target = np.bincount(at[np.concatenate([mask[rows], mask[rows[second]]])], minlength=len(keys))
+                cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+                full = np.flatnonzero(np.diff(cut))
+                parts = [slice(cut[s], cut[s + 1]) for s in full]
+                packed = [[pack(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], [pack(target[p]) for p in parts], [pack(every[p]) for p in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(full), pa.int64()), pa.array(full, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "shard", "keys", "target", "every"])
+
+    def add(table: pa.Table) -> pa.Table:
+        sent = [np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(sent), return_inverse=True)
+        sums = []
+        for side in ("target", "every"):
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, at, np.concatenate([unpack(x) for x in table.column(side).to_pylist()]).astype(np.int64))
+            sums.append(total)
+        cut = np.cumsum([0, *map(len, sent)])
+        word = keys & np.uint64(1) == 0
+        of_shard = [int(word.sum()), int(sums[0][word].sum()), int(sums[1][word].sum())]
+        replies = [pa.array([pack(total[at[lo:hi]]) for lo, hi in zip(cut[:-1], cut[1:])], pa.binary()) for total in sums]
+        once = [pa.array([x] + [0] * (len(sent) - 1), pa.int64()) for x in of_shard]
+        return pa.table([table.column("block"), table.column("shard"), *replies, *once], names=["block", "shard", "target", "every", "words", "n_target", "n_every"])
+
+    met = blocks.select("block", "texts").join(liked.hint("merge"), "block", "left").select("block", "texts", "liked")
+    sent = met.mapInArrow(count, "block long, shard long, keys binary, target binary, every binary")
+    return sent.groupBy("shard").applyInArrow(add, "block long, shard long, target binary, every binary, words long, n_target long, n_every long")
 
 
 def score(documents: DataFrame, targets: DataFrame) -> DataFrame:
@@ -100,23 +150,30 @@ def score(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` has the doc_id of target documents.
     """
-    spark = documents.sparkSession
-    # Targets grow with the corpus: joined by a shuffle at every size, never by broadcast.
-    wanted = targets.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().hint("merge")
-    marked = documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("target"))
-    shared = spark.sparkContext.broadcast(_counted(marked))
+    blocks = settled(_blocks(documents))
+    replies = settled(_counted(blocks, targets))
+    words, *totals = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n_target", "n_every"))).first()
+    vocabulary = max(1 << WORD_BITS, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
         for batch in batches:
-            data, off = text.buffers(batch.column("text"))
-            n, loss = np.zeros(batch.num_rows, np.int64), [np.zeros(batch.num_rows) for _ in models]
-            for lo, hi, part, cut in text.slices(data, off):
-                words, cell, second, pair = cells(part, cut)
-                n[lo:hi] = words.count
-                for model, out in zip(models, loss):
-                    out[lo:hi] = np.bincount(words.doc, model.losses(cell, second, pair), hi - lo) / np.maximum(words.count, 1)
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            for raw, answers in zip(batch.column("texts"), batch.column("answers")):
+                table, data, off = _opened(raw.as_py())
+                word, pair, second, rows, n = entries(data, off)
+                at = np.unique(np.concatenate([word, pair]), return_inverse=True)[1]
+                # Shards are ranges of keys, so their answers follow one another in the order of the keys.
+                parts = sorted(answers.as_py() or [], key=lambda x: x["shard"])
+                loss = []
+                for side, total in zip(("target", "every"), totals):
+                    count = np.concatenate([np.zeros(0), *(unpack(x[side]) for x in parts)])[at]
+                    seen, both = count[: len(word)], count[len(word) :]
+                    p = (seen + FLOOR) / (total + FLOOR * vocabulary)
+                    p[second] = (both + PULL * p[second]) / (seen[second - 1] + PULL)
+                    loss.append(np.bincount(rows, -np.log(p), len(n)) / np.maximum(n, 1))
+                none = n == 0
+                ids = table.column("doc_id").combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    answers = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "target", "every")).alias("answers"))
+    met = blocks.select("block", "texts").join(answers.hint("merge"), "block", "left").select("texts", "answers")
+    return met.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -3,7 +3,10 @@
 import math
 from collections import Counter
 
+import numpy as np
+
 from floorloom.llm import crossentropy as C
+from floorloom.llm import text
 
 
 def test_against_dictionaries(spark):
@@ -45,3 +48,20 @@ def test_no_documents_and_no_targets(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert C.score(docs, none).first()["n_tokens"] == 2
     assert C.score(docs.limit(0), none).count() == 0
+
+
+def test_more_pairs_than_any_fixed_table(spark, monkeypatch):
+    """Counts stay those of each word and pair: an unseen pair never has the count of others."""
+    monkeypatch.setattr(C, "BLOCK", 1 << 20)
+    monkeypatch.setattr(C, "SHARD", 1 << 20)
+    monkeypatch.setattr(text, "SLICE", 1 << 18)
+    n = 2_000_000
+    rows = [(k, " ".join(f"{x:x}" for x in np.random.default_rng(k).integers(0, 1 << 40, n // 20))) for k in range(20)]
+    rows += [(20 + k, f"u{k} v{k}") for k in range(200)]
+    got = {r["doc_id"]: r for r in C.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    assert len(got) == len(rows) and sum(r["n_tokens"] for r in got.values()) == n + 400
+    words = Counter(w for _, t in rows for w in t.split())
+    total = sum(words.values()) + C.FLOOR * max(1 << C.WORD_BITS, len(words))
+    first = (1 + C.FLOOR) / total
+    want = -(math.log(first) + math.log((1 + C.PULL * first) / (1 + C.PULL))) / 2
+    assert all(math.isclose(got[20 + k]["background_loss"], want, rel_tol=1e-9) for k in range(200))
