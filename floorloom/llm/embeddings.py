@@ -4,10 +4,10 @@ Vectors are scaled to length one, equal ones of a table first reduced to the sma
 a bounded sample (``SAMPLE`` vectors by hash of the id): coarse lists by k-means, and for the residuals to the list's centre one small
 codebook per subspace.  Every vector is then encoded.
 
-Pairs of one list are all compared.  Across lists, a vector also probes every other list whose border, the plane halfway
-between the two centres, is nearer than ``MARGIN``: two vectors on different sides of a border are at least as far apart as both
-distances to it, so links across it lie close to it on both sides.  Both vectors have to probe the other's list, which
-counts each pair once.
+Pairs of one list are all compared.  Across lists, a vector is also a query to every other list whose border, the plane halfway
+between the two centres, is within half the length of a link (and ``SPARE`` for single precision): two vectors on different sides of
+a border are at least as far apart as both distances to it together, so one end of every link is that near.  It is compared with the
+whole of the other list.  Where both ends are, the query from the list of the smaller number counts the pair.
 
 A comparison looks distances up per subspace, exact vector against code (asymmetric), and keeps pairs that could link given the
 code's own error: no link is lost here.  What remains is judged by its exact cosine in double precision.  Lists are compared in
@@ -37,7 +37,7 @@ from floorloom.plans.sampling import sampled
 LINK = 0.9
 SAMPLE, LISTS, PER_LIST = 16384, 1024, 1024
 SUBSPACES, CODES = 8, 256
-MARGIN = 0.15
+SPARE = 1e-3
 TILE = 1024
 
 
@@ -128,7 +128,7 @@ def clean(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
 
 
-def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margin: float) -> DataFrame:
+def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float) -> DataFrame:
     """Rows (vec_id, n_links, edge) from the tiles of one vector length."""
     spark = distinct.sparkSession
     sample = sampled(distinct, SAMPLE, n, "vec_id").select("v").toPandas()["v"]  # SAMPLE rows at most
@@ -143,7 +143,7 @@ def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margi
             if not batch.num_rows:
                 continue
             values = np.frombuffer(b"".join(batch.column("v").to_pylist()), kind).astype(np.float64).reshape(-1, dim)
-            home, codes, error, probes = index.encode(_unit(values), margin)
+            home, codes, error, probes = index.encode(_unit(values), reach / 2 + SPARE)
             yield pa.RecordBatch.from_arrays(
                 [*batch.select(["vec_id", "copies", "v"]).columns, pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float64)), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
                 names=["vec_id", "copies", "v", "home", "codes", "error", "probes"],
@@ -151,33 +151,38 @@ def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margi
 
     coded = settled(distinct.mapInArrow(encode, "vec_id long, copies long, v binary, home int, codes binary, error double, probes array<int>"))
     sizes = {r["home"]: r["n"] for r in coded.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per list
-    tiles = spark.sparkContext.broadcast(np.array([-(-sizes.get(k, 1) // TILE) for k in range(lists)]))
-    groups = max(32, n // 2048)
+    asked = {r["c"]: r["n"] for r in coded.select(F.explode("probes").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per list
+    # Tiles of a list's own vectors, and of the queries to it.
+    tiles = spark.sparkContext.broadcast([np.array([-(-of.get(k, least) // TILE) for k in range(lists)]) for of, least in ((sizes, 1), (asked, 0))])
+    groups = max(32, (n + sum(asked.values())) // 2048)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = tiles.value
+        split, queries = tiles.value
         for batch in batches:
             rows, a, b, i, j, side = [], [], [], [], [], []
             ids, homes, probes = batch.column("vec_id").to_pylist(), batch.column("home").to_pylist(), batch.column("probes").to_pylist()
             for k, (vec, home, other) in enumerate(zip(ids, homes, probes)):
-                own = (vec * 0x9E3779B97F4A7C15 >> 20) % int(split[home])
+                spread = vec * 0x9E3779B97F4A7C15 >> 20
+                own = spread % int(split[home])
                 for t in range(int(split[home])):
                     rows.append(k), a.append(home), b.append(home), i.append(min(own, t)), j.append(max(own, t)), side.append(int(own > t))
-                for c in other:
+                for t in range(int(queries[home])):  # as part of the list, for the queries to it
+                    rows.append(k), a.append(-1), b.append(home), i.append(t), j.append(own), side.append(1)
+                for c in other:  # as a query
                     for t in range(int(split[c])):
-                        low = home < c
-                        rows.append(k), a.append(min(home, c)), b.append(max(home, c)), i.append(own if low else t), j.append(t if low else own), side.append(0 if low else 1)
+                        rows.append(k), a.append(-1), b.append(c), i.append(spread % int(queries[c])), j.append(t), side.append(0)
             key = (np.array(a, np.int64) * 1_000_003 + np.array(b, np.int64)) * 1_000_003 + np.array(i, np.int64) * 1009 + np.array(j, np.int64) if rows else np.zeros(0, np.int64)
             # One message per row and tile: a tile's rows meet in the group of its key.
-            out = batch.select(["vec_id", "copies", "v", "home", "codes", "error"]).take(pa.array(rows, pa.int64()))
+            out = batch.select(["vec_id", "copies", "v", "home", "codes", "error", "probes"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x, pa.int32()) for x in (a, b, i, j, side)), *out.columns], names=["key", "a", "b", "i", "j", "side", *out.schema.names])
 
-    dealt = coded.mapInArrow(deal, "key long, a int, b int, i int, j int, side int, vec_id long, copies long, v binary, home int, codes binary, error double")
+    dealt = coded.mapInArrow(deal, "key long, a int, b int, i int, j int, side int, vec_id long, copies long, v binary, home int, codes binary, error double, probes array<int>")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         index, out = shared.value, []
         for (a, b, i, j), t in pdf.groupby(["a", "b", "i", "j"], sort=False):
             one = a == b and i == j
+            # (within a list, tiles i and j of it; to list b, tile i of the queries and j of the list)
             left = t if one else t[t["side"] == 0]
             right = t if one else t[t["side"] == 1]
             if not len(left) or not len(right):
@@ -199,6 +204,12 @@ def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margi
                 keep.append((x[u] * y[v]).sum(axis=1) / (norm_x[u] * norm_y[v]) >= link)
             keep = np.concatenate(keep) if keep else np.zeros(0, bool)
             p, q = p[keep], q[keep]
+            if a < 0 and len(p):
+                asks = np.zeros((len(right), lists), bool)
+                asks[np.repeat(np.arange(len(right)), [len(x) for x in right["probes"]]), np.concatenate(list(right["probes"])).astype(np.int64)] = True
+                from_ = left["home"].to_numpy()[p]
+                twice = asks[q, from_] & (from_ > b)
+                p, q = p[~twice], q[~twice]
             if not len(p):
                 continue
             ids = np.concatenate([left["vec_id"].to_numpy(), right["vec_id"].to_numpy()])
@@ -213,7 +224,7 @@ def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float, margi
     return grouped.applyInPandas(compare, "vec_id long, n_links long, edge long")
 
 
-def near_duplicates(vectors: DataFrame, link: float = LINK, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(vectors: DataFrame, link: float = LINK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (needs vec_id, embedding)."""
     usable = settled(clean(vectors))
     distinct = settled(usable.groupBy("dim", "v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
@@ -221,7 +232,7 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, margin: float = MARG
     spark = vectors.sparkSession
     found = spark.createDataFrame([], "vec_id long, n_links long, edge long")
     for r in sorted(sizes):
-        found = found.union(_links(distinct.where(F.col("dim") == r["dim"]).drop("dim"), r["dim"], _kind(vectors), r["n"], link, margin))
+        found = found.union(_links(distinct.where(F.col("dim") == r["dim"]).drop("dim"), r["dim"], _kind(vectors), r["n"], link))
     found = settled(found)
     counts = found.groupBy("vec_id").agg(F.sum("n_links").alias("n"))
     heads = distinct.join(counts, "vec_id", "left").select(F.col("dim").alias("_d"), F.col("v").alias("_v"), F.col("vec_id").alias("head"), F.col("copies"), F.coalesce("n", F.lit(0)).alias("n"))

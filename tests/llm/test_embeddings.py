@@ -62,3 +62,19 @@ def test_null_ids_and_empty_tables(spark):
     got = embeddings.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")).collect()
     assert sorted((r["vec_id"], r["n_links"], r["kept"]) for r in got if r["vec_id"] is not None) == [(1, 0, True)] and len(got) == 2
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_every_link_across_many_lists_of_low_rank(spark, monkeypatch):
+    """Vectors of four intrinsic dimensions: most links run across lists, and most of those have an end far from the border."""
+    monkeypatch.setattr(embeddings, "PER_LIST", 16)
+    monkeypatch.setattr(embeddings, "TILE", 32)
+    r = np.random.default_rng(5)
+    low = r.normal(size=(600, 4)) @ np.linalg.qr(r.normal(size=(64, 4)))[0].T
+    unit = (low / np.linalg.norm(low, axis=1)[:, None]).astype(np.float32)
+    x = unit.astype(float)
+    norm = np.sqrt((x * x).sum(axis=1))
+    links = x @ x.T / np.outer(norm, norm) >= 0.9
+    want = links.sum(axis=1) - 1
+    got = embeddings.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(unit)], "vec_id long, embedding array<float>")).collect()
+    assert want.sum() > 1000
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(want.tolist()))
