@@ -25,3 +25,25 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_distances_are_compared_in_every_component(spark, monkeypatch):
+    """A chain merged with a wrong length is noticed, whatever component it lies in."""
+    from pyspark.sql import functions as F
+
+    from floorloom.operators import connectivity, graph
+
+    run = catalogue.QUERIES["g24_distance_preservation"]
+    real, hurt = graph.contracted, []
+
+    def damaged(edges, bound):
+        merged = real(edges, bound)
+        parts = connectivity.components(edges, "a", "b").withColumnRenamed("component", "_c")
+        of = merged.where(F.size("terminals") == 2).join(parts, F.get("terminals", F.lit(0)) == F.col("node"))
+        last = of.orderBy(F.desc("_c")).first()
+        hurt.append((last["_c"], parts.agg(F.min("_c")).first()[0]))
+        return merged.withColumn("length", F.col("length") + F.when(F.array_contains("terminals", last["node"]), 100.0).otherwise(0.0))
+
+    monkeypatch.setattr(graph, "contracted", damaged)
+    assert run(spark, SF).first()["mismatches"] > 0
+    assert hurt[0][0] > hurt[0][1]  # a later component
