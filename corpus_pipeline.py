@@ -17,6 +17,8 @@ from floorloom.llm.queries import held_out, table
 from floorloom.plans.recovery import shared_folder
 
 ORACLE_SQL = None  # a trained classifier decides in the first stage
+#: Similarity in hundredths from which documents are near copies; that of op10's contract is 85.
+NEAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the smallest id."""
-    judged = setsketch.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id").distinct()
+    judged = setsketch.near_duplicates(docs.select("doc_id", "text"), link=NEAR).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(judged, "doc_id", "left_anti").select(*docs.columns)
 
 

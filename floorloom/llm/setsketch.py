@@ -16,6 +16,7 @@ minima), so registers of unions are maxima of registers and equal registers tell
 
 Elements are 52-bit hashes of their words; sets are exact up to collisions of these within a pair (about 1e-10 for sets of 500).
 A link of similarity 0.85 is missed by all bands with a probability below 1e-5 (0.9: below 1e-7), and by step 3 below 1e-8.
+Below a threshold of 0.85 bands are of four registers, 25 in all: a link of 0.8 is missed with a probability of 2e-6.
 
 Texts that are null or without words have an empty set and link with nothing.  Fewer than five words are one element.  Rows with
 equal ids count as one document, linked to what one of its rows is.  Null ids are returned, linked with nothing.  An empty table gives an empty result.
@@ -111,6 +112,11 @@ def registers(points: np.ndarray, b: float = B) -> np.ndarray:
         return np.clip(np.floor(1 - np.log(points) / np.log(b)), 0, 65535).astype(np.uint16)
 
 
+def banding(link: int) -> tuple[int, int]:
+    """Bands, and registers in each."""
+    return (BANDS, ROWS) if link >= LINK else (M // (ROWS - 1), ROWS - 1)
+
+
 def likely(n_u, n_v, larger, smaller, equal, least: float = LINK / 100, slack: float = SLACK, b: float = B) -> np.ndarray:
     """Whether a similarity of ``least`` or more is plausible for pairs of sets with these sizes and register counts."""
     n_u, n_v = np.asarray(n_u, float), np.asarray(n_v, float)
@@ -131,9 +137,10 @@ def likely(n_u, n_v, larger, smaller, equal, least: float = LINK / 100, slack: f
     return (bound >= least - 1e-9) & (curve.max(axis=0) - above <= slack)
 
 
-def sketch(documents: DataFrame, width: int = WIDTH) -> DataFrame:
+def sketch(documents: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFrame:
     """doc_id, n_shingles, sig_a, sig_b, registers (binary) and bands of every row; the last four null for empty sets."""
     schema = "doc_id long, n_shingles long, sig_a long, sig_b long, registers binary, bands array<long>"
+    n_bands, n_rows = banding(link)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,14 +153,14 @@ def sketch(documents: DataFrame, width: int = WIDTH) -> DataFrame:
                     regs = registers(minima(found, at))
                     sums = [np.append(np.uint64(0), np.cumsum(text.mix(found ^ np.uint64(s)))) for s in (0x1B873593, 0xCC9E2D51)]
                     sigs = [(c[at[1:]] - c[at[:-1]]).view(np.int64) for c in sums]
-                    bands = np.full((len(n), BANDS), np.uint64(0))
-                    wide = regs[:, : BANDS * ROWS].reshape(len(n), BANDS, ROWS).astype(np.uint64)
-                    for k in range(ROWS):
+                    bands = np.full((len(n), n_bands), np.uint64(0))
+                    wide = regs[:, : n_bands * n_rows].reshape(len(n), n_bands, n_rows).astype(np.uint64)
+                    for k in range(n_rows):
                         bands = text.mix(bands ^ wide[:, :, k])
-                    bands = text.mix(bands ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                    bands = text.mix(bands ^ np.arange(n_bands, dtype=np.uint64)).view(np.int64)
                     none = n == 0
                     raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * M), len(n), [None, pa.py_buffer(np.ascontiguousarray(regs))]).cast(pa.binary())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1)))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * n_bands, pa.int32()), pa.array(bands.reshape(-1)))
                     null = pa.array(none)
                     blank = lambda x, null=null: pa.compute.if_else(null, pa.scalar(None, x.type), x)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, z - a), pa.array(n), pa.array(sigs[0], mask=none), pa.array(sigs[1], mask=none), blank(raw), blank(lists)], names=["doc_id", "n_shingles", "sig_a", "sig_b", "registers", "bands"])
@@ -310,7 +317,7 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
 
 def near_duplicates(documents: DataFrame, link: int = LINK, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``documents`` (needs doc_id, text)."""
-    made = settled(sketch(documents, width))
+    made = settled(sketch(documents, width, link))
     full = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = full.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = settled(full.select("doc_id", "sig_a", "sig_b").join(first, ["sig_a", "sig_b"]).where("rep <> doc_id").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).distinct(), FEW)
