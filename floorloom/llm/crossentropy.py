@@ -7,34 +7,32 @@ the target.
 
 Words and pairs of words are counted apart, by 63-bit hashes; nothing is folded into a table of fixed size.
 
-1. Rows are cut into blocks of about ``BLOCK`` bytes, written once.  Labels meet the ids of a block, not the texts.
+1. Rows are dealt once into blocks of about ``BLOCK`` bytes by a hash of their id; labels are dealt likewise.
 2. Every block sorts and counts its own words and pairs and sends them, in as many shards as the corpus has times ``SHARD`` bytes.
    A frequent word is one entry per block.
 3. A shard sums its entries over all blocks and answers each block, in the order of its entries.
 4. A block meets its answers and scores its whole texts.
 
-A task holds one block with its answers or one shard.  Only three sums come to the driver.
+A task holds one block with its answers or one shard.  Nothing of the corpus comes to the driver but its size; three sums are broadcast.
 
 Null texts and texts without words have no losses and a score of 0.  Null ids are no target but are scored.  Repeated rows count each time.
-Without target documents the target model is uniform.
+Without target documents the target model is uniform.  Columns beside doc_id and text are not read, whatever their names.  A very long text
+makes a block of its own size, which has to fit into a worker; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorloom.llm import text
-from floorloom.plans.recovery import settled
 
 WORD_BITS = 20
-BLOCK, SHARD, MANY = 8 << 20, 16 << 20, 1 << 16
+BLOCK, SHARD = 8 << 20, 16 << 20
+_KEY = "_entropy_block"
 PULL, FLOOR = 4.0, 0.1
 
 
@@ -63,67 +61,24 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
-def _blocks(documents: DataFrame) -> DataFrame:
-    """block, bytes, ids and texts (an Arrow stream of doc_id and text, compressed): every row in one block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, rows, number = [], 0, 0, 0
-        place = TaskContext.get().partitionId() << 32
-
-        def block() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            ids = pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([place + number]), pa.array([size], pa.int64()), ids, pa.array([zstandard.ZstdCompressor(level=1).compress(sink.getvalue())], pa.binary())], names=["block", "bytes", "ids", "texts"])
-
-        for batch in batches:
-            batch = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text").cast(pa.large_string())], names=["doc_id", "text"])
-            data, off = text.buffers(batch.column("text"))
-            for lo, hi, part, _ in text.slices(data, off):
-                for first in range(lo, hi, MANY):
-                    last = min(hi, first + MANY)
-                    here = int(off[last] - off[first])
-                    if held and (size + here > BLOCK or rows + last - first > MANY):
-                        yield block()
-                        held, size, rows, number = [], 0, 0, number + 1
-                    held.append(batch.slice(first, last - first))
-                    size, rows = size + here, rows + last - first
-        if held:
-            yield block()
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "block long, bytes long, ids array<long>, texts binary")
-
-
-def _opened(raw: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """A block's rows, and their texts as bytes and offsets."""
-    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all()
-    return table, *text.buffers(table.column("text"))
-
-
-def _counted(blocks: DataFrame, targets: DataFrame) -> DataFrame:
+def _counted(dealt: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
     """block, shard, target and every (the corpus' counts of the block's entries in the shard); words, n_target and n_every (sums of a shard, on one of its rows)."""
-    # Targets grow with the corpus: joined by a shuffle at every size, never by broadcast.
-    wanted = targets.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct().hint("merge")
-    liked = blocks.select("block", F.posexplode("ids").alias("row", "id")).join(wanted, F.col("id") == F.col("_id")).groupBy("block").agg(F.collect_list("row").alias("liked"))
-    shards = 1 + (blocks.agg(F.sum("bytes")).first()[0] or 0) // SHARD
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, raw, some in zip(batch.column("block"), batch.column("texts"), batch.column("liked")):
-                _, data, off = _opened(raw.as_py())
-                words, pairs, second, rows, n = entries(data, off)
-                mask = np.zeros(len(n), bool)
-                mask[some.as_py() or []] = True
-                keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-                every = np.bincount(at, minlength=len(keys))
-                target = np.bincount(at[np.concatenate([mask[rows], mask[rows[second]]])], minlength=len(keys))
-                cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
-                full = np.flatnonzero(np.diff(cut))
-                parts = [slice(cut[s], cut[s + 1]) for s in full]
-                packed = [[pack(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], [pack(target[p]) for p in parts], [pack(every[p]) for p in parts]]
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(full), pa.int64()), pa.array(full, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "shard", "keys", "target", "every"])
+
+    def count(table: pa.Table, liked: pa.Table) -> pa.Table:
+        names = ["block", "shard", "keys", "target", "every"]
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), *(pa.array([], pa.binary()) for _ in range(3))], names=names)
+        words, pairs, second, rows, n = entries(*text.buffers(table.column("text")))
+        ids = table.column("doc_id").combine_chunks()
+        mask = np.isin(ids.fill_null(0).to_numpy(), liked.column("doc_id").to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+        keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+        every = np.bincount(at, minlength=len(keys))
+        target = np.bincount(at[np.concatenate([mask[rows], mask[rows[second]]])], minlength=len(keys))
+        cut = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
+        full = np.flatnonzero(np.diff(cut))
+        parts = [slice(cut[s], cut[s + 1]) for s in full]
+        packed = [[pack(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], [pack(target[p]) for p in parts], [pack(every[p]) for p in parts]]
+        return pa.table([pa.array([table.column(_KEY)[0].as_py()] * len(full), pa.int64()), pa.array(full, pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], names=names)
 
     def add(table: pa.Table) -> pa.Table:
         sent = [np.cumsum(unpack(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
@@ -140,8 +95,7 @@ def _counted(blocks: DataFrame, targets: DataFrame) -> DataFrame:
         once = [pa.array([x] + [0] * (len(sent) - 1), pa.int64()) for x in of_shard]
         return pa.table([table.column("block"), table.column("shard"), *replies, *once], names=["block", "shard", "target", "every", "words", "n_target", "n_every"])
 
-    met = blocks.select("block", "texts").join(liked.hint("merge"), "block", "left").select("block", "texts", "liked")
-    sent = met.mapInArrow(count, "block long, shard long, keys binary, target binary, every binary")
+    sent = dealt.groupBy(_KEY).cogroup(wanted.groupBy(_KEY)).applyInArrow(count, "block long, shard long, keys binary, target binary, every binary")
     return sent.groupBy("shard").applyInArrow(add, "block long, shard long, target binary, every binary, words long, n_target long, n_every long")
 
 
@@ -150,30 +104,52 @@ def score(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``targets`` has the doc_id of target documents.
     """
-    blocks = settled(_blocks(documents))
-    replies = settled(_counted(blocks, targets))
-    words, *totals = replies.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n_target", "n_every"))).first()
-    vocabulary = max(1 << WORD_BITS, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, answers in zip(batch.column("texts"), batch.column("answers")):
-                table, data, off = _opened(raw.as_py())
-                word, pair, second, rows, n = entries(data, off)
-                at = np.unique(np.concatenate([word, pair]), return_inverse=True)[1]
-                # Shards are ranges of keys, so their answers follow one another in the order of the keys.
-                parts = sorted(answers.as_py() or [], key=lambda x: x["shard"])
-                loss = []
-                for side, total in zip(("target", "every"), totals):
-                    count = np.concatenate([np.zeros(0), *(unpack(x[side]) for x in parts)])[at]
-                    seen, both = count[: len(word)], count[len(word) :]
-                    p = (seen + FLOOR) / (total + FLOOR * vocabulary)
-                    p[second] = (both + PULL * p[second]) / (seen[second - 1] + PULL)
-                    loss.append(np.bincount(rows, -np.log(p), len(n)) / np.maximum(n, 1))
-                none = n == 0
-                ids = table.column("doc_id").combine_chunks()
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    answers = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "target", "every")).alias("answers"))
-    met = blocks.select("block", "texts").join(answers.hint("merge"), "block", "left").select("texts", "answers")
-    return met.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks, shards = 1 + size // BLOCK, 1 + size // SHARD
+    # One shuffle of the texts: counting and scoring are parts of one plan and read the same exchange.
+    dealt = rows.withColumn(_KEY, F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)))
+    wanted = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    replies = _counted(dealt, wanted.withColumn(_KEY, F.pmod(F.xxhash64("doc_id"), F.lit(blocks))), shards)
+    sums = replies.agg(*(F.sum(c).alias(c) for c in ("words", "n_target", "n_every")))  # one row
+    answers = replies.drop("words", "n_target", "n_every").crossJoin(F.broadcast(sums))
+
+    def run(table: pa.Table, given: pa.Table) -> pa.Table:
+        word, pair, second, rows, n = entries(*text.buffers(table.column("text")))
+        loss = [np.zeros(len(n)), np.zeros(len(n))]
+        if len(word):
+            at = np.unique(np.concatenate([word, pair]), return_inverse=True)[1]
+            given = given.sort_by("shard")  # shards are ranges of keys, so their answers follow one another in the order of the keys
+            vocabulary = max(1 << WORD_BITS, given.column("words")[0].as_py())
+            for k, side in enumerate(("target", "every")):
+                count = np.concatenate([unpack(x) for x in given.column(side).to_pylist()]).astype(np.float64)[at]
+                seen, both = count[: len(word)], count[len(word) :]
+                p = (seen + FLOOR) / (given.column(f"n_{side}")[0].as_py() + FLOOR * vocabulary)
+                p[second] = (both + PULL * p[second]) / (seen[second - 1] + PULL)
+                loss[k] = np.bincount(rows, -np.log(p), len(n)) / np.maximum(n, 1)
+        none = n == 0
+        return pa.table([table.column("doc_id"), pa.array(n), pa.array(loss[0], mask=none), pa.array(loss[1], mask=none), pa.array(loss[0] - loss[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return dealt.groupBy(_KEY).cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: DuckDB: words and pairs of words counted by themselves; six places, since sums of doubles depend on their order.
+SQL = f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+x AS (SELECT r, doc_id, unnest(w) AS b, unnest(range(1, len(w) + 1)) AS i FROM d),
+m AS MATERIALIZED (SELECT r, b, lag(b) OVER (PARTITION BY r ORDER BY i) AS a, (t.doc_id IS NOT NULL)::INT AS liked FROM x LEFT JOIN t USING (doc_id)),
+u AS MATERIALIZED (SELECT b, count(*)::DOUBLE AS ne, sum(liked)::DOUBLE AS nt FROM m GROUP BY b),
+p AS (SELECT a, b, count(*)::DOUBLE AS ne, sum(liked)::DOUBLE AS nt FROM m WHERE a IS NOT NULL GROUP BY a, b),
+s AS (SELECT sum(ne) + {FLOOR} * greatest({1 << WORD_BITS}, count(*)) AS e, sum(nt) + {FLOOR} * greatest({1 << WORD_BITS}, count(*)) AS t FROM u),
+f AS (SELECT u.b, ne, nt, (ne + {FLOOR}) / e AS pe, (nt + {FLOOR}) / t AS pt FROM u, s),
+l AS (
+  SELECT r, CASE WHEN m.a IS NULL THEN f.pe ELSE (p.ne + {PULL} * f.pe) / (g.ne + {PULL}) END AS pe,
+         CASE WHEN m.a IS NULL THEN f.pt ELSE (p.nt + {PULL} * f.pt) / (g.nt + {PULL}) END AS pt
+  FROM m JOIN f ON f.b = m.b LEFT JOIN f g ON g.b = m.a LEFT JOIN p ON p.a = m.a AND p.b = m.b),
+o AS (SELECT r, count(*) AS n, -avg(ln(pt)) AS lt, -avg(ln(pe)) AS le FROM l GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(lt, 6) AS target_loss, round(le, 6) AS background_loss, round(coalesce(lt - le, 0), 6) AS score
+FROM d LEFT JOIN o USING (r)
+"""

@@ -52,7 +52,8 @@ def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document under a model of the documents labelled good and one of all."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return crossentropy.score(documents, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+    scored = crossentropy.score(documents, table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +105,7 @@ ORACLES = {
     "op4_url_reputation": urlfilter.SQL,
     "op5_warc_index": warc.SQL,
     "op6_preference_pairs": preferences.SQL,
+    "op7_cross_entropy": crossentropy.SQL,
     "op8_decontaminate": decontaminate.SQL,
     "op10_setsketch_dedup": setsketch.SQL,
 }
