@@ -5,17 +5,22 @@ a bounded sample (``SAMPLE`` vectors by hash of the id): coarse lists by k-means
 codebook per subspace.  Every vector is then encoded.
 
 Pairs of one list are all compared.  Across lists, a vector is also a query to every other list whose border, the plane halfway
-between the two centres, is within half the length of a link (and ``SPARE`` for single precision): two vectors on different sides of
-a border are at least as far apart as both distances to it together, so one end of every link is that near.  It is compared with the
-whole of the other list.  Where both ends are, the query from the list of the smaller number counts the pair.
+between the two centres, is near: two vectors on different sides of a border are at least as far apart, along its normal, as both
+distances to it together, so one end of a link is within half the link's step along that normal.  No step is longer than the link
+(``sqrt(2 - 2 * cosine)``), and it is taken to spread as the vectors around their centres do: probed is up to ``Z`` standard deviations of it,
+by the larger share of the residuals' variance that either list has along the normal, and never beyond the link's length, at which nothing
+can be lost.  In few dimensions that is the bound, in many it is far less.  A query is compared with
+the whole of the other list.  Where both ends ask, the query from the list of the smaller number counts the pair.
 
 A comparison looks distances up per subspace, exact vector against code (asymmetric), and keeps pairs that could link given the
-code's own error: no link is lost here.  What remains is judged by its exact cosine in double precision.  Lists are compared in
+code's own error: no link is lost in this step.  What remains is judged by its exact cosine in double precision.  Lists are compared in
 tiles of at most about ``TILE`` vectors a side, however large the list.  A tile sums the links of every vector and hands on
 one edge per vector to the smallest id that it reaches inside the tile; pairs themselves are never written.
 
 Vectors that are null, empty, zero or have null or non-finite components link with nothing.  Vectors of different length
-do not link.  Rows with equal ids count as separate vectors but share a component.  Null ids are returned, linked with nothing.
+do not link; each length has an index of its own.  Lists are ``n / PER_LIST``, with ``LEAST`` sampled vectors each: beyond
+``SAMPLE / LEAST * PER_LIST`` vectors (two millions) lists grow and are compared in more tiles.  Rows with equal ids count as separate vectors but share a component.  Null ids are returned, linked with nothing.
+Other columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +40,10 @@ from floorloom.plans.recovery import settled
 from floorloom.plans.sampling import sampled
 
 LINK = 0.9
-SAMPLE, LISTS, PER_LIST = 16384, 1024, 1024
+#: Vectors that the index is fitted on; vectors per list, and sampled vectors per list at least.
+SAMPLE, PER_LIST, LEAST = 16384, 1024, 8
+#: Standard deviations of a link's step across a border that are still probed.
+Z = 4.0
 SUBSPACES, CODES = 8, 256
 SPARE = 1e-3
 TILE = 1024
@@ -71,12 +79,19 @@ class Index:
         self.books = [kmeans(np.ascontiguousarray(rest[:, c]), CODES, 6).astype(np.float32) for c in self.cuts]
         apart = ((self.centres[:, None, :] - self.centres[None, :, :]) ** 2).sum(axis=2) if len(self.centres) <= 256 else self._apart()
         self.apart = np.sqrt(np.maximum(apart, 1e-20))
+        # Share of the residuals' variance along the normal of every border, the larger one of its two lists.
+        share = np.zeros_like(self.apart)
+        for i in range(len(self.centres)):
+            r = rest[home == i]
+            if len(r):
+                share[i] = (((r @ (self.centres - self.centres[i]).T) / self.apart[i]) ** 2).mean(axis=0) / max(1e-20, (r * r).sum(axis=1).mean())
+        self.share = np.maximum(share, share.T)
 
     def _apart(self) -> np.ndarray:
         s = (self.centres**2).sum(axis=1)
         return s[:, None] + s - 2 * (self.centres @ self.centres.T)
 
-    def encode(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    def encode(self, x: np.ndarray, reach: float, z: float = Z) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """Home list, codes, distance to the code, and other lists to probe, of unit vectors."""
         home, d = nearest(x, self.centres)
         rest = x - self.centres[home]
@@ -84,7 +99,8 @@ class Index:
         error = np.sqrt(((rest - np.hstack([b[codes[:, k]] for k, b in enumerate(self.books)])) ** 2).sum(axis=1))
         border = (d - d[np.arange(len(x)), home][:, None]) / (2 * self.apart[home])
         border[np.arange(len(x)), home] = np.inf
-        return home, codes, error, [np.flatnonzero(row <= margin) for row in border]
+        margin = reach * np.minimum(1.0, z * np.sqrt(self.share)) / 2 + SPARE
+        return home, codes, error, [np.flatnonzero(row) for row in border <= margin[home]]
 
     def candidates(self, queries: np.ndarray, home: int, codes: np.ndarray, error: np.ndarray, reach: float) -> np.ndarray:
         """Mask (queries, codes): pairs whose looked-up distance allows a true distance of ``reach``."""
@@ -98,6 +114,12 @@ class Index:
         return total <= limit[None, :]
 
 
+def times(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row k as often as counts[k] says, and the number of each repetition."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def _unit(values: np.ndarray) -> np.ndarray:
     return (values / np.sqrt((values * values).sum(axis=1))[:, None]).astype(np.float32)
 
@@ -113,17 +135,20 @@ def clean(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, dims, raw = [], [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if i is None or not v.is_valid or not len(v.values) or v.values.null_count:
-                    continue
-                x = np.asarray(v.values, kind)
-                s = np.abs(x).max()
-                if np.isfinite(s) and s > 0:
-                    if not 1e-100 < float(s) < 1e100:
-                        x = x / s  # squares neither vanish nor overflow; floats of four bytes never come here
-                    ids.append(i), dims.append(len(x)), raw.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "dim", "v"])
+            ids, lists = batch.column(0), batch.column(1)
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)  # null components become NaN
+            n = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            off = np.append(0, np.cumsum(n))
+            top = np.zeros(len(n))
+            some = np.flatnonzero(n > 0)
+            if len(some):
+                top[some] = np.maximum.reduceat(np.abs(x), off[some])
+            use = np.isfinite(top) & (top > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(use & ((top <= 1e-100) | (top >= 1e100))):
+                x[off[k] : off[k + 1]] /= top[k]  # squares neither vanish nor overflow; floats of four bytes never come here
+            raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(off * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))])
+            keep = pa.array(use)
+            yield pa.RecordBatch.from_arrays([ids.filter(keep), pa.array(n[use].astype(np.int32)), raw.filter(keep).cast(pa.binary())], names=["vec_id", "dim", "v"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
 
@@ -133,7 +158,7 @@ def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float) -> Da
     spark = distinct.sparkSession
     sample = sampled(distinct, SAMPLE, n, "vec_id").select("v").toPandas()["v"]  # SAMPLE rows at most
     x = _unit(np.frombuffer(b"".join(sample), kind).astype(np.float64).reshape(-1, dim))
-    lists = int(np.clip(n // PER_LIST, 1, min(LISTS, max(1, len(x) // 8))))
+    lists = max(1, min(2 + n // PER_LIST, len(x) // LEAST))
     shared = spark.sparkContext.broadcast(Index(x, lists))
     reach = float(np.sqrt(max(0.0, 2 - 2 * link)))
 
@@ -143,7 +168,7 @@ def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float) -> Da
             if not batch.num_rows:
                 continue
             values = np.frombuffer(b"".join(batch.column("v").to_pylist()), kind).astype(np.float64).reshape(-1, dim)
-            home, codes, error, probes = index.encode(_unit(values), reach / 2 + SPARE)
+            home, codes, error, probes = index.encode(_unit(values), reach)
             yield pa.RecordBatch.from_arrays(
                 [*batch.select(["vec_id", "copies", "v"]).columns, pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error.astype(np.float64)), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
                 names=["vec_id", "copies", "v", "home", "codes", "error", "probes"],
@@ -159,22 +184,26 @@ def _links(distinct: DataFrame, dim: int, kind: type, n: int, link: float) -> Da
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, queries = tiles.value
         for batch in batches:
-            rows, a, b, i, j, side = [], [], [], [], [], []
-            ids, homes, probes = batch.column("vec_id").to_pylist(), batch.column("home").to_pylist(), batch.column("probes").to_pylist()
-            for k, (vec, home, other) in enumerate(zip(ids, homes, probes)):
-                spread = vec * 0x9E3779B97F4A7C15 >> 20
-                own = spread % int(split[home])
-                for t in range(int(split[home])):
-                    rows.append(k), a.append(home), b.append(home), i.append(min(own, t)), j.append(max(own, t)), side.append(int(own > t))
-                for t in range(int(queries[home])):  # as part of the list, for the queries to it
-                    rows.append(k), a.append(-1), b.append(home), i.append(t), j.append(own), side.append(1)
-                for c in other:  # as a query
-                    for t in range(int(split[c])):
-                        rows.append(k), a.append(-1), b.append(c), i.append(spread % int(queries[c])), j.append(t), side.append(0)
-            key = (np.array(a, np.int64) * 1_000_003 + np.array(b, np.int64)) * 1_000_003 + np.array(i, np.int64) * 1009 + np.array(j, np.int64) if rows else np.zeros(0, np.int64)
+            ids, homes = batch.column("vec_id").to_numpy().astype(np.uint64), batch.column("home").to_numpy().astype(np.int64)
+            probes = batch.column("probes")
+            asker, other = times(probes.value_lengths().to_numpy())[0], probes.flatten().to_numpy().astype(np.int64)
+            spread = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+            own = spread % split[homes]
+            a, t = times(split[homes])  # within the list
+            b, u = times(queries[homes])  # as part of the list, for the queries to it
+            c, v = times(split[other])  # as a query
+            rows = np.concatenate([a, b, asker[c]])
+            left = np.concatenate([homes[a], np.full(len(b) + len(c), -1)])
+            right = np.concatenate([homes[a], homes[b], other[c]])
+            i = np.concatenate([np.minimum(own[a], t), u, spread[asker[c]] % np.maximum(1, queries[other[c]])])
+            j = np.concatenate([np.maximum(own[a], t), own[b], v])
+            side = np.concatenate([own[a] > t, np.ones(len(b), bool), np.zeros(len(c), bool)])
+            key = (left * 1_000_003 + right) * 1_000_003 + i * 1009 + j
             # One message per row and tile: a tile's rows meet in the group of its key.
-            out = batch.select(["vec_id", "copies", "v", "home", "codes", "error", "probes"]).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(x, pa.int32()) for x in (a, b, i, j, side)), *out.columns], names=["key", "a", "b", "i", "j", "side", *out.schema.names])
+            for lo in range(0, len(rows), 1 << 16):
+                part = slice(lo, lo + (1 << 16))
+                out = batch.select(["vec_id", "copies", "v", "home", "codes", "error", "probes"]).take(pa.array(rows[part]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), *(pa.array(x[part].astype(np.int32)) for x in (left, right, i, j, side)), *out.columns], names=["key", "a", "b", "i", "j", "side", *out.schema.names])
 
     dealt = coded.mapInArrow(deal, "key long, a int, b int, i int, j int, side int, vec_id long, copies long, v binary, home int, codes binary, error double, probes array<int>")
 
