@@ -1,21 +1,23 @@
 """WARC archives and a capture index merged from sorted runs.
 
 Writing: of records with equal payloads of at least ``REVISIT`` bytes the one with the largest id is a response, the others
-are revisits that name it; smaller payloads are always responses.  Records are laid out by DataFrame expressions and written as
-gzipped text whose record separator is WARC's own, two line ends; any file system of Spark's will do.
+are revisits that name it; smaller payloads are always responses.  Records are laid out by DataFrame expressions, and each is a gzip
+member of its own, so that offset and length of the index lead to it; any file system of Spark's will do.
 
 Reading: every archive is parsed on its own, digests are made anew from the payloads, and its captures are sorted by URL key
-(host labels reversed, then path) and timestamp: one run per archive.  Splitters, sampled from the pages, cut each run into
-ranges.  A range's task merges its share of the k runs with a loser tree; ranges are ordered, so all of them together are the global
-order, and a URL with very many captures is cut between timestamps.
+(host labels reversed, then path) and timestamp: one run per archive.  Sampled splitters deal the runs over ranges of about ``RANGE``
+captures, as many as the captures need.  A range's task merges its share of the k runs with a loser tree; ranges are ordered, so all
+of them together are the global order, and a URL with very many captures is cut between timestamps.
 
-Null html is an empty payload.  Null URLs have no target and sort first.  Line ends in URLs are percent-encoded.  Null ids are
+An archive holds about ``ARCHIVE`` bytes of payload and is parsed as a whole; one page may be up to 2 GB.  Null html is an empty payload.  Null URLs have no target and sort first.  Line ends in URLs are percent-encoded.  Null ids are
 responses and no one's original; rows with equal ids and payloads are responses alike.  Pages have no time of
-capture: it is ``EPOCH`` plus the id in seconds.  An empty table gives an empty archive and index.
+capture: it is ``EPOCH`` plus the id in seconds, in UTC; ids beyond the year 9999 start again at ``EPOCH``.  Columns beside page_id, url and
+html are not read, whatever their names.  An empty table gives an empty archive and index.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import posixpath
 import re
@@ -25,59 +27,113 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorloom.plans.recovery import shared_folder
-from floorloom.plans.sampling import sampled
+from floorloom.plans.recovery import settled, shared_folder
 
 REVISIT = 1000
 EPOCH = 1704067200
+#: Seconds from EPOCH to the end of the year 9999.
+PERIOD = 253402300800 - EPOCH
 END = "\r\n"
-#: Captures per range, and sampled URLs for the splitters.
-RANGE, SAMPLES = 16384, 1 << 14
+#: Captures per range, bytes of payload per archive, gzip's level.
+RANGE, ARCHIVE, LEVEL = 16384, 32 << 20, 6
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def captured(page_id: Column) -> Column:
+    """WARC-Date of a page in UTC, whatever the session's zone: ``EPOCH`` and the id in seconds, around again after the year 9999."""
+    seconds = F.lit(EPOCH) + F.pmod(F.coalesce(page_id, F.lit(0)).cast("long"), F.lit(PERIOD))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / F.lit(86400)).cast("int")).cast("string")
+    rest = F.pmod(seconds, F.lit(86400)).cast("int")
+    return F.format_string("%sT%02d:%02d:%02dZ", day, F.floor(rest / 3600).cast("int"), F.pmod(F.floor(rest / 60), F.lit(60)).cast("int"), F.pmod(rest, F.lit(60)))
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """_page, _digest, _original: the captures (page_id, digest, size of the payload) that repeat another's payload."""
+    heavy = rows.where((F.col("_size") >= REVISIT) & F.col("page_id").isNotNull()).select(F.col("page_id").alias("_page"), "_digest").distinct()
+    originals = settled(heavy.groupBy("_digest").agg(F.max("_page").alias("_original"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    return heavy.join(originals, "_digest").where("_original <> _page")
+
+
 def records(pages: DataFrame) -> DataFrame:
-    """One column, value: a WARC record of each page (needs page_id, url, html), without its final line ends."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "size": F.octet_length("html").cast("long")})
-    originals = rows.where(F.col("size") >= REVISIT).groupBy("digest").agg(F.max("page_id").alias("original"))
-    rows = rows.join(originals, "digest", "left")
-    revisit = F.coalesce((F.col("size") >= REVISIT) & (F.col("original") != F.col("page_id")), F.lit(False))
+    """One column, value: a WARC record of each page (needs page_id, url, html) with its final line ends."""
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", html.alias("html"), F.unhex(F.sha1(F.encode(html, "UTF-8"))).alias("_digest"), F.octet_length(html).cast("long").alias("_size"))
+    # Payloads meet the few bytes of a revisit by id and digest, so no payload of many pages meets in one key.
+    rows = rows.join(revisits(rows).withColumnRenamed("_digest", "_same"), (F.col("page_id") == F.col("_page")) & (F.col("_digest") == F.col("_same")), "left")
+    revisit = F.col("_original").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("size"), F.lit(END + END))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("_size"), F.lit(END + END))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
-    date = F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat(
         F.lit(f"WARC/1.1{END}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(f"{END}WARC-Record-ID: "), name(F.col("page_id")), F.lit(f"{END}WARC-Date: "), date,
+        F.lit(f"{END}WARC-Record-ID: "), name(F.col("page_id")), F.lit(f"{END}WARC-Date: "), captured(F.col("page_id")),
         F.coalesce(F.concat(F.lit(f"{END}WARC-Target-URI: "), uri), F.lit("")),
-        F.lit(f"{END}WARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(revisit, F.concat(F.lit(f"{END}WARC-Refers-To: "), name(F.col("original")), F.lit(f"{END}WARC-Profile: {_PROFILE}"))).otherwise(""),
+        F.lit(f"{END}WARC-Payload-Digest: sha1:"), F.lower(F.hex("_digest")),
+        F.when(revisit, F.concat(F.lit(f"{END}WARC-Refers-To: "), name(F.col("_original")), F.lit(f"{END}WARC-Profile: {_PROFILE}"))).otherwise(""),
         F.lit(f"{END}Content-Type: application/http; msgtype=response{END}Content-Length: "), F.octet_length(block), F.lit(END + END),
     )
-    return rows.select(F.concat(head, block).alias("value"))
+    return rows.select(F.concat(head, block, F.lit(END + END)).alias("value"))
+
+
+def member(raw: bytes) -> bytes:
+    """``raw`` as a gzip member whose last byte is 0, that of its length; an empty member follows one of 16 MB or more."""
+    made = gzip.compress(raw, LEVEL, mtime=0)
+    return made if made.endswith(b"\0") else made + gzip.compress(b"", LEVEL, mtime=0)
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archives of ``pages`` as gzipped files below ``path``."""
-    records(pages).write.option("lineSep", END + END).option("compression", "gzip").mode("error").text(path)
+    """Archives of ``pages`` below ``path``: every record is a gzip member of its own, so that it can be read alone.
 
+    Spark's text writer ends each row with a separator, which is here the 0 that every member ends with.
+    """
 
-def parse(raw: bytes) -> Iterator[dict]:
-    """Captures of one archive, in its order; offsets are those of the uncompressed archive."""
-    at = 0
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                yield pa.RecordBatch.from_arrays([pa.array([member(x.as_buffer().to_pybytes())[:-1] for x in batch.column(0).slice(lo, 256)], pa.binary())], names=["value"])
+
+    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length("html"))).first()
+    many = max(1, ARCHIVE * n // max(1, size or 0) if size else 1 << 16)
+    records(pages).mapInArrow(compress, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", min(many, 1 << 16)).mode("error").text(path)
+
+
+def members(raw: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of the gzip members of an archive; empty members belong to the one before."""
+    at, found = 0, None
     while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode().split(END)
+        unpack, parts, end = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            if end >= len(raw):
+                raise ValueError(f"cut off record at {at}")
+            parts.append(unpack.decompress(raw[end : end + (1 << 16)]))
+            end = min(len(raw), end + (1 << 16))
+        end -= len(unpack.unused_data)
+        content = b"".join(parts)
+        if content:
+            if found:
+                yield found
+            found = at, end - at, content
+        elif found:
+            found = found[0], end - found[0], found[2]
+        at = end
+    if found:
+        yield found
+
+
+def parse(raw: memoryview) -> Iterator[dict]:
+    """Captures of one archive, in its order; offset and length are those of its gzip member in the file."""
+    for at, length, record in members(raw):
+        end = record.index(b"\r\n\r\n")
+        lines = record[:end].decode().split(END)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at {at}")
         head = dict(line.split(": ", 1) for line in lines[1:])
-        begin, size = end + 4, int(head["Content-Length"])
-        block = raw[begin : begin + size]
+        block = record[end + 4 : end + 4 + int(head["Content-Length"])]
         cut = block.index(b"\r\n\r\n") + 4
         kind = head["WARC-Type"]
         declared = int(re.search(rb"Content-Length: (\d+)", block[:cut])[1])
@@ -89,9 +145,8 @@ def parse(raw: bytes) -> Iterator[dict]:
         yield {
             "url": head.get("WARC-Target-URI"), "timestamp": head["WARC-Date"], "page_id": _id(head["WARC-Record-ID"]),
             "payload_bytes": declared, "payload_digest": digest, "record_type": kind,
-            "refers_to": _id(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None, "offset": at, "length": begin + size - at,
+            "refers_to": _id(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None, "offset": at, "length": length,
         }
-        at = begin + size + 4
 
 
 def _id(urn: str) -> int | None:
@@ -110,7 +165,8 @@ def url_key(url: str | None) -> str:
 
 
 def _place(capture: dict) -> tuple:
-    return url_key(capture["url"]), capture["timestamp"], -1 if capture["page_id"] is None else capture["page_id"], capture["payload_digest"]
+    page = capture["page_id"]
+    return url_key(capture["url"]), capture["timestamp"], page is not None, page or 0, capture["payload_digest"]
 
 
 class LoserTree:
@@ -150,54 +206,49 @@ class LoserTree:
 
 _CAPTURE = pa.schema([
     ("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
-    ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
+    ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("seq", pa.int64()),
 ])
+_SCHEMA = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}" for f in _CAPTURE)
 
 
-def index(spark: SparkSession, path: str, splitters: list[tuple]) -> DataFrame:
+def index(spark: SparkSession, path: str) -> DataFrame:
     """Captures of all archives below ``path`` with range and place: the global order by url_key and timestamp."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0), batch.column(1)):
-                captures = sorted(parse(zlib.decompress(content.as_buffer(), 31)), key=_place)
                 name = posixpath.basename(file.as_py())
-                keys = [_place(c) for c in captures]
-                cuts = [0, *(_bisect(keys, s) for s in splitters), len(keys)]
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if a < b:
-                        part = pa.Table.from_pylist([c | {"url_key": p[0], "file": name} for c, p in zip(captures[a:b], keys[a:b])], _CAPTURE)
-                        sink = pa.BufferOutputStream()
-                        with pa.ipc.new_stream(sink, _CAPTURE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                            out.write_table(part)
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["range", "run", "captures"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        parts = [pa.ipc.open_stream(x.as_buffer()).read_all() for _, x in sorted(zip(table.column("run").to_pylist(), table.column("captures")), key=lambda p: p[0])]
-        names = _CAPTURE.names
-
-        def walk(k: int, t: pa.Table) -> Iterator[tuple]:
-            columns = [t.column(c).to_pylist() for c in names[:4]]
-            for n, (key, when, page, digest) in enumerate(zip(*columns)):
-                yield key, when, -1 if page is None else page, digest, k, n
-
-        order = list(LoserTree([walk(k, t) for k, t in enumerate(parts)]))
-        base = np.cumsum([0, *(t.num_rows for t in parts)])
-        whole = pa.concat_tables(parts).take(pa.array([base[x[4]] + x[5] for x in order], pa.int64()))
-        n = whole.num_rows
-        return pa.table({"range": pa.array([table.column("range")[0].as_py()] * n, pa.int64()), "place": pa.array(range(n), pa.int64())} | {c: whole.column(c) for c in names})
-
-    schema = "range long, place long, url_key string, timestamp string, page_id long, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
-    return files.mapInArrow(runs, "range long, run string, captures binary").groupBy("range").applyInArrow(merge, schema)
-
-
-def _bisect(keys: list[tuple], at: tuple) -> int:
-    lo, hi = 0, len(keys)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if keys[mid] < at else (lo, mid)
-    return lo
+                run = sorted(((_place(c), c) for c in parse(memoryview(content.as_buffer()))), key=lambda p: p[0])
+                for lo in range(0, len(run), 1 << 13):
+                    part = [c | {"url_key": p[0], "file": name, "seq": lo + k} for k, (p, c) in enumerate(run[lo : lo + (1 << 13)])]
+                    yield from pa.Table.from_pylist(part, _CAPTURE).combine_chunks().to_batches()
+
+    captures = settled(files.mapInArrow(runs, _SCHEMA))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held).sort_by([("file", "ascending"), ("seq", "ascending")])
+        columns = [whole.column(c).to_pylist() for c in ("url_key", "timestamp", "page_id", "payload_digest", "file")]
+        cuts = [k for k in range(whole.num_rows) if not k or columns[4][k] != columns[4][k - 1]] + [whole.num_rows]
+
+        def walk(lo: int, hi: int) -> Iterator[tuple]:
+            for k in range(lo, hi):
+                page = columns[2][k]
+                yield columns[0][k], columns[1][k], page is not None, page or 0, columns[3][k], k
+
+        order = [x[5] for x in LoserTree([walk(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:])])]
+        place = pa.table({"range": pa.array(np.full(len(order), TaskContext.get().partitionId())), "place": pa.array(np.arange(len(order)))})
+        for c in _CAPTURE.names:
+            if c != "seq":
+                place = place.append_column(c, whole.column(c).take(pa.array(order, pa.int64())))
+        yield from place.combine_chunks().to_batches(max_chunksize=1 << 13)
+
+    # Spark samples the splitters of so many ranges itself; the number of ranges grows with that of captures.
+    ranged = captures.repartitionByRange(1 + captures.count() // RANGE, "url_key", "timestamp", "page_id", "payload_digest")
+    return ranged.mapInArrow(merge, "range long, place long, " + _SCHEMA.removesuffix(", seq long"))
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -205,16 +256,7 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    n = pages.count()
-    sample = sampled(pages.select("page_id", "url"), SAMPLES, n, "page_id", "url").collect()
-    iso = lambda i: str(np.datetime64(EPOCH + (i or 0), "s")) + "Z"
-    keys = sorted({(url_key(_encoded(r["url"])), iso(r["page_id"]), -1 if r["page_id"] is None else r["page_id"], "") for r in sample})
-    ranges = max(1, min(-(-n // RANGE), len(keys) // 4), min(16, len(keys) // 4))
-    return index(spark, path, [keys[len(keys) * i // ranges] for i in range(1, ranges)])
-
-
-def _encoded(url: str | None) -> str | None:
-    return url if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
+    return index(spark, path)
 
 
 #: DuckDB: what the archives must say.
