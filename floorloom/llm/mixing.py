@@ -4,8 +4,8 @@ Every document gets a rate, the copies of it that the mix expects.  Rates stay a
 entropy against uniform weights over documents, each rate at most ``most``) while the words of every source add up to
 its target.  The convex dual has one multiplier per source and separates by source; its solution tilts documents
 exponentially by length: ``rate = min(most, exp(multiplier * words / mean words))``.  Newton iterations solve all
-sources' duals at once on the cluster.  They work on a histogram (source, words, documents), summed map-side, so a
-source's share is as large as the number of distinct lengths and not as its number of documents.
+sources' duals at once on the cluster: a round sums gradient and curvature of every source over a histogram (source, words,
+documents), written once, and sends the next multipliers to all tasks.  No task holds a source.
 
 Rates become copies by order sampling: a document has its rate's whole part for certain, and documents are given one
 more in the order of ``u / fraction`` (u: a hash of the id) until the source's target is reached; inclusion
@@ -16,7 +16,8 @@ target to the word.  Every document's words taken are at most ``most`` times its
 Null or empty texts have size 0 and are taken 0 times.  Sources are ordered by code point, null last, and null is a
 source of its own.  Targets above ``most`` times the size of their source stop there, the excess reshared by weight until
 none is above; if all stop, the mix is smaller than the input's total share.  Rows with equal ids tie in the order; ties at
-the cut share what is left in proportion.  An empty table gives an empty result.
+the cut share what is left in proportion.  Very long texts only count; an empty table gives an empty result.  Other columns are carried along
+whatever their names, those with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from floorloom.plans.recovery import settled
+
 WEIGHTS, MOST = (5, 2, 1), 3
 BINS = 1 << 16
+#: Sources up to which their plan is sent to all tasks; beyond, it is joined by key.
+FEW = 4096
 
 
 def words(column):
@@ -52,33 +56,53 @@ def targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float =
     return out
 
 
-def multiplier(size: np.ndarray, count: np.ndarray, target: float, most: float = MOST, rounds: int = 200) -> float:
-    """Root of the dual's gradient, sum of words at the tilted rates minus the target, by Newton with bisection as guard.
+def multipliers(histogram: DataFrame, sources: pd.DataFrame, most: float = MOST, rounds: int = 200) -> np.ndarray:
+    """Roots of the dual's gradient, words at the tilted rates minus the target, of all sources: Newton steps with bisection as guard.
 
-    ``size`` are words over mean words, ``target`` in the same unit.
+    A round sums gradient and curvature of every source over the rows (_key, size, n) of ``histogram``, map-side first, and sends
+    the next multipliers to all.  ``sources`` has _key, words, n and target.  Infinite where every rate is ``most`` or 0.  Words are summed
+    as decimals, so that reruns agree whatever the order.
     """
-    size, count = np.asarray(size, float), np.asarray(count, float)
-    weight = size * count
-    if target <= 0:
-        return -np.inf
-    if target >= most * weight.sum() * (1 - 1e-12):
-        return np.inf
-    # At these ends every document with words has rate most, or all together less than the target.
-    low, high, at = -1.0, np.log(most) / size[size > 0].min(), 0.0
-    while (weight * np.exp(low * size)).sum() > target:
-        low *= 2
+    spark, cap = histogram.sparkSession, float(np.log(most))
+    words, goal = sources["words"].to_numpy(float), sources["target"].to_numpy(float)
+    mean = np.where(words > 0, words / np.maximum(1, sources["n"].to_numpy(float)), 1.0)
+    at, low, high = np.zeros(len(words)), np.full(len(words), -np.inf), np.full(len(words), np.inf)
+    at[goal >= most * words * (1 - 1e-12)] = np.inf
+    at[goal <= 0] = -np.inf
+    todo = np.isfinite(at)
+    place = {k: i for i, k in enumerate(sources["_key"])}
     for _ in range(rounds):
-        tilt = np.exp(np.minimum(at * size, np.log(most)))
-        off = (weight * tilt).sum() - target
-        if abs(off) <= 1e-9 * target:
+        if not todo.any():
             break
-        low, high = (at, high) if off < 0 else (low, at)
-        slope = (weight * size * tilt)[at * size < np.log(most)].sum()
-        step = at - off / slope if slope > 0 else np.nan
-        at = step if low < step < high else (low + high) / 2
+        state = spark.createDataFrame([(k, float(at[i]), float(mean[i])) for k, i in place.items() if todo[i]], "_k string, _at double, _mean double")
+        x = F.col("size") / F.col("_mean")
+        tilt = F.exp(F.least(F.col("_at") * x, F.lit(cap)))
+        weight = F.col("size") * F.col("n")
+        exact = lambda c: F.sum(c.cast("decimal(38,9)")).cast("double")
+        found = histogram.join(spread(state, len(words)), F.col("_key") == F.col("_k")).groupBy("_key").agg(
+            exact(weight * tilt).alias("sum"), exact(F.when(F.col("_at") * x < cap, weight * x * tilt).otherwise(0.0)).alias("slope"))
+        for r in found.collect():  # one row per source
+            i = place[r["_key"]]
+            off = r["sum"] - goal[i]
+            if abs(off) <= 1e-9 * goal[i] + 1e-6:
+                todo[i] = False
+                continue
+            low[i], high[i] = (at[i], high[i]) if off < 0 else (low[i], at[i])
+            step = at[i] - off / r["slope"] if r["slope"] > 0 else np.nan
+            if low[i] < step < high[i]:
+                at[i] = step
+            elif np.isfinite(low[i]) and np.isfinite(high[i]):
+                at[i] = (low[i] + high[i]) / 2
+            else:
+                at[i] = 2 * at[i] + (1 if off < 0 else -1)
     return at
 
 
+def spread(plan: DataFrame, sources: int) -> DataFrame:
+    """A table of one row per source, broadcast if there are few of them."""
+    return F.broadcast(plan) if sources <= FEW else plan
+
+
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: int = MOST) -> DataFrame:
     """Rows of ``documents`` (needs doc_id, text, source) with size, source_size, target, rate, copies and taken.
 
@@ -88,38 +112,30 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     spark = documents.sparkSession
     made = ("size", "source_size", "target", "rate", "copies", "taken")
     rest = documents.drop(*made)
-    carried = [F.col(c) for c in rest.columns]
+    # Carried columns go by their number, so that no name of theirs meets one of these.
+    aside = [f"_column{k}" for k in range(len(rest.columns))]
+    back = [F.col(a).alias(c) for a, c in zip(aside, rest.columns)]
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))  # null sorts last and differs from every source
-    rows = rest.select(*carried, key.alias("_key"), words(F.col("text")).alias("size"))
-    histogram = rows.groupBy("_key", "size").agg(F.count(F.lit(1)).alias("n"))
+    unit = (F.xxhash64(F.col("doc_id").cast("string"), F.lit(97)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
+    rows = rest.select(*(F.col(c).alias(a) for a, c in zip(aside, rest.columns)), key.alias("_key"), words(F.col("text")).alias("size"), unit.alias("_unit"))
+    histogram = settled(rows.groupBy("_key", "size").agg(F.count(F.lit(1)).alias("n")))
     # One row per source: the list of sources is the configuration of the mix, not its data.
-    sources = histogram.groupBy("_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).toPandas()
+    sources = histogram.groupBy("_key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n")).toPandas()
     sources = sources.sort_values("_key", key=lambda k: k.map(lambda x: [ord(c) for c in x])).reset_index(drop=True)
-    sizes = sources["source_size"].to_numpy(float)
+    sizes = sources["words"].to_numpy(float)
     weigh = np.array([weights[i % len(weights)] for i in range(len(sources))], float)
-    sources["target"] = targets(sizes, weigh, share * sizes.sum(), most) if len(sources) else []
-    plan_schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    plan = spark.createDataFrame([(k, int(s), float(t)) for k, s, t in sources.itertuples(index=False)], plan_schema)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size")
-        s, n, goal = pdf["size"].to_numpy(float), pdf["n"].to_numpy(float), float(pdf["target"].iloc[0])
-        mean = (s * n).sum() / n.sum() or 1.0
-        at = multiplier(s / mean, n, goal / mean, most)
-        rate = np.full(len(s), float(most)) if at == np.inf else np.zeros(len(s)) if at == -np.inf else np.exp(np.minimum(at * s / mean, np.log(most)))
-        rate[s == 0] = 0
-        return pd.DataFrame({"_key": pdf["_key"], "size": pdf["size"], "rate": np.minimum(rate, most)})
-
-    small = 4096  # the plan of so many sources is sent to all; beyond, it is joined by key
-    hint = F.broadcast if len(sources) <= small else (lambda df: df)
-    solved = histogram.join(hint(plan), "_key").groupBy("_key").applyInPandas(solve, "_key string, size long, rate double")
-    whole = F.floor("rate").cast("long")
-    unit = (F.xxhash64(F.col("doc_id").cast("string"), F.lit(97)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
+    sources["target"] = targets(sizes, weigh, share * sizes.sum(), most) if len(sources) else np.zeros(0)
+    plan = spark.createDataFrame(
+        [(k, int(s), float(t), float(a), s / n if s else 1.0) for (k, s, n, t), a in zip(sources[["_key", "words", "n", "target"]].itertuples(index=False), multipliers(histogram, sources, most))],
+        "_key string, source_size long, target double, _at double, _mean double",
+    )
+    hint = lambda df: spread(df, len(sources))
+    tilted = F.when(F.col("size") == 0, 0.0).when(F.col("_at") == float("inf"), float(most)).when(F.col("_at") == float("-inf"), 0.0)
+    tilted = tilted.otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("_at") * F.col("size") / F.col("_mean"), F.lit(float(np.log(most)))))))
     rated = (
-        rows.join(solved.withColumnsRenamed({"_key": "_k", "size": "_s"}), (F.col("_key") == F.col("_k")) & (F.col("size") == F.col("_s")), "left").drop("_k", "_s")
-        .join(hint(plan), "_key")
-        .withColumns({"copies": whole, "_part": F.col("rate") - F.floor("rate")})
-        .withColumn("_order", F.when((F.col("_part") > 1e-12) & (F.col("size") > 0), unit / F.col("_part")))
+        rows.join(hint(plan), "_key").withColumn("rate", tilted)
+        .withColumns({"copies": F.floor("rate").cast("long"), "_part": F.col("rate") - F.floor("rate")})
+        .withColumn("_order", F.when((F.col("_part") > 1e-12) & (F.col("size") > 0), F.col("_unit") / F.col("_part")))
         # u / fraction is mostly below 1, with a tail; this brings it into 0..1 and keeps the order.
         .withColumn("_bin", F.floor(F.col("_order") / (1 + F.col("_order")) * BINS).cast("long"))
     )
@@ -150,4 +166,4 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
     out = out.withColumn("_more", F.when(F.col("size") > 0, more).otherwise(0).cast("long"))
     out = out.withColumns({"taken": F.col("copies") * F.col("size") + F.col("_more"), "copies": F.col("copies") + (F.col("_more") == F.col("size")).cast("long") * (F.col("size") > 0).cast("long")})
-    return out.select(*carried, *made)
+    return out.select(*back, *made)

@@ -1,18 +1,18 @@
 """URL filter: fixed rules first, then an empirical-Bayes reputation of the host.
 
 A page outcome is bad or not.  Counts of labelled outcomes are summed per host, registered domain and public
-suffix.  At each level the beta-binomial prior strength is estimated from all groups of that level (analysis
+suffix, the last label of a host or a country's customary second level with it (co.uk).  At each level the beta-binomial prior strength is estimated from all groups of that level (analysis
 of variance, method of moments; from 1 to 999 pseudo-observations, 2 where it cannot be estimated), and every posterior mean serves as prior mean one level down: suffix
 under the global rate, domain under its suffix, host under its domain.  A page is blocked when the lower bound of
 its host's posterior, ``mean - z * sd``, reaches ``threshold``; hosts without labels inherit their domain's
-posterior.  Everything is DataFrame code; hot hosts are summed map-side, and the join that hands the verdict
-back carries a few numbers per host, which adaptive execution splits when one host dominates.
+posterior.  Everything is DataFrame code; hot hosts are summed map-side, counts are settled once per level, and verdicts
+of hosts are broadcast if few were counted; else adaptive execution splits a dominating host.
 
 A null URL or one without ``://`` has an empty host and path and forms a group of its own.  Null labels are
 no outcomes.  Without labels every rate is 1/2 with the spread of a uniform prior, and the bound stays below
 the threshold.
-Ties and repeated rows are counted as they stand.  Input columns are carried along, those with the names of
-results are replaced.
+Ties and repeated rows are counted as they stand, urls of any length are judged whole.  Input columns are carried along whatever their
+names, those with the names of results are replaced.  Without pages the result is empty.
 """
 
 from __future__ import annotations
@@ -20,9 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from floorloom.plans.recovery import settled, small
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Share of bad pages that the lower bound must reach, and standard deviations below the mean.
 THRESHOLD, Z = 0.25, 1.0
+#: Second levels under which countries register domains (fixed values).
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "mil", "net", "ne", "nom", "or", "org", "sch")
 #: A rule: verdict, host, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -47,19 +51,22 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """Last two labels; the whole host if it has fewer."""
-    return F.substring_index(host, ".", -2)
-
+def registered(host: Column, second: tuple[str, ...] = SECOND_LEVEL) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host.
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    The suffix is the last label, or the last two where the last has two letters and the one before is a customary second level; the domain
+    has one label more.  A host that is a suffix, or has no dot, is its own domain.
+    """
+    last, before = F.substring_index(host, ".", -1), F.substring_index(F.substring_index(host, ".", -2), ".", 1)
+    two = (F.length(last) == 2) & before.isin(*second) & (F.instr(host, ".") > 0)
+    last_of = lambda n: F.substring_index(host, ".", -n)
+    return F.when(two, last_of(3)).otherwise(last_of(2)), F.when(two, last_of(2)).otherwise(last_of(1))
 
 
-def _strength(groups: DataFrame, name: str) -> DataFrame:
-    """One row: prior strength of a beta-binomial from (n, k) per group by analysis of variance."""
+def _strengths(groups: DataFrame) -> DataFrame:
+    """_level, _c: prior strength of a beta-binomial from the (n, k) of every level's groups, by analysis of variance; one row per level."""
     n, k = F.col("n"), F.col("k")
-    s = groups.agg(
+    s = groups.groupBy("_level").agg(
         F.count(F.lit(1)).alias("m"), F.sum(n).alias("t"), F.sum(k).alias("b"),
         F.sum(k * k / n).alias("kk"), F.sum(n * n).alias("nn"),
     )
@@ -70,33 +77,34 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
     rho = (between - within) / (between + (size - 1) * within)
     rho = F.when((m < 2) | (t <= m) | (between + (size - 1) * within <= 0), 1.0 / 3).otherwise(rho)
     rho = F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.5))
-    return s.select(((1 - rho) / rho).alias(name))
+    return s.select("_level", ((1 - rho) / rho).alias("_c"))
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """From rows (host, bad 0/1): posterior (a, b) by host, domain and suffix, and one row for the rest.
+def reputations(outcomes: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Posteriors of every labelled suffix, domain and host: level, name, mean, strength; and the numbers of the priors.
 
-    Each level's table has its key, ``mean`` and ``strength`` (pseudo-observations behind the mean).
+    ``outcomes`` has rows (host, bad 0/1).  They are summed once, per host, and settled; levels above are sums of the one below.
     """
+    domain, suffix = registered(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.sum("bad").cast("double").alias("k")).where("n > 0")
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    prior = (
-        suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("p0"))
-        .crossJoin(_strength(suffixes, "cs")).crossJoin(_strength(domains, "cd")).crossJoin(_strength(hosts, "ch"))
-    )  # fmt: skip  one row
-
-    def level(groups: DataFrame, mean: str, strength: str) -> list[Column]:
-        return [(F.col("n") + F.col(strength)).alias("strength"), ((F.col("k") + F.col(strength) * F.col(mean)) / (F.col("n") + F.col(strength))).alias("mean")]
-
-    one = F.broadcast(prior)  # exactly one row
-    by_suffix = suffixes.crossJoin(one).select("suffix", *level(suffixes, "p0", "cs"))
-    up = by_suffix.select("suffix", F.col("mean").alias("pm"))
-    by_domain = domains.join(up, "suffix").crossJoin(one).select("domain", *level(domains, "pm", "cd"))
-    up = by_domain.select("domain", F.col("mean").alias("pm"))
-    by_host = hosts.join(up, "domain").crossJoin(one).select("host", *level(hosts, "pm", "ch"))
-    return by_host, by_domain, by_suffix, prior
+    hosts = settled(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"))
+    sums = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = settled(sums(hosts, "domain", "suffix"))
+    suffixes = settled(sums(domains, "suffix"))
+    leveled = [df.select(F.lit(level).alias("_level"), "n", "k") for level, df in (("host", hosts), ("domain", domains), ("suffix", suffixes))]
+    c = {"host": 2.0, "domain": 2.0, "suffix": 2.0} | {r["_level"]: r["_c"] for r in _strengths(leveled[0].union(leveled[1]).union(leveled[2])).collect()}  # three rows
+    bad, all_ = suffixes.agg(F.sum("k"), F.sum("n")).first()
+    rate = ((bad or 0.0) + 1) / ((all_ or 0.0) + 2)
+
+    def level(name: str, mean: Column) -> list[Column]:
+        strength = F.col("n") + F.lit(c[name])
+        return [F.lit(name).alias("level"), F.col(name).alias("name"), ((F.col("k") + F.lit(c[name]) * mean) / strength).alias("mean"), strength.alias("strength")]
+
+    above = lambda df, name: df.select(F.col("name").alias("_name"), F.col("mean").alias("_mean"))
+    by_suffix = settled(suffixes.select(*level("suffix", F.lit(rate))))
+    by_domain = settled(domains.join(small(above(by_suffix, "suffix")), F.col("suffix") == F.col("_name")).select(*level("domain", F.col("_mean"))))
+    by_host = hosts.join(small(above(by_domain, "domain")), F.col("domain") == F.col("_name")).select(*level("host", F.col("_mean")))
+    return by_host.union(by_domain).union(by_suffix), c | {"rate": rate}
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
@@ -105,23 +113,25 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float =
     ``outcomes`` has rows (url, bad): a labelled page outcome each.
     """
     seen = outcomes.where(F.col("bad").isin(0, 1)).select(host_of(F.col("url")).alias("host"), F.col("bad").cast("long").alias("bad"))
-    by_host, by_domain, by_suffix, prior = reputations(seen)
+    found, prior = reputations(seen)
+    found = settled(found)
     rest = pages.drop("host", "path", "rule", "bad_rate", "bound", "verdict")
-    rows = rest.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    hosts = rows.select("host").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    rename = lambda df, p: df.withColumnsRenamed({"mean": p + "m", "strength": p + "s"})
-    known = (
-        hosts.join(rename(by_host, "h"), "host", "left").join(rename(by_domain, "d"), "domain", "left")
-        .join(rename(by_suffix, "s"), "suffix", "left").crossJoin(F.broadcast(prior))
-    )
-    mean = F.coalesce("hm", "dm", "sm", "p0")
+    # Carried columns go by their number, so that no name of theirs meets one of these.
+    aside = [f"_column{k}" for k in range(len(rest.columns))]
+    rows = rest.select(*(F.col(c).alias(a) for a, c in zip(aside, rest.columns)), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    domain, suffix = registered(F.col("host"))
+    known = rows.select("host").distinct().select(F.col("host").alias("_host"), domain.alias("_domain"), suffix.alias("_suffix"))
+    for name in ("host", "domain", "suffix"):
+        of = found.where(F.col("level") == name).select(F.col("name").alias(f"_{name}_name"), F.col("mean").alias(f"_{name}_mean"), F.col("strength").alias(f"_{name}_strength"))
+        known = known.join(small(of), F.col(f"_{name}") == F.col(f"_{name}_name"), "left")
+    mean = F.coalesce("_host_mean", "_domain_mean", "_suffix_mean", F.lit(prior["rate"]))
     # A level without outcomes has only its prior's strength behind the mean of the level above.
-    strength = F.coalesce(F.col("hs"), F.col("ch"))
-    known = known.select(F.col("host").alias("_host"), mean.alias("bad_rate"), (mean - z * F.sqrt(mean * (1 - mean) / (strength + 1))).alias("bound"))
+    strength = F.coalesce("_host_strength", F.lit(prior["host"]))
+    known = settled(known.select("_host", mean.alias("bad_rate"), (mean - z * F.sqrt(mean * (1 - mean) / (strength + 1))).alias("bound")))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    out = rows.join(known, F.col("host") == F.col("_host"), "left").drop("_host")
+    out = rows.join(small(known), F.col("host") == F.col("_host"), "left")
     method = F.when(F.col("bound") >= threshold, "block").otherwise("allow")
-    return out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, method)})
+    return out.select(*(F.col(a).alias(c) for a, c in zip(aside, rest.columns)), "host", "path", "bad_rate", "bound", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"))
 
 
 #: DuckDB: the same estimate over pages and labels.
@@ -131,8 +141,9 @@ p AS (
   SELECT page_id, translate(regexp_extract(url, '(?s)\\A.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
          regexp_extract(url, '(?s)\\A.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
 q AS (
-  SELECT *, CASE WHEN strpos(host, '.') = 0 THEN host ELSE split_part(host, '.', -2) || '.' || split_part(host, '.', -1) END AS domain,
-         split_part(host, '.', -1) AS suffix FROM p),
+  SELECT *, CASE WHEN len(l) <= parts THEN host ELSE array_to_string(l[-parts - 1:], '.') END AS domain,
+         CASE WHEN len(l) <= parts THEN host ELSE array_to_string(l[-parts:], '.') END AS suffix
+  FROM (SELECT *, string_split(host, '.') AS l, CASE WHEN len(l) > 1 AND length(l[-1]) = 2 AND l[-2] IN ({", ".join(f"'{x}'" for x in SECOND_LEVEL)}) THEN 2 ELSE 1 END AS parts FROM p)),
 o AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*)::DOUBLE AS n, sum(1 - quality)::DOUBLE AS k
       FROM q JOIN labels ON doc_id = page_id WHERE quality IN (0, 1) GROUP BY host),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM o GROUP BY domain, suffix),

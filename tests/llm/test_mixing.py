@@ -1,7 +1,6 @@
 """Source mixing: targets, the dual and the rounding."""
 
 import numpy as np
-import pytest
 
 from floorloom.llm import mixing
 
@@ -13,13 +12,30 @@ def test_targets_are_reshared():
     assert mixing.targets([], [], 0).tolist() == []
 
 
-@pytest.mark.parametrize("ratio", [0.01, 0.5, 1.0, 2.5, 2.999])
-def test_newton_meets_the_target(ratio):
-    r = np.random.default_rng(0)
-    size, count = r.integers(0, 300, 50) / 100, r.integers(1, 9, 50)
-    goal = ratio * (size * count).sum()
-    at = mixing.multiplier(size, count, goal)
-    assert abs((size * count * np.minimum(3, np.exp(np.minimum(at * size, 5)))).sum() - goal) <= 1e-6 * goal
+def root(size, goal, most=3):
+    """The multiplier of one source, by bisection over its documents."""
+    low, high = -1e4, 1e4
+    for _ in range(300):
+        at = (low + high) / 2
+        low, high = (at, high) if (size * np.exp(np.minimum(at * size / size.mean(), np.log(most)))).sum() < goal else (low, at)
+    return at
+
+
+def test_rates_are_those_of_the_dual(spark):
+    """All rates against bisection on the documents of each source, tight and loose targets."""
+    df = documents(spark)
+    out = mixing.mix(df, weights=(9, 1, 2, 0.001)).toPandas()
+    some = 0
+    for _, group in out.groupby(out["source"].fillna("~")):
+        size, goal = group["size"].to_numpy(float), group["target"].iloc[0]
+        if goal >= 3 * size.sum() * (1 - 1e-9):
+            assert (group["rate"][size > 0] == 3).all()
+        elif goal > 0:
+            at = root(size, goal)
+            want = np.where(size > 0, np.minimum(3, np.exp(np.minimum(at * size / size.mean(), np.log(3)))), 0)
+            assert np.allclose(group["rate"], want, rtol=1e-6, atol=1e-9)
+            some += 1
+    assert some >= 3
 
 
 def documents(spark, n=400):
@@ -50,6 +66,6 @@ def test_reruns_agree(spark):
 
 def test_empty_table_and_clashing_names(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
-    df = spark.createDataFrame([(1, "a b", "s", "x", 5)], "doc_id long, text string, source string, size string, weight int")
+    df = spark.createDataFrame([(1, "a b", "s", "x", 5, "k", "o")], "doc_id long, text string, source string, size string, weight int, _key string, _order string")
     row = mixing.mix(df).first()
-    assert row["size"] == 2 and row["weight"] == 5 and row["taken"] == 2
+    assert row["size"] == 2 and row["weight"] == 5 and row["taken"] == 2 and row["_key"] == "k" and row["_order"] == "o"

@@ -26,6 +26,15 @@ def test_rules(spark, host, path, rule):
     assert row["r"] == rule and (row["v"] is None) == (rule is None)
 
 
+@pytest.mark.parametrize("host, domain, suffix", [
+    ("a.b.example.com", "example.com", "com"), ("shop.firm.co.uk", "firm.co.uk", "co.uk"), ("firm.co.uk", "firm.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"),
+    ("x.co.com", "co.com", "com"), ("localhost", "localhost", "localhost"), ("uk", "uk", "uk"), ("", "", ""), ("a.de", "a.de", "de"),
+])
+def test_registered_domains(spark, host, domain, suffix):
+    got = urlfilter.registered(F.lit(host))
+    assert tuple(spark.range(1).select(got[0].alias("d"), got[1].alias("s")).first()) == (domain, suffix)
+
+
 def outcomes(spark, spec):
     return spark.createDataFrame([(f"http://{h}/p", b) for h, good, bad in spec for b in [0] * good + [1] * bad], "url string, bad int")
 
@@ -47,3 +56,6 @@ def test_no_labels_and_no_pages(spark):
     row = urlfilter.judge(pages, none).first()
     assert row["bad_rate"] == 0.5 and row["verdict"] == "allow"
     assert urlfilter.judge(pages.limit(0), none).count() == 0
+    odd = spark.createDataFrame([(1, "http://a.com/", "h", "n")], "page_id long, url string, _host string, _host_name string")
+    row = urlfilter.judge(odd, none).first()
+    assert row["_host"] == "h" and row["_host_name"] == "n" and row["host"] == "a.com"
