@@ -3,15 +3,16 @@
 A window is ``size`` consecutive words of a benchmark item (the whole item if it is shorter).  All its words must occur, so
 the necessary prefix in the order of rarity is one word: the window's rarest, by counts over all documents.  Documents are
 probed with these words only.  A probe must respect position and length (the window's start and end lie in the document); its
-words are then compared one by one, rarest first, until all ``size`` 64-bit word hashes agree in place.  Every word inside an
+words are then compared one by one by their hashes, rarest first, and what is left by the words themselves.  Every word inside an
 occurrence is hit.
 
 The documents are read twice, once to count the benchmark's words and once to probe, and never shuffled.  The benchmark goes to
 the executors in blocks of about ``block_words`` words (one item at least); each block is fetched, indexed and broadcast by itself,
-and a task holds one block at a time, so its size does not bound what can be checked.
+and a task holds one block at a time, so its size does not bound what can be checked.  The driver holds one block at a time as well.
 
 Null texts have no words.  Items without words have no windows.  A null item id reads as the empty text.  Equal windows of several items count for each
-of them, repeated rows are judged alike.  With an empty benchmark nothing is hit.  Columns with the names of results are replaced.
+of them, repeated rows are judged alike.  With an empty benchmark nothing is hit.  Very long texts
+are cut into no pieces and judged whole.  Columns with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ BLOCK_WORDS = 1 << 18
 _PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def windows(items: list[tuple[str, str | None]], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows as rows of word hashes (0-padded), their lengths, and the pairs (window, item row) that have them."""
+def windows(items: list[tuple[str, str | None]], size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Distinct windows as rows of word hashes (0-padded), their lengths, the pairs (window, item row) that have them, and their words."""
     data, off = text.buffers(pa.array([t for _, t in items], pa.large_string()))
     words = text.Words(data, off, text.ALNUM)
     h = words.hashes()
@@ -43,10 +44,12 @@ def windows(items: list[tuple[str, str | None]], size: int = SIZE) -> tuple[np.n
     length = np.concatenate([np.full(len(full), size), words.count[short]]).astype(np.int64)
     at = start[:, None] + np.arange(size)
     rows = np.where(np.arange(size) < length[:, None], h[np.minimum(at, max(0, len(h) - 1))] if len(h) else np.zeros(at.shape, np.uint64), np.uint64(0))
-    rows = np.ascontiguousarray(np.column_stack([rows, length.astype(np.uint64)]))
-    kept, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, np.zeros(0, np.int64))
-    pairs = np.unique(np.column_stack([which.reshape(-1), words.doc[start]]), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
-    return kept[:, :size], kept[:, size].astype(np.int64), pairs[:, 0], pairs[:, 1]
+    raw, place = words.spaced()
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(raw[place[a] : place[a + n] - 1], len(known)) for a, n in zip(start, length)], np.int64)
+    first = np.unique(which, return_index=True)[1]
+    pairs = np.unique(np.column_stack([which, words.doc[start]]), axis=0) if len(rows) else np.zeros((0, 2), np.int64)
+    return rows[first], length[first], pairs[:, 0], pairs[:, 1], list(known)
 
 
 class Index:
@@ -54,13 +57,13 @@ class Index:
 
     def __init__(self, items: list[tuple[str, str | None]], counts: dict[int, int], size: int = SIZE):
         self.names = [name for name, _ in items]
-        rows, length, self.pair_window, self.pair_item = windows(items, size)
+        rows, length, self.pair_window, self.pair_item, spelled = windows(items, size)
         rare = np.array([[counts.get(int(x), 0) for x in r] for r in rows], dtype=np.float64).reshape(rows.shape)
         rare[np.arange(rows.shape[1]) >= length[:, None]] = np.inf
         order = np.argsort(rare, axis=1, kind="stable")  # places of a window's words, rarest first
         probe = rows[np.arange(len(rows)), order[:, 0]] if len(rows) else np.zeros(0, np.uint64)
         by = np.argsort(probe, kind="stable")
-        self.rows, self.length, self.order = rows[by], length[by], order[by]
+        self.rows, self.length, self.order, self.spelled = rows[by], length[by], order[by], [spelled[k] for k in by]
         new = np.empty_like(by)
         new[by] = np.arange(len(by))
         self.pair_window = new[self.pair_window]
@@ -92,6 +95,10 @@ class Index:
             out = step >= self.length[window]
             same = out | (h[np.minimum(start + step, len(h) - 1)] == self.rows[window, step])
             start, window = start[same], window[same]
+        if len(start):
+            raw, place = words.spaced()
+            same = np.array([raw[place[a] : place[a + n] - 1] == self.spelled[w] for a, n, w in zip(start, self.length[window], window)], bool)
+            start, window = start[same], window[same]
         return start, window
 
 
@@ -120,7 +127,7 @@ def judge(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, block_wo
 
     vocabularies = []
     for k in range(blocks):
-        rows, length, _, _ = windows(fetch(k), size)
+        rows, length, *_ = windows(fetch(k), size)
         vocabularies.append(context.broadcast(np.unique(rows[np.arange(size) < length[:, None]])))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,16 +1,16 @@
 """Preference formatting: one prompt, two masked completions.
 
 A pair names a chosen and a rejected conversation.  Their longest common prefix of turns, equal in role and text, is rendered once
-as the prompt; what follows in each becomes its completion.  Results are segments, one row per turn, so that no conversation has
-to fit into one row: ``mask`` is 1 where a model is trained (assistant turns of completions) and 0 elsewhere.
-``assembled`` puts the segments of pairs of ordinary length into strings.
+as the prompt; what follows in each becomes its completion.  ``segments`` has one row per turn: ``mask`` is 1 where a model is trained
+(assistant turns of completions) and 0 elsewhere.  ``paired`` puts them into one prompt and two completions with their masks, ``TURNS`` turns a
+row, so that no conversation has to fit into one row.
 
 Turns are aligned by their number.  The end of the prefix is the smallest number at which the two sides differ, an aggregate with
 map-side sums: no window, and no conversation in one task.  Everything is DataFrame code.
 
 Null turn numbers come before all others.  Null texts are empty, null roles are ``unknown``.  Several rows with one
-turn number are one turn; they are compared as a bag (by count and two 64-bit hashes) and rendered in the order of role and text.  Pairs with an absent side are no
-pairs.  Identical conversations have a prompt and no completions.  Null conversation ids belong to no pair.
+turn number are one turn; they are compared as a bag, by their texts, and rendered in the order of role and content.  Pairs with an absent side are no
+pairs.  Very long texts are rendered whole.  Other columns are not read, whatever their names.  Without turns the result is empty.  Identical conversations have a prompt and no completions.  Null conversation ids belong to no pair.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAINED = "assistant"
+#: Numbers of turns in a row of ``paired``.
+TURNS = 256
 _FIRST = -(1 << 31)
 
 
@@ -42,17 +44,12 @@ def segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     clean = turns.select("conv_id", F.coalesce("turn", F.lit(_FIRST)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     both = pairs.where("conv_id IS NOT NULL AND pair_id IS NOT NULL")
     rows = clean.join(both.select("pair_id", "conv_id", "side"), "conv_id")
-    sides = {s: F.col("side") == s for s in ("chosen", "rejected")}
-    number = lambda seed: F.xxhash64("role", "text", F.lit(seed)).cast("decimal(20,0)")
-    bags = rows.groupBy("pair_id", "turn").agg(
-        *(F.sum(F.when(c, number(k))).alias(f"{s}{k}") for s, c in sides.items() for k in (1, 2)),
-        *(F.count(F.when(c, 1)).alias(f"{s}_n") for s, c in sides.items()),
-    )
-    same = F.col("chosen1").eqNullSafe(F.col("rejected1")) & F.col("chosen2").eqNullSafe(F.col("rejected2")) & (F.col("chosen_n") == F.col("rejected_n"))
-    split = bags.groupBy("pair_id").agg(
-        F.min(F.when(~same, F.col("turn"))).alias("_split"), F.max(F.col("chosen_n") > 0).alias("_a"), F.max(F.col("rejected_n") > 0).alias("_b"),
-    ).where("_a AND _b")
-    shared = bags.join(split, "pair_id").where("_split IS NULL OR turn < _split").groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n"))
+    # Equal turns of both sides cancel out: the same role and text as often here as there.
+    often = lambda side: F.count(F.when(F.col("side") == side, 1))
+    cells = rows.groupBy("pair_id", "turn", "role", "text").agg(often("chosen").alias("_c"), often("rejected").alias("_r"))
+    held = cells.groupBy("pair_id", "turn").agg(F.every(F.col("_c") == F.col("_r")).alias("_same"), F.max(F.col("_c") > 0).alias("_a"), F.max(F.col("_r") > 0).alias("_b"))
+    split = held.groupBy("pair_id").agg(F.min(F.when(~F.col("_same"), F.col("turn"))).alias("_split"), F.max("_a").alias("_a"), F.max("_b").alias("_b")).where("_a AND _b")
+    shared = held.join(split.select("pair_id", "_split"), "pair_id").where("_split IS NULL OR turn < _split").groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n"))
     split = split.join(shared, "pair_id", "left").select("pair_id", "_split", F.coalesce("_n", F.lit(0)).alias("n_prefix"))
     out = rows.join(split, "pair_id")
     prompt = F.col("_split").isNull() | (F.col("turn") < F.col("_split"))
@@ -63,19 +60,18 @@ def segments(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def assembled(parts: DataFrame) -> DataFrame:
-    """pair_id, prompt, chosen, rejected and the completions' masks as arrays of (text, mask); for pairs that fit into a row."""
-    rows = parts.groupBy("pair_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content", "mask"))).alias("s"))
-    text = F.array_join(F.transform("s", lambda x: x["content"]), "")
-    masked = F.transform("s", lambda x: F.struct(x["content"].alias("text"), x["mask"].alias("mask")))
-    pick = lambda part, c, empty: F.coalesce(F.max(F.when(F.col("part") == part, c)), empty)
-    rows = rows.select("pair_id", "part", text.alias("text"), masked.alias("masked"))
-    none = F.array().cast("array<struct<text:string,mask:int>>")
-    return rows.groupBy("pair_id").agg(
-        pick("prompt", F.col("text"), F.lit("")).alias("prompt"),
-        *(pick(side, F.col("text"), F.lit("")).alias(side) for side in ("chosen", "rejected")),
-        *(pick(side, F.col("masked"), none).alias(f"{side}_masked") for side in ("chosen", "rejected")),
-    )
+def paired(parts: DataFrame, turns: int = TURNS) -> DataFrame:
+    """pair_id, piece, n_prefix, prompt, chosen, chosen_mask, rejected, rejected_mask: prompt and paired completions as strings.
+
+    A mask names, segment by segment, whether it is trained on and its length in characters: ``1:25,0:12``.  Rows hold ``turns`` numbers
+    of turns, so an ordinary conversation is one row and one of any length is several, in the order of ``piece``.
+    """
+    segment = F.struct("turn", "role", "content", "mask")
+    of = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, segment))).alias(part)
+    rows = parts.groupBy("pair_id", F.floor(F.col("turn") / turns).cast("long").alias("piece")).agg(F.max("n_prefix").alias("n_prefix"), *map(of, ("prompt", "chosen", "rejected")))
+    text = lambda side: F.array_join(F.transform(side, lambda x: x["content"]), "")
+    mask = lambda side: F.array_join(F.transform(side, lambda x: F.concat(x["mask"].cast("string"), F.lit(":"), F.length(x["content"]).cast("string"))), ",")
+    return rows.select("pair_id", "piece", "n_prefix", *(c for side in ("prompt", "chosen", "rejected") for c in ([text(side).alias(side)] if side == "prompt" else [text(side).alias(side), mask(side).alias(f"{side}_mask")])))
 
 
 #: DuckDB: turns compared as ordered lists.
@@ -87,8 +83,13 @@ b AS (SELECT pair_id, turn, list([role, text] ORDER BY role, text) FILTER (side
              list([role, text] ORDER BY role, text) FILTER (side = 'rejected') AS r FROM t JOIN p USING (pair_id) GROUP BY ALL),
 s AS (SELECT pair_id, min(CASE WHEN c IS DISTINCT FROM r THEN turn END) AS split FROM b GROUP BY pair_id),
 n AS (SELECT pair_id, split, count(CASE WHEN split IS NULL OR turn < split THEN 1 END) AS n_prefix FROM b JOIN s USING (pair_id) GROUP BY ALL),
-x AS (SELECT t.*, n_prefix, split IS NULL OR turn < split AS prompt FROM t JOIN n USING (pair_id))
-SELECT pair_id, CASE WHEN prompt THEN 'prompt' ELSE side END AS part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS content,
-       CASE WHEN NOT prompt AND role = '{TRAINED}' THEN 1 ELSE 0 END AS mask, n_prefix
-FROM x WHERE side = 'chosen' OR NOT prompt
+x AS (SELECT t.*, n_prefix, split IS NULL OR turn < split AS prompt FROM t JOIN n USING (pair_id)),
+y AS (SELECT pair_id, floor(turn / {TURNS}.0)::BIGINT AS piece, n_prefix, turn, role, CASE WHEN prompt THEN 'prompt' ELSE side END AS part,
+             '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS content, CASE WHEN NOT prompt AND role = '{TRAINED}' THEN '1' ELSE '0' END AS mask
+      FROM x WHERE side = 'chosen' OR NOT prompt)
+SELECT pair_id, piece, max(n_prefix) AS n_prefix, {", ".join(
+    f"coalesce(string_agg(content, '' ORDER BY turn, role, content) FILTER (part = '{part}'), '') AS {part}"
+    + (f", coalesce(string_agg(mask || ':' || length(content), ',' ORDER BY turn, role, content) FILTER (part = '{part}'), '') AS {part}_mask" if part != "prompt" else "")
+    for part in ("prompt", "chosen", "rejected"))}
+FROM y GROUP BY pair_id, piece
 """

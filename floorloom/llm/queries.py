@@ -44,9 +44,9 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of all adjacent pairs of conversations."""
+    """Prompt and masked completions of all adjacent pairs of conversations."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return preferences.segments(turns, preferences.adjacent(turns))
+    return preferences.paired(preferences.segments(turns, preferences.adjacent(turns)))
 
 
 def op7_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

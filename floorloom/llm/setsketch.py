@@ -14,12 +14,14 @@ minima), so registers of unions are maxima of registers and equal registers tell
    compared in tiles of bounded size, between components only, by registers as in step 3 and then by the full sets.  No bucket is
    cut short, however large, and no pairs are written: a tile hands on one edge per document.
 
-Elements are 52-bit hashes of their words; sets are exact up to collisions of these within a pair (about 1e-10 for sets of 500).
+Sizes of sets count 64-bit hashes of their elements (a text of ten million words has one collision with a probability of 3e-6).  Links are
+verified by two independent hashes of 64 bits for each element.
 A link of similarity 0.85 is missed by all bands with a probability below 1e-5 (0.9: below 1e-7), and by step 3 below 1e-8.
 Below a threshold of 0.85 bands are of four registers, 25 in all: a link of 0.8 is missed with a probability of 2e-6.
 
 Texts that are null or without words have an empty set and link with nothing.  Fewer than five words are one element.  Rows with
-equal ids count as one document, linked to what one of its rows is.  Null ids are returned, linked with nothing.  An empty table gives an empty result.
+equal ids count as one document, linked to what one of its rows is.  Null ids are returned, linked with nothing.  Other columns
+are not read, whatever their names.  A very long text is one set, which has to fit into a worker.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ _ROWS = 1 << (64 - _BITS)
 
 
 def sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct elements of every row of a slice (at most 4096 rows): hashes, sorted in each row, and n + 1 offsets."""
+    """Distinct elements of every row of a slice (at most 4096 rows): 64-bit hashes, sorted in each row, and n + 1 offsets."""
     words = text.Words(data, off, text.SOLID)
     h = words.hashes()
     at = words.runs(width)
@@ -62,12 +64,45 @@ def sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndar
         few = words.first[:-1][words.count == n]
         hashes.append(text.together(h, few, tuple(range(n)), 0x5E7 + n))
         rows.append(words.doc[few])
-    key = np.concatenate(rows).astype(np.uint64) << np.uint64(_BITS) | np.concatenate(hashes) >> np.uint64(64 - _BITS)
-    key = np.sort(key)
+    found = np.concatenate(hashes)
+    key = np.concatenate(rows).astype(np.uint64) << np.uint64(_BITS) | found >> np.uint64(64 - _BITS)
+    order = np.argsort(key)
+    key, found = key[order], found[order]
     if len(key):
-        key = key[np.append(True, key[1:] != key[:-1])]
+        if ((key[1:] == key[:-1]) & (found[1:] != found[:-1])).any():  # hashes that differ in their last bits only
+            order = np.lexsort((found, key))
+            key, found = key[order], found[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (found[1:] != found[:-1]))
+        key, found = key[new], found[new]
     cut = np.searchsorted(key, np.arange(len(off), dtype=np.uint64) << np.uint64(_BITS)) if len(off) <= _ROWS else np.append(np.searchsorted(key, np.arange(len(off) - 1, dtype=np.uint64) << np.uint64(_BITS)), len(key))
-    return key & np.uint64((1 << _BITS) - 1), cut
+    return found, cut
+
+
+def wide_sets(data: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of every row of a slice as rows of two independent 64-bit hashes, sorted in each row, and n + 1 offsets."""
+    words = text.Words(data, off, text.SOLID)
+    at = words.runs(width)
+    few = [words.first[:-1][words.count == n] for n in range(1, width)]
+    rows = np.concatenate([words.doc[at], *(words.doc[f] for f in few)])
+    pair = []
+    for h in (words.hashes(), words.hashes(text._OTHER)):
+        pair.append(np.concatenate([text.together(h, at, tuple(range(width)), 0x5E7), *(text.together(h, f, tuple(range(n)), 0x5E7 + n) for n, f in enumerate(few, 1))]))
+    order = np.lexsort((pair[1], pair[0], rows))
+    rows, pair = rows[order], np.column_stack(pair)[order]
+    if len(rows):
+        new = np.append(True, (rows[1:] != rows[:-1]) | (pair[1:] != pair[:-1]).any(axis=1))
+        rows, pair = rows[new], pair[new]
+    return pair, np.searchsorted(rows, np.arange(len(off)))
+
+
+def numbered(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the elements (rows of two hashes) of both sides, equal where both hashes are."""
+    both = np.concatenate([left, right])
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    sorted_ = both[order]
+    number = np.empty(len(both), np.int64)
+    number[order] = np.cumsum(np.append(True, (sorted_[1:] != sorted_[:-1]).any(axis=1))) if len(both) else 0
+    return number[: len(left)], number[len(left) :]
 
 
 def minima(elements: np.ndarray, cut: np.ndarray, m: int = M, a: float = A) -> np.ndarray:
@@ -191,7 +226,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, link: int) -> DataFrame:
 
 
 def _elements(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """id, elements (sorted hashes as bytes) of the documents in ``wanted`` (doc_id), from their texts."""
+    """id, elements (two hashes each, sorted, as bytes) of the documents in ``wanted`` (doc_id), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,9 +234,9 @@ def _elements(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for lo in range(0, batch.num_rows, _ROWS - 1):
                 cut0 = off[lo : lo + _ROWS]
                 for a, z, part, cut in text.slices(data[cut0[0] : cut0[-1]], cut0 - cut0[0]):
-                    found, at = sets(part, cut, width)
-                    raw = found.astype(np.uint64).tobytes()
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, z - a), pa.array([raw[8 * i : 8 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["id", "elements"])
+                    found, at = wide_sets(part, cut, width)
+                    raw = np.ascontiguousarray(found, np.uint64).tobytes()
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, z - a), pa.array([raw[16 * i : 16 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["id", "elements"])
 
     return documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").mapInArrow(run, "id long, elements binary")
 
@@ -214,12 +249,10 @@ def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) ->
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
             for i, (a, b) in enumerate(zip(batch.column("eu"), batch.column("ev"))):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                x, y = (np.frombuffer(e.as_buffer(), np.uint64).reshape(-1, 2) for e in (a, b))
                 if 100 * min(len(x), len(y)) < link * max(len(x), len(y)):
                     continue
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+                common = len(np.intersect1d(*numbered(x, y), assume_unique=True))
                 ok[i] = 100 * common >= link * (len(x) + len(y) - common)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
@@ -229,7 +262,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) ->
 
 def shared_elements(left: list[np.ndarray], right: list[np.ndarray], block: int = 8192) -> np.ndarray:
     """Sizes of the intersections of all left with all right sets: products of 0/1 matrices over blocks of elements that both sides have."""
-    x, y = (np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (left, right))
+    x, y = numbered(*(np.concatenate([np.zeros((0, 2), np.uint64), *s]) for s in (left, right)))
     both = np.intersect1d(x, y)
     out = np.zeros((len(left), len(right)), np.float32)
     places = []
@@ -264,10 +297,13 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
         return none
     clumps = components(open_.join(hubs, "key").select(F.col("hub").alias("src"), F.col("doc_id").alias("dst")))
     rows = open_.select("doc_id", "label").distinct().join(clumps.select(F.col("node").alias("doc_id"), F.col("component").alias("clump")), "doc_id")
-    tiles = rows.groupBy("clump").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    rows = rows.join(tiles, "clump").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = settled(rows, FEW)
+    tiles = rows.groupBy("clump").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    rows = rows.join(tiles.drop("n"), "clump").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("clump", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "label")
-    group = F.pmod(F.xxhash64("clump", "i", "j"), F.lit(4096))
+    # As many groups as the rows of all tiles need, dealt over as many tasks.
+    groups = 1 + (tiles.agg(F.sum(F.col("tiles") * F.col("n"))).first()[0] or 0) // (4 * TILE)
+    group = F.pmod(F.xxhash64("clump", "i", "j"), F.lit(groups))
     place = "clump long, i int, j int, own int, doc_id long, label long"
 
     def sides(t: pd.DataFrame, i: int, j: int) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -289,7 +325,7 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
             out += [left[met], right[hit]] if i != j else [left[met]]
         return pd.concat(out)[["clump", "i", "j", "own", "doc_id", "label"]]
 
-    needed = settled(rows.join(involved, "doc_id").withColumn("g", group).groupBy("g").applyInPandas(plausible, place), FEW)
+    needed = settled(rows.join(involved, "doc_id").withColumn("g", group).repartition(groups, "g").groupBy("g").applyInPandas(plausible, place))
     if needed.isEmpty():
         return none
     made = _elements(documents, needed.select("doc_id").distinct(), width)
@@ -298,7 +334,7 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
         out = [np.zeros((0, 2), np.int64)]
         for (_, i, j), t in pdf.groupby(["clump", "i", "j"], sort=False):
             left, right = sides(t, i, j)
-            a, b = ([np.frombuffer(e, np.uint64) for e in x["elements"]] for x in (left, right))
+            a, b = ([np.frombuffer(e, np.uint64).reshape(-1, 2) for e in x["elements"]] for x in (left, right))
             common = shared_elements(a, b)
             union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - common
             apart = left["label"].to_numpy()[:, None] != right["label"].to_numpy()
@@ -311,7 +347,7 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
                 out.append(np.column_stack([ids[u], low[u]]))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["src", "dst"])
 
-    ready = needed.join(made, F.col("doc_id") == F.col("id")).withColumn("g", group)
+    ready = needed.join(made, F.col("doc_id") == F.col("id")).withColumn("g", group).repartition(groups, "g")
     return ready.groupBy("g").applyInPandas(exact, "src long, dst long")
 
 

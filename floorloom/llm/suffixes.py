@@ -20,7 +20,8 @@ part.  Texts are dealt once into blocks by a hash of their id and stay there; wh
 All comparisons that decide are on bytes.  Hashes only choose marks and what is not sent; a collision costs a useless record.
 
 Null texts are empty.  Null ids count as larger than all others; rows with equal ids do not remove from each other.  Any other columns are carried.
-Texts shorter than ``length`` lose nothing, an empty table gives an empty result.
+Texts shorter than ``length`` lose nothing, an empty table gives an empty result.  Columns with the names of results are replaced; a very long text
+makes a block of its own size, which has to fit into a worker.  Splitters grow with the corpus: 24 bytes for every ``BLOCK`` bytes.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ from floorloom.llm import text
 from floorloom.plans.sampling import sampled
 
 LENGTH, GRAM = 50, 24
-#: Bytes of text per block and per range; splitter samples.
-BLOCK, LEAST_BLOCKS, SAMPLES = 8 << 20, 48, 1 << 14
+#: Bytes of text per block and per range; splitter samples at least, of which every range has four until there are so many ranges, and two beyond.
+BLOCK, SAMPLES = 8 << 20, 1 << 14
 _KEY = "_suffix_block"
 _LAST = np.iinfo(np.int64).max
 
@@ -225,15 +226,15 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
     rest = documents.drop(*made, _KEY)
     size, n = rest.agg(F.sum(F.octet_length("text")), F.count_if(F.length("text") >= length)).first()
     size = size or 0
-    blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK))
+    blocks = max(1, math.ceil(size / BLOCK))
     start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - GRAM, F.lit(1))).cast("int") + 1
     sample = rest.where(F.length("text") >= length).select("doc_id", F.substring(F.col("text"), start, F.lit(GRAM)).alias("lead"))
-    leads = sorted({r["lead"].encode()[:GRAM] for r in sampled(sample, SAMPLES, n, "doc_id", also=("lead",)).collect()})
-    ranges = max(1, min(blocks, len(leads) // 4))
+    leads = sorted({r["lead"].encode()[:GRAM] for r in sampled(sample, max(SAMPLES, 2 * blocks), n, "doc_id", also=("lead",)).collect()})
+    ranges = max(1, min(blocks, len(leads) // 2))
     splitters = np.array([leads[len(leads) * i // ranges] for i in range(1, ranges)], dtype=f"S{GRAM}")
 
-    # One shuffle of the texts; the three passes over them read the same exchange.
-    dealt = rest.withColumn(_KEY, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    # One shuffle of the texts; the three passes over them read the same exchange, a task a block or a few.
+    dealt = rest.withColumn(_KEY, F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks))).repartition(blocks, _KEY)
 
     def ask_marks(table: pa.Table) -> pa.Table:
         b = Block(table, blocks, length)

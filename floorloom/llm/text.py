@@ -30,6 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix(np.arange(256, dtype=np.uint64))
 _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
+_OTHER = mix(np.arange(256, 512, dtype=np.uint64))
+_OTHER[65:91] = _OTHER[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 
 #: Letters, digits and everything beyond ASCII: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z is lower-cased.
 ALNUM = np.zeros(256, dtype=bool)
@@ -103,13 +107,22 @@ class Words:
         self.doc = np.repeat(np.arange(len(off) - 1), self.count)
         del edge
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, A-Z lower-cased."""
+    def hashes(self, table: np.ndarray = _FOLDED) -> np.ndarray:
+        """A 64-bit hash of each word, A-Z lower-cased; ``_OTHER`` makes hashes that are independent of the usual ones."""
         up, down = powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_FOLDED[self.data] * up[: len(self.data)], out=total[1:])
+        np.cumsum(table[self.data] * up[: len(self.data)], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * down[self.starts] ^ (self.ends - self.starts).astype(np.uint64))
 
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """All words, A-Z lower-cased, each with one space after it, and n + 1 places: words i to j are ``raw[places[i] : places[j] - 1]``."""
+        length = self.ends - self.starts + 1
+        places = np.append(0, np.cumsum(length))
+        at = np.arange(places[-1]) + np.repeat(self.starts - places[:-1], length)
+        out = _LOWER[self.data[np.minimum(at, max(0, len(self.data) - 1))]] if len(length) else np.zeros(0, np.uint8)
+        out[places[1:] - 1] = 32
+        return out.tobytes(), places
+
     def runs(self, size: int) -> np.ndarray:
         """Positions at which ``size`` words of one row begin."""
         at = np.arange(max(0, len(self.doc) - size + 1))

@@ -7,7 +7,8 @@ most weights at exactly zero, so the model is a short list that is broadcast.  I
 ``2**bits`` entries.  Scoring is one map pass over all rows.
 
 Nulls and texts without words have no features and get the score of the bias.  Rows whose label or id is
-null are not trained on.  Repeated rows get equal scores.  Without any labelled row every score is 0.5
+null are not trained on; of rows with one id the smallest text is.  Repeated rows get equal scores.  Very long texts are
+scored whole.  Without any labelled row every score is 0.5
 (no bias is learnt), and the rows are still returned.  Other columns of the input are carried along.
 """
 
@@ -75,7 +76,9 @@ def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("y"))
     chosen = sampled(known, max_rows, known.count(), "doc_id")
     # max_rows rows of 16 bytes: a proven bound, so the sample may be broadcast.
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", F.lit(1).alias("one"))
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row per id, so that a repeated id does not exceed the bound.
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.text", "r.y", F.lit(1).alias("one"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(text=pdf["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable")

@@ -26,11 +26,21 @@ def test_segments(spark):
     assert {g[0] for g in got} == {0, 1, 2}
 
 
-def test_assembled(spark):
-    turns = spark.createDataFrame(ROWS, TURNS)
-    rows = {r["pair_id"]: r for r in preferences.assembled(preferences.segments(turns, preferences.adjacent(turns))).collect()}
+def test_paired(spark):
+    turns = spark.createDataFrame([(*r, 0) for r in ROWS], TURNS + ", piece int")
+    rows = {r["pair_id"]: r for r in preferences.paired(preferences.segments(turns, preferences.adjacent(turns))).collect() if r["piece"] == 0}
     assert rows[0]["prompt"].endswith("<|user|>\nmore<|end|>\n") and rows[0]["chosen"] == "<|assistant|>\ngood<|end|>\n"
-    assert [m["mask"] for m in rows[0]["rejected_masked"]] == [1, 0] and rows[1]["chosen"] == ""
+    assert rows[0]["rejected_mask"] == "1:25,0:20" and len(rows[0]["rejected"]) == 45 and rows[1]["chosen"] == "" and rows[1]["chosen_mask"] == ""
+
+
+def test_long_conversations_are_several_rows(spark):
+    said = [(c, k, "assistant" if k % 2 else "user", f"t{k}" if k < 300 or c == 0 else f"other {k}") for c in (0, 1) for k in range(700)]
+    turns = spark.createDataFrame(said, TURNS)
+    rows = sorted(preferences.paired(preferences.segments(turns, preferences.adjacent(turns))).collect(), key=lambda r: r["piece"])
+    assert [r["piece"] for r in rows] == [0, 1, 2] and {r["n_prefix"] for r in rows} == {300}
+    seg = lambda k, t: f"<|{'assistant' if k % 2 else 'user'}|>\n{t}<|end|>\n"
+    assert "".join(r["prompt"] for r in rows) == "".join(seg(k, f"t{k}") for k in range(300))
+    assert "".join(r["rejected"] for r in rows) == "".join(seg(k, f"other {k}") for k in range(300, 700))
 
 
 def test_no_turns(spark):

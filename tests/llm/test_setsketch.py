@@ -73,6 +73,18 @@ def test_odd_rows(spark):
     assert setsketch.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_elements_that_differ_in_few_bits(monkeypatch):
+    """Sets keep elements apart whose hashes agree in their leading bits, and common elements are found by both hashes."""
+    near = np.array([5 << 20, (5 << 20) + 1, 5 << 20], np.uint64)
+    monkeypatch.setattr(setsketch.text, "together", lambda h, at, steps, salt: near[: len(at)])
+    data = np.frombuffer(b"a b c d e f g", np.uint8)
+    found, cut = setsketch.sets(data, np.array([0, len(data)]))
+    assert found.tolist() == [5 << 20, (5 << 20) + 1] and cut.tolist() == [0, 2]
+    x, y = np.array([[1, 1], [1, 2], [3, 3]], np.uint64), np.array([[1, 2], [3, 4]], np.uint64)
+    a, b = setsketch.numbered(x, y)
+    assert np.intersect1d(a, b).tolist() == [a[1]] and setsketch.shared_elements([x], [y]).tolist() == [[1]]
+
+
 def test_registers_estimate_similarity():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 52, 1000).astype(np.uint64)
