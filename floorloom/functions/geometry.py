@@ -160,6 +160,32 @@ def simple(line: Column) -> Column:
 _A, _FLAT, _K0, _LON0, _EAST0 = 6378137.0, 1 / 298.257223563, 0.9996, -123.0, 500000.0
 
 
+def utm_forward(lon: Column, lat: Column) -> Column:
+    """UTM 10N metres of longitude and latitude, by Krueger's series to the third order."""
+    n = _FLAT / (2 - _FLAT)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)  # eccentricity
+    phi, away = F.radians(lat), F.radians(lon - F.lit(_LON0))
+    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+    xi1, eta1 = F.atan2(t, F.cos(away)), F.asinh(F.sin(away) / F.sqrt(F.cos(away) ** 2 + t**2))
+    xi, eta = xi1, eta1
+    for j, a in enumerate(alpha, 1):
+        xi = xi + a * F.sin(2 * j * xi1) * F.cosh(2 * j * eta1)
+        eta = eta + a * F.cos(2 * j * xi1) * F.sinh(2 * j * eta1)
+    return F.struct((_EAST0 + _K0 * radius * eta).alias("x"), (_K0 * radius * xi).alias("y"))
+
+
+def reprojected(line: Column, to: str) -> Column:
+    """A line in degrees (``EPSG:4326``) or in UTM 10N metres (``EPSG:26910``) from the other one; z stays."""
+    def move(p: Column) -> Column:
+        q = utm_inverse(p["x"], p["y"]) if to == "EPSG:4326" else utm_forward(p["x"], p["y"])
+        a, b = ("lon", "lat") if to == "EPSG:4326" else ("x", "y")
+        return F.struct(q[a].alias("x"), q[b].alias("y"), p["z"].alias("z"))
+
+    return F.transform(line, move)
+
+
 def utm_inverse(x: Column, y: Column) -> Column:
     """Longitude and latitude of UTM 10N metres, by Krueger's series to the third order."""
     n = _FLAT / (2 - _FLAT)

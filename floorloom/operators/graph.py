@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -77,15 +77,23 @@ def profile_components(arcs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
 
 
 def component_ids(labels: DataFrame) -> DataFrame:
-    """profile, component, component_id: digest of the profile and the sorted node keys."""
-    nodes = F.array_join(F.array_sort(F.collect_list(F.col("node").cast("string"))), ",")
+    """profile, component, component_id: digest of the canonical JSON of the profile and the nodes, sorted by theirs."""
+    nodes = F.array_join(F.array_sort(F.collect_list(node_json(labels, "node"))), ",")
     rows = labels.groupBy("profile", "component").agg(nodes.alias("_nodes"), F.count(F.lit(1)).alias("size"))
-    text = F.concat(F.lit('{"kind":"component","nodes":['), "_nodes", F.lit('],"profile":"'), "profile", F.lit('"}'))
+    text = F.concat(F.lit('{"kind":"counted_component","nodes":['), "_nodes", F.lit('],"profile":"'), "profile", F.lit('"}'))
     return rows.select("profile", "component", F.sha2(text, 256).alias("component_id"), "size")
 
 
+def node_json(rows: DataFrame, node: str) -> Column:
+    """Canonical JSON of a node key: text quoted and escaped, numbers as they are."""
+    if dict(rows.dtypes)[node] != "string":
+        return F.col(node).cast("string")
+    quoted = F.to_json(F.struct(F.col(node).alias("n")), {"ignoreNullFields": "false"})
+    return F.substring(quoted, F.lit(6), F.length(quoted) - 6)
+
+
 def isolated_id(profile, node):
-    text = F.concat(F.lit('{"kind":"isolated","node":'), node.cast("string"), F.lit(',"profile":"'), profile, F.lit('"}'))
+    text = F.concat(F.lit('{"kind":"profile_isolated_singleton","node":'), node.cast("string"), F.lit(',"profile":"'), profile, F.lit('"}'))
     return F.sha2(text, 256)
 
 
@@ -103,23 +111,26 @@ def reachable(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def shortest(arcs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """profile, origin, node, cost, path: cheapest directed path, ties by the sequence of arc keys in binary order.
+    """profile, origin, node, cost, path: cheapest directed path; of several the one with the smallest signature, its steps one by one.
 
+    A step's signature is the canonical JSON of its key and the node that it leads to, in binary order; a path that another one continues goes first.
     Lengths that are not positive count 0 in the search (and make ``path_valid`` refuse the path).  A node's entry is replaced when
-    (cost, hops, path) of another is smaller; only nodes that improved hand on, so the number of rounds is that of the hops.
+    (cost, signature) of another is smaller; only nodes that improved hand on.
     """
     step = arcs.select(F.col("profile").alias("_p"), "src", "dst", "key", F.coalesce(positive(F.col("length_3d")), F.lit(0.0)).alias("w")).where("src <> dst")
     # Of parallel arcs only the cheapest, first by key, can be on such a path.
-    step = settled(step.groupBy("_p", "src", "dst").agg(F.min(F.struct("w", "key")).alias("s")).select("_p", "src", "dst", "s.w", "s.key"))
-    best = settled(seeds.select("profile", "origin", "node", F.lit(0.0).alias("cost"), F.array().cast("array<string>").alias("path"), F.lit(True).alias("fresh")).distinct())
+    step = step.withColumn("sign", F.to_json(F.struct(F.col("key").cast("string").alias("edge_key"), F.col("dst").alias("target_node"))))
+    step = settled(step.groupBy("_p", "src", "dst").agg(F.min(F.struct("w", "sign", "key")).alias("s")).select("_p", "src", "dst", "s.w", "s.sign", "s.key"))
+    none = F.array().cast("array<string>")
+    best = settled(seeds.select("profile", "origin", "node", F.lit(0.0).alias("cost"), none.alias("signature"), none.alias("path"), F.lit(True).alias("fresh")).distinct())
     while True:
         grown = best.where("fresh").join(step, (F.col("profile") == F.col("_p")) & (F.col("node") == F.col("src")))
-        grown = grown.select("profile", "origin", F.col("dst").alias("node"), F.round(F.col("cost") + F.col("w"), 9).alias("cost"), F.concat("path", F.array("key")).alias("path"), F.lit(True).alias("fresh"))
+        grown = grown.select("profile", "origin", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("signature", F.array("sign")).alias("signature"), F.concat("path", F.array(F.col("key").cast("string"))).alias("path"), F.lit(True).alias("fresh"))
         every = best.withColumn("fresh", F.lit(False)).union(grown)
-        merged = every.groupBy("profile", "origin", "node").agg(F.min(F.struct("cost", F.size("path").alias("hops"), "path", "fresh")).alias("b"))
-        best = settled(merged.select("profile", "origin", "node", "b.cost", "b.path", "b.fresh"))
+        merged = every.groupBy("profile", "origin", "node").agg(F.min(F.struct("cost", "signature", "path", "fresh")).alias("b"))
+        best = settled(merged.select("profile", "origin", "node", "b.cost", "b.signature", "b.path", "b.fresh"))
         if best.where("fresh").isEmpty():
-            return best.drop("fresh")
+            return best.drop("fresh", "signature")
 
 
 def path_valid(paths: DataFrame, arcs: DataFrame) -> DataFrame:

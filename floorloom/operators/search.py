@@ -37,7 +37,7 @@ def scene(level, **layers: DataFrame) -> DataFrame:
 
 def labels(units: DataFrame) -> DataFrame:
     """label (folded), unit_ids sorted; more than one means the label is ambiguous."""
-    return units.where("room_id IS NOT NULL").groupBy(F.lower("room_id").alias("label")).agg(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
+    return units.where("room_id IS NOT NULL").groupBy(X.casefold(F.col("room_id")).alias("label")).agg(F.array_sort(F.collect_list("unit_id")).alias("unit_ids"))
 
 
 def extents(rows: DataFrame, by: str) -> DataFrame:
@@ -75,7 +75,7 @@ def resolve(requests: DataFrame, units: DataFrame) -> DataFrame:
     ids = units.select(F.col("unit_id").cast("string").alias("_id"), F.col("unit_id").alias("_exact"))
     by = labels(units).select("label", "unit_ids")
     valid = F.col("identifier").isNotNull() & (F.length("identifier") > 0) & (F.length("identifier") <= 255)
-    met = requests.join(ids, F.col("identifier") == F.col("_id"), "left").join(by, F.lower("identifier") == F.col("label"), "left")
+    met = requests.withColumn("_folded", X.casefold(F.col("identifier"))).join(ids, F.col("identifier") == F.col("_id"), "left").join(by, F.col("_folded") == F.col("label"), "left")
     n = F.coalesce(F.size("unit_ids"), F.lit(0))
     status = F.when(~valid, 400).when(F.col("_exact").isNotNull(), 200).when(n == 1, 200).when(n > 1, 409).otherwise(404)
     unit = F.when(valid, F.coalesce(F.col("_exact"), F.when(n == 1, F.get("unit_ids", F.lit(0)))))
@@ -84,8 +84,8 @@ def resolve(requests: DataFrame, units: DataFrame) -> DataFrame:
 
 def unique_room(messages: DataFrame, units: DataFrame) -> DataFrame:
     """message_id, unit_id of the one unit whose collapsed, folded room id is the whole message; null if none or several."""
-    rooms = units.groupBy(F.lower(X.collapsed(F.coalesce("room_id", F.lit("")))).alias("_room")).agg(F.min("unit_id").alias("unit_id"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
-    return messages.join(rooms, F.lower(X.collapsed(F.col("message"))) == F.col("_room"), "left").select("message_id", "unit_id")
+    rooms = units.groupBy(X.casefold(X.collapsed(F.coalesce("room_id", F.lit("")))).alias("_room")).agg(F.min("unit_id").alias("unit_id"), F.count(F.lit(1)).alias("_n")).where("_n = 1")
+    return messages.withColumn("_folded", X.casefold(X.collapsed(F.col("message")))).join(rooms, F.col("_folded") == F.col("_room"), "left").select("message_id", "unit_id")
 
 
 def intent(folded: Column, room_found: Column, can_route: Column, literal_matches: Column) -> Column:
@@ -108,10 +108,10 @@ def intent(folded: Column, room_found: Column, can_route: Column, literal_matche
 
 def literal(units: DataFrame, text: str, limit: int = 10) -> DataFrame:
     """First units, by room and id, with the text in room, use type or category."""
-    fields = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("room_id", "use_type", "category") if c in units.columns]
+    fields = [X.casefold(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("room_id", "use_type", "category") if c in units.columns]
     hit = F.lit(False)
     for f in fields:
-        hit = hit | f.contains(text.lower())
+        hit = hit | f.contains(text.casefold())
     return units.where(hit & F.lit(bool(text))).orderBy(F.coalesce("room_id", F.lit("")), "unit_id").limit(limit)
 
 

@@ -5,7 +5,7 @@ Lines are rows ``feature_id, level_id, geometry array<struct<x,y,z>>, length_3d`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -74,59 +74,71 @@ def discontinuous(parts: DataFrame) -> DataFrame:
     return parts.withColumn("_j", F.coalesce(jump, F.lit(False))).groupBy("feature_id").agg(F.max("_j").alias("discontinuous"))
 
 
+#: Reasons for which a multipart line is refused (fixed values).
+REFUSED = ("unsupported_multipart_direction", "ambiguous_multipart_part", "branched_or_closed_multipart", "disjoint_multipart", "ambiguous_multipart_chain")
+
+
 def joined_parts(parts: DataFrame) -> DataFrame:
-    """Parts of multipart lines in the order of their one open simple chain, part 0 forward.
+    """Multipart lines as one open simple line each, part 0 forward.
 
-    ``parts`` has feature_id, part_index, direction and geometry.  Result: feature_id, geometry, parts (array of part_index, reversed) and reason
-    (null if accepted): direction, short_part, duplicate_part, branched, closed, disjoint.  A feature has a handful of parts, so
-    each is solved by a small function of its own.
+    ``parts`` has feature_id, part_index, direction and geometry.  Result: feature_id, geometry, parts (array of part_index, reversed), spans (part_index,
+    start_vertex, end_vertex of every segment, as the part stores them) and reason, null if accepted, else one of ``REFUSED``.  A single part is returned as it is.
+
+    Ends are counted as rows.  An accepted line grows out of its part 0 on both sides at once: a fold over the feature's parts, as many steps as
+    there are parts, puts the part that touches the line's last position after it and the one that touches the first before it.
     """
-    import pandas as pd
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        fid = pdf["feature_id"].iloc[0]
-        rows = pdf.sort_values("part_index")
-        lines = {int(i): [tuple(p[c] for c in ("x", "y", "z")) for p in g] for i, g in zip(rows["part_index"], rows["geometry"])}
-
-        def answer(reason, order=()):
-            points = []
-            for i, back in order:
-                line = lines[i][::-1] if back else lines[i]
-                points += line if not points else line[1:]
-            return pd.DataFrame({
-                "feature_id": [fid], "geometry": [[dict(zip("xyz", p)) for p in points] if not reason else None],
-                "parts": [[{"part_index": i, "reversed": back} for i, back in order] if not reason else None], "reason": [reason],
-            })
-
-        if (rows["direction"] != 1).any():
-            return answer("direction")
-        if any(len(line) < 2 for line in lines.values()):
-            return answer("short_part")
-        keys = [min(tuple(line), tuple(line[::-1])) for line in lines.values()]
-        if len(set(keys)) < len(keys):
-            return answer("duplicate_part")
-        at: dict = {}
-        for i, line in lines.items():
-            for p in (line[0], line[-1]):
-                at.setdefault(p, []).append(i)
-        if any(len(v) > 2 for v in at.values()):
-            return answer("branched")
-        loose = [p for p, v in at.items() if len(v) == 1]
-        if not loose:
-            return answer("closed")
-        order, here, left = [], loose[0], set(lines)
-        while left:
-            nxt = [i for i in at[here] if i in left]
-            if not nxt:
-                return answer("disjoint")
-            i = nxt[0]
-            left.discard(i)
-            back = lines[i][0] != here
-            order.append((i, back))
-            here = lines[i][0] if back else lines[i][-1]
-        first = min(lines)
-        if dict(order)[first]:
-            order = [(i, not back) for i, back in reversed(order)]
-        return answer(None, order)
-
-    return parts.groupBy("feature_id").applyInPandas(solve, f"feature_id {dict(parts.dtypes)['feature_id']}, geometry {G.LINE}, parts array<struct<part_index:int,reversed:boolean>>, reason string")
+    point = "struct<x:double,y:double,z:double>"
+    first, last = F.element_at("geometry", 1), F.element_at("geometry", -1)
+    n = F.size("geometry")
+    still = F.exists(F.zip_with(F.slice("geometry", 1, n - 1), F.slice("geometry", 2, n - 1), lambda a, b: a == b), lambda x: x)
+    unfit = F.exists("geometry", lambda p: G.finite(p["x"]).isNull() | G.finite(p["y"]).isNull() | G.finite(p["z"]).isNull())
+    bad = F.when(F.coalesce(n, F.lit(0)) < 2, True).otherwise(unfit | (first == last) | still | ~G.simple(F.col("geometry")))
+    rows = parts.select("feature_id", "part_index", "direction", "geometry", F.coalesce(bad, F.lit(True)).alias("bad"))
+    ends = rows.where("NOT bad").select("feature_id", F.explode(F.array(first, last)).alias("p")).groupBy("feature_id", "p").agg(F.count(F.lit(1)).alias("n"))
+    ends = ends.groupBy("feature_id").agg(F.count_if(F.col("n") == 1).alias("loose"), F.max("n").alias("most"))
+    whole = rows.groupBy("feature_id").agg(
+        F.array_sort(F.collect_list(F.struct("part_index", "geometry"))).alias("p"), F.max(F.col("direction").isNull() | (F.col("direction") != 1)).alias("turned"), F.max("bad").alias("bad"),
+    ).join(ends.withColumnRenamed("feature_id", "_f"), F.col("feature_id") == F.col("_f"), "left")
+    early = F.when(F.size("p") == 1, None).when(F.col("turned"), REFUSED[0]).when(F.col("bad"), REFUSED[1]).when((F.col("loose") != 2) | (F.col("most") > 2), REFUSED[2])
+    whole = whole.withColumn("reason", early)
+
+    # line: places in p and whether reversed, in order; head and tail: where it begins and ends.
+    tips = F.transform("p", lambda x, i: F.struct(i.cast("int").alias("at"), F.element_at(x["geometry"], 1).cast(point).alias("a"), F.element_at(x["geometry"], -1).cast(point).alias("z")))
+    own = F.struct(F.lit(0).alias("at"), F.lit(False).alias("reversed"))
+    kind = "struct<line:array<struct<at:int,reversed:boolean>>,head:" + point + ",tail:" + point + ">"
+    start = F.struct(F.array(own).alias("line"), F.get("tips", F.lit(0))["a"].alias("head"), F.get("tips", F.lit(0))["z"].alias("tail")).cast(kind)
+
+    def grow(state: Column, _k: Column) -> Column:
+        free = F.filter("tips", lambda t: ~F.exists(state["line"], lambda u: u["at"] == t["at"]))
+        after = F.get(F.filter(free, lambda t: (t["a"] == state["tail"]) | (t["z"] == state["tail"])), F.lit(0))
+        ahead = F.get(F.filter(free, lambda t: (t["a"] == state["head"]) | (t["z"] == state["head"])), F.lit(0))
+        ahead_ok = ahead.isNotNull() & ~F.coalesce(ahead["at"] == after["at"], F.lit(False))
+        none = F.array().cast("array<struct<at:int,reversed:boolean>>")
+        one = lambda t, back: F.array(F.struct(t["at"].alias("at"), back.alias("reversed")))
+        line = F.concat(F.when(ahead_ok, one(ahead, ahead["z"] != state["head"])).otherwise(none), state["line"], F.when(after.isNotNull(), one(after, after["a"] != state["tail"])).otherwise(none))
+        head = F.when(ahead_ok, F.when(ahead["z"] == state["head"], ahead["a"]).otherwise(ahead["z"])).otherwise(state["head"])
+        tail = F.when(after.isNotNull(), F.when(after["a"] == state["tail"], after["z"]).otherwise(after["a"])).otherwise(state["tail"])
+        return F.struct(line.alias("line"), head.alias("head"), tail.alias("tail")).cast(kind)
+
+    line = F.aggregate(F.sequence(F.lit(1), F.size("p")), start, grow)["line"]
+    whole = whole.withColumn("tips", tips).withColumn("line", F.when(F.col("reason").isNull(), line))
+    whole = whole.withColumn("reason", F.coalesce("reason", F.when(F.size("line") != F.size("p"), REFUSED[3])))
+    laid = F.transform("line", lambda u, k: F.when(u["reversed"], F.reverse(F.get("p", u["at"])["geometry"])).otherwise(F.get("p", u["at"])["geometry"]))
+    joined = F.flatten(F.transform(laid, lambda g, k: F.when(k == 0, g).otherwise(F.slice(g, 2, F.size(g)))))
+    whole = whole.withColumn("geometry", joined)
+    whole = whole.withColumn("reason", F.coalesce("reason", F.when((F.size("p") > 1) & ~G.simple(F.col("geometry")), REFUSED[4])))
+
+    def span(u: Column) -> Column:
+        segments = F.size(F.get("p", u["at"])["geometry"]) - 1
+        of = F.get("p", u["at"])["part_index"].cast("int")
+        steps = F.filter(F.sequence(F.lit(0), segments), lambda i: i < segments)
+        made = F.transform(steps, lambda i: F.struct(of.alias("part_index"), i.alias("start_vertex"), (i + 1).alias("end_vertex")))
+        back = F.transform(F.reverse(steps), lambda i: F.struct(of.alias("part_index"), (i + 1).alias("start_vertex"), i.alias("end_vertex")))
+        return F.when(u["reversed"], back).otherwise(made)
+
+    fine = F.col("reason").isNull()
+    return whole.select(
+        "feature_id", F.when(fine, F.col("geometry")).alias("geometry"),
+        F.when(fine, F.transform("line", lambda u: F.struct(F.get("p", u["at"])["part_index"].cast("int").alias("part_index"), u["reversed"].alias("reversed")))).alias("parts"),
+        F.when(fine, F.flatten(F.transform("line", span))).alias("spans"), "reason",
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 from floorloom.functions import geometry as G
 from floorloom.functions import texts as X
 from floorloom.operators import connectivity, graph, network, normalise, review, routes, search
+from floorloom.plans.recovery import settled
 from floorloom.plans.registry import query
 
 _PROFILES = "prof AS (SELECT * FROM (VALUES ('default','elevator'),('default','pathway'),('default','stairs'),('elevator_only','elevator'),('elevator_only','pathway')) AS t(profile, mode))"
@@ -155,11 +156,12 @@ def _(v):
     return ends.join(known, ["x", "y"]).groupBy("fid").agg(owners.alias("owners"))
 
 
-@query("c16_exclusions", "SELECT p_partkey AS fid FROM part WHERE p_size > 40 AND p_retailprice > 1000")
+@query("c16_exclusions", "SELECT p_partkey AS fid FROM part WHERE p_size > (SELECT avg(p_size) FROM part) AND p_retailprice > (SELECT avg(p_retailprice) FROM part)")
 def _(v):
     """Rows whose diagnostics contain all required reasons."""
-    tests = {"large": F.col("p_size") > 40, "dear": F.col("p_retailprice") > 1000, "odd": F.col("p_partkey") % 2 == 1}
-    rows = review.diagnosed(v.table("part"), tests, "p_partkey")
+    mean = F.broadcast(v.table("part").agg(F.avg("p_size").alias("_s"), F.avg("p_retailprice").alias("_p")))  # one row
+    tests = {"large": F.col("p_size") > F.col("_s"), "dear": F.col("p_retailprice") > F.col("_p"), "odd": F.col("p_partkey") % 2 == 1}
+    rows = review.diagnosed(v.table("part").crossJoin(mean), tests, "p_partkey")
     return rows.where(F.size(F.array_except(F.array(F.lit("large"), F.lit("dear")), "reasons")) == 0).select(F.col("p_partkey").alias("fid"))
 
 
@@ -420,7 +422,7 @@ def _(v):
     return graph.profile_components(_arcs(v))
 
 
-@query("g2_component_ids", f"""WITH RECURSIVE {_COMP} SELECT profile, component, count(*) AS size, sha256('{{"kind":"component","nodes":[' || string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)) || '],"profile":"' || profile || '"}}') AS component_id FROM comp GROUP BY 1, 2""")
+@query("g2_component_ids", f"""WITH RECURSIVE {_COMP} SELECT profile, component, count(*) AS size, sha256('{{"kind":"counted_component","nodes":[' || string_agg(CAST(node AS VARCHAR), ',' ORDER BY CAST(node AS VARCHAR)) || '],"profile":"' || profile || '"}}') AS component_id FROM comp GROUP BY 1, 2""")
 def _(v):
     return graph.component_ids(graph.profile_components(_arcs(v)))
 
@@ -478,12 +480,15 @@ def _(v):
     return _options(v).select("profile", "unit_id", F.row_number().over(order).alias("place"))
 
 
-@query("j12_options_complete", "SELECT p.profile, 0 AS missing, 0 AS extra FROM (VALUES ('default'), ('elevator_only')) AS p(profile)")
+@query("j12_options_complete", f"""WITH RECURSIVE {_OPTIONS}, kept AS (SELECT * FROM opt WHERE unit_id % 5 <> 0),
+want AS (SELECT p.profile, u.unit_id FROM v_unit u, profs p, origin o WHERE u.unit_id <> o.unit_id AND u.unit_id % 7 <> 0)
+SELECT profile, (SELECT count(*)::INT FROM want w WHERE w.profile = p.profile AND w.unit_id NOT IN (SELECT unit_id FROM kept k WHERE k.profile = p.profile)) AS missing,
+  (SELECT count(*)::INT FROM kept k WHERE k.profile = p.profile AND k.unit_id NOT IN (SELECT unit_id FROM want w WHERE w.profile = p.profile)) AS extra FROM profs p""")
 def _(v):
-    """Every unit but the origin is answered, and no other."""
-    rows = _options(v)
+    """Units that an answer lacks or has too many: every fifth was taken out of it, every seventh was not asked for."""
+    rows = _options(v).where("unit_id % 5 <> 0")
     seeds = _origin(v).select("profile", "origin")
-    want = v.unit.select("unit_id").crossJoin(F.broadcast(seeds)).where("unit_id <> origin").select("profile", "unit_id")
+    want = v.unit.select("unit_id").where("unit_id % 7 <> 0").crossJoin(F.broadcast(seeds)).where("unit_id <> origin").select("profile", "unit_id")
     missing = want.join(rows, ["profile", "unit_id"], "left_anti").groupBy("profile").agg(F.count(F.lit(1)).alias("m"))
     extra = rows.join(want, ["profile", "unit_id"], "left_anti").groupBy("profile").agg(F.count(F.lit(1)).alias("e"))
     return seeds.select("profile").join(missing, "profile", "left").join(extra, "profile", "left").select("profile", F.coalesce("m", F.lit(0)).cast("int").alias("missing"), F.coalesce("e", F.lit(0)).cast("int").alias("extra"))
@@ -517,10 +522,27 @@ def _(v):
     return graph.shortest(_arcs(v), _origin(v)).select("profile", "node", F.round("cost", 4).alias("cost"))
 
 
-@query("g7_path_validity")
+_BEST = """sp(profile, node, best) USING KEY (profile, node) AS (SELECT profile, node_id, {'c': 0.0::DOUBLE, 's': []::VARCHAR[], 'k': []::VARCHAR[], 'ok': true} FROM origin, profs
+  UNION SELECT s.profile, a.dst, min({'c': s.best.c + a.w, 's': list_append(s.best.s, a.sign), 'k': list_append(s.best.k, a.key), 'ok': s.best.ok AND a.ok})
+  FROM sp s JOIN step a ON a.profile = s.profile AND a.src = s.node LEFT JOIN recurring.sp r ON r.profile = s.profile AND r.node = a.dst
+  WHERE r.best IS NULL OR s.best.c + a.w < r.best.c OR (s.best.c + a.w = r.best.c AND list_append(s.best.s, a.sign) < r.best.s) GROUP BY s.profile, a.dst)"""
+_STEP = """step AS (SELECT profile, src, dst, key, greatest(len, 0.0::DOUBLE) AS w, len > 0 AS ok, '{"edge_key":"' || key || '","target_node":' || dst || '}' AS sign
+  FROM (SELECT profile, src, dst, feature_id AS key, CAST(%s AS DOUBLE) AS len FROM arcs))"""
+
+
+@query("g6_tied_paths", f"""WITH RECURSIVE {_ARCS}, {_ANCHOR}, origin AS (SELECT unit_id, node_id FROM anchor WHERE eligible ORDER BY unit_id LIMIT 1), profs AS (SELECT DISTINCT profile FROM prof), {_STEP % "length(mode) % 3"}, {_BEST}
+SELECT profile, node, best.c AS cost, array_to_string(best.k, '>') AS path FROM sp""")
+def _(v):
+    """Cheapest paths where many cost the same: lengths of 0 to 2, arcs both ways; the smallest signature decides."""
+    arcs = _arcs(v).withColumn("length_3d", (F.length("mode") % 3).cast("double"))
+    return graph.shortest(arcs, _origin(v)).select("profile", "node", "cost", F.array_join("path", ">").alias("path"))
+
+
+@query("g7_path_validity", f"""WITH RECURSIVE {_ARCS}, {_ANCHOR}, origin AS (SELECT unit_id, node_id FROM anchor WHERE eligible ORDER BY unit_id LIMIT 1), profs AS (SELECT DISTINCT profile FROM prof), {_STEP % "CASE WHEN dst % 4 = 0 THEN -1 ELSE length_3d END"}, {_BEST}
+SELECT profile, node, best.ok AS valid FROM sp""")
 def _(v):
-    """Whether every arc of each cheapest path is allowed and positive."""
-    arcs = _arcs(v)
+    """Whether every arc of each cheapest path is allowed and positive; a quarter of the arcs is not."""
+    arcs = _arcs(v).withColumn("length_3d", F.when(F.col("dst") % 4 == 0, -1.0).otherwise(F.col("length_3d")))
     return graph.path_valid(graph.shortest(arcs, _origin(v)), arcs).select("profile", "node", "valid")
 
 
@@ -582,24 +604,56 @@ def _(v):
     return topology.shared(_lines(v)).select("x", "y", "owners")
 
 
-@query("g14_noded_conservation", f"WITH {_LINES} SELECT edge_id AS feature_id, true AS conserved FROM pts GROUP BY 1 HAVING count(*) > 1")
+_PIECES = f"""{_LINES}, ok AS (SELECT edge_id, max(i) AS last FROM pts GROUP BY 1 HAVING count(*) > 1), joint AS (SELECT x, y FROM pts JOIN ok USING (edge_id) GROUP BY 1, 2 HAVING count(DISTINCT edge_id) > 1),
+mark AS (SELECT edge_id, last, i, x, y FROM pts JOIN ok USING (edge_id) WHERE i = 0 OR i = last OR EXISTS (SELECT 1 FROM joint j WHERE j.x = pts.x AND j.y = pts.y)),
+pair AS (SELECT edge_id, last, i AS a, lead(i) OVER w AS b, x = lead(x) OVER w AND y = lead(y) OVER w AS flat FROM mark WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+cut AS (SELECT edge_id, last, a, b, bool_or(flat) OVER (PARTITION BY edge_id) AS whole FROM pair WHERE b IS NOT NULL)"""
+
+
+@query("g14_noded_conservation", f"""WITH {_PIECES} SELECT edge_id AS feature_id, true AS conserved, (CASE WHEN bool_or(whole) THEN 1 ELSE count(*) END)::BIGINT AS pieces,
+  CASE WHEN bool_or(whole) THEN edge_id || ':v0-' || any_value(last) ELSE string_agg(edge_id || ':v' || a || '-' || b, ',' ORDER BY a) END AS ids, round(any_value(last) + 1.0, 6) AS length FROM cut GROUP BY edge_id""")
 def _(v):
-    """Pieces of every line add up to it again."""
+    """Pieces of every line, by their ids, and that they add up to it again; a line with a collapsed piece stays whole."""
     from floorloom.operators import topology
 
     lines = _lines(v)
-    return topology.conserved(lines, topology.noded(lines))
+    pieces = topology.noded(lines)
+    named = pieces.groupBy("feature_id").agg(F.count(F.lit(1)).alias("pieces"), F.array_sort(F.collect_list(F.struct("start_vertex", "piece_id"))).alias("p"), F.round(F.sum("length_3d"), 6).alias("length"))
+    return topology.conserved(lines, pieces).join(named, "feature_id").select("feature_id", "conserved", "pieces", F.array_join(F.transform("p", lambda x: x["piece_id"]), ",").alias("ids"), "length")
+
+
+_JUNCTIONS = """q AS (SELECT c_custkey % 400 AS k, c_custkey // 400 AS j FROM customer), pt AS (SELECT k, CAST(k AS DOUBLE) + CASE WHEN j > 0 AND k % 3 = 0 THEN 0.001 * j ELSE 0 END AS x FROM q)"""
+
 
+@query("g15_safe_cells", f"WITH {_JUNCTIONS} SELECT k FROM pt GROUP BY k HAVING count(DISTINCT x) = 1")
+def _(v):
+    """Junctions whose centimetre cell holds no second exact position."""
+    from floorloom.operators import topology
+
+    k, j = F.col("c_custkey") % 400, F.floor(F.col("c_custkey") / 400)
+    points = v.table("customer").select(k.alias("k"), F.lit(1).alias("level_id"), (k.cast("double") + F.when((j > 0) & (k % 3 == 0), 0.001 * j).otherwise(0.0)).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    junctions = points.groupBy("k", "level_id", "y", "z").agg(F.min("x").alias("x"))
+    return topology.safe_junctions(junctions, points).select("k")
 
-@query("g18_multipart")
+
+@query("g18_multipart", """
+WITH p AS (SELECT edge_id, count(*) AS n FROM v_vertex GROUP BY 1)
+SELECT edge_id AS feature_id, CASE WHEN n = 1 THEN NULL WHEN edge_id % 7 = 2 THEN 'unsupported_multipart_direction' WHEN edge_id % 7 = 4 THEN 'ambiguous_multipart_part' WHEN edge_id % 7 = 3 AND n > 3 THEN 'branched_or_closed_multipart' END AS reason,
+  CASE WHEN n = 1 OR edge_id % 7 NOT IN (2, 3, 4) OR (edge_id % 7 = 3 AND n <= 3) THEN n + 1 ELSE -1 END::INT AS points, CASE WHEN n = 1 OR edge_id % 7 NOT IN (2, 3, 4) OR (edge_id % 7 = 3 AND n <= 3) THEN n END::DOUBLE AS length,
+  CASE WHEN n = 1 OR edge_id % 7 NOT IN (2, 3, 4) OR (edge_id % 7 = 3 AND n <= 3) THEN CASE WHEN edge_id % 2 = 1 AND n > 1 THEN n ELSE 0 END END::DOUBLE AS first_x FROM p""")
 def _(v):
-    """Parts of each line, dealt out of order, joined again or refused with a reason."""
+    """Parts of each line, dealt out of order, the first of odd lines turned around, joined again or refused with a reason."""
     from floorloom.operators import topology
 
     at = lambda c, d: F.struct((F.col("i") + d).cast("double").alias("x"), F.col("edge_id").cast("double").alias("y"), F.lit(0.0).alias("z"))
-    parts = v.vertex.select(F.col("edge_id").alias("feature_id"), F.col("i").bitwiseXOR(F.lit(1)).cast("int").alias("part_index"), F.lit(1).alias("direction"), F.array(at("i", 0), at("i", 1)).alias("geometry"))
+    fault = F.when(F.col("n") == 1, -1).otherwise(F.col("edge_id") % 7)
+    rows = v.vertex.withColumn("n", F.count(F.lit(1)).over(W.Window.partitionBy("edge_id")))
+    rows = rows.where(~((fault == 3) & (F.col("n") > 3) & (F.col("i") == 2)))
+    line = F.when((fault == 4) & (F.col("i") == 0), F.array(at("i", 0), at("i", 0), at("i", 1))).otherwise(F.array(at("i", 0), at("i", 1)))
+    line = F.when((F.col("edge_id") % 2 == 1) & (F.col("i") == 1), F.reverse(line)).otherwise(line)
+    parts = rows.select(F.col("edge_id").alias("feature_id"), F.col("i").bitwiseXOR(F.lit(1)).cast("int").alias("part_index"), F.when(fault == 2, 2).otherwise(1).alias("direction"), line.alias("geometry"))
     out = topology.joined_parts(parts)
-    return out.select("feature_id", "reason", F.size("geometry").alias("points"), F.round(G.length(F.col("geometry")), 6).alias("length"))
+    return out.select("feature_id", "reason", F.coalesce(F.size("geometry"), F.lit(-1)).alias("points"), F.round(G.length(F.col("geometry")), 6).alias("length"), F.get("geometry", F.lit(0))["x"].alias("first_x"))
 
 
 def _boundary(v):
@@ -642,10 +696,15 @@ def _(v):
     return found.select("before", "after", ((F.col("before") - F.col("after")).cast("double") / F.col("before")).alias("ratio"))
 
 
-@query("g24_distance_preservation", "SELECT 0 AS mismatches")
+@query("g24_distance_preservation", f"""
+WITH RECURSIVE {_BOUND}, bound AS (SELECT DISTINCT node FROM sides WHERE node NOT IN (SELECT node FROM inside)), undirected AS (SELECT src AS a, dst AS b, length_3d AS w FROM sf UNION ALL SELECT dst, src, length_3d FROM sf),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM undirected UNION SELECT r.node, u.b FROM reach r JOIN undirected u ON u.a = r.seen), comp AS (SELECT node, min(seen) AS c FROM reach GROUP BY 1),
+seed AS (SELECT c, min(node) AS node FROM comp JOIN bound USING (node) GROUP BY 1),
+sp(node, d) USING KEY (node) AS (SELECT node, 0.0::DOUBLE FROM seed UNION SELECT u.b, min(s.d + u.w) FROM sp s JOIN undirected u ON u.a = s.node LEFT JOIN recurring.sp r ON r.node = u.b WHERE r.d IS NULL OR s.d + u.w < r.d - 1e-7 GROUP BY u.b)
+SELECT seed.c AS component, count(*) AS compared, 0 AS mismatches, round(sum(d), 2) AS distance FROM bound JOIN sp USING (node) JOIN comp USING (node) JOIN seed ON seed.c = comp.c GROUP BY 1""")
 def _(v):
-    """Cheapest distances between boundary nodes before and after contraction, from the first one of every component: no difference above a
-    centimetre, and none of them that was not reached, before or after."""
+    """Cheapest distances between boundary nodes before and after contraction, from the first one of every component: how many, how many differ by more
+    than a centimetre or were not reached, and their sum after contraction."""
     plain = v.feature.where("src <> dst")
     edges = plain.select("feature_id", F.col("src").alias("a"), F.col("dst").alias("b"), "length_3d")
     bound = _boundary(v)
@@ -653,11 +712,13 @@ def _(v):
     both = lambda df: df.union(df.select("profile", "dst", "src", "key", "length_3d"))
     before = both(edges.select(F.lit("all").alias("profile"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("feature_id").alias("key"), "length_3d"))
     after = both(merged.select(F.lit("all").alias("profile"), F.get("terminals", F.lit(0)).alias("src"), F.get("terminals", F.lit(1)).alias("dst"), F.col("chain").alias("key"), F.col("length").alias("length_3d")))
-    seed = connectivity.components(edges, "a", "b").join(bound, "node").groupBy("component").agg(F.min("node").alias("node"))
-    seed = seed.select(F.lit("all").alias("profile"), F.col("node").alias("origin"), "node")
+    named = settled(connectivity.components(edges, "a", "b").join(bound, "node"))
+    seed = named.groupBy("component").agg(F.min("node").alias("node"))
+    seed = settled(seed.select(F.lit("all").alias("profile"), F.col("node").alias("origin"), "node"))
     a, b = graph.shortest(before, seed), graph.shortest(after, seed)
-    met = bound.join(a.select("node", F.col("cost").alias("x")), "node", "left").join(b.select("node", F.col("cost").alias("y")), "node", "left")
-    return met.agg(F.count_if(F.col("x").isNull() | F.col("y").isNull() | (F.abs(F.col("x") - F.col("y")) > 0.01)).cast("int").alias("mismatches"))
+    met = named.join(a.select("node", F.col("cost").alias("x")), "node", "left").join(b.select("node", F.col("cost").alias("y")), "node", "left")
+    wrong = F.col("x").isNull() | F.col("y").isNull() | (F.abs(F.col("x") - F.col("y")) > 0.01)
+    return met.groupBy("component").agg(F.count(F.lit(1)).alias("compared"), F.count_if(wrong).cast("int").alias("mismatches"), F.round(F.sum("y"), 2).alias("distance"))
 
 
 @query("g25_isolated_inventory", f"WITH RECURSIVE {_COMP} SELECT p.profile, n.node_id AS node FROM v_node n CROSS JOIN (SELECT DISTINCT profile FROM prof) p LEFT JOIN comp c ON c.profile = p.profile AND c.node = n.node_id WHERE c.node IS NULL")
@@ -792,6 +853,22 @@ def _(v):
     return search.resolve(_requests(v), v.unit)
 
 
+@query("j1_folded", """
+SELECT unit_id AS request, CASE WHEN n.n = 1 THEN 200 ELSE 409 END AS status, CASE WHEN n.n = 1 THEN unit_id END AS unit_id, CASE WHEN n.n > 1 THEN n.n ELSE 0 END AS matches
+FROM v_unit JOIN (SELECT unit_id // 2 * (unit_id % 3) AS g, count(*)::INT AS n FROM v_unit GROUP BY 1) n ON n.g = unit_id // 2 * (unit_id % 3)""")
+def _(v):
+    """Labels asked for in another case, beyond ASCII: unique ones are found, others are ambiguous."""
+    group = (F.floor(F.col("unit_id") / 2) * (F.col("unit_id") % 3)).cast("string")
+    units = v.unit.select("unit_id", F.concat(F.lit("Große Straße "), group).alias("room_id"))
+    return search.resolve(v.unit.select(F.col("unit_id").alias("request"), F.concat(F.lit("GROSSE STRASSE "), group).alias("identifier")), units)
+
+
+@query("j2_folded", "SELECT unit_id AS message_id, unit_id FROM v_unit")
+def _(v):
+    rooms = v.unit.select("unit_id", F.concat(F.lit("Maß  "), F.col("unit_id").cast("string")).alias("room_id"))
+    return search.unique_room(v.unit.select(F.col("unit_id").alias("message_id"), F.concat(F.lit(" MASS "), F.col("unit_id").cast("string")).alias("message")), rooms)
+
+
 @query("j2_exact_room", "WITH m AS (SELECT unit_id AS message_id, '  ' || lower(room_id) || ' ' AS message FROM v_unit), r AS (SELECT lower(room_id) AS room, min(unit_id) AS u FROM v_unit GROUP BY 1 HAVING count(*) = 1) SELECT message_id, u AS unit_id FROM m LEFT JOIN r ON r.room = trim(message)")
 def _(v):
     return search.unique_room(v.unit.select(F.col("unit_id").alias("message_id"), F.concat(F.lit("  "), F.lower("room_id"), F.lit(" ")).alias("message")), v.unit)
@@ -868,11 +945,14 @@ def _(v):
     return v.unit.where("searchable = 'Y'").select("unit_id", F.lit("unit").alias("layer"), fields.alias("fields"))
 
 
-@query("j13_document_references", "SELECT edge_id, 0 AS dangling, count(*) AS refs FROM v_vertex GROUP BY 1")
+@query("j13_document_references", """
+WITH n AS (SELECT edge_id, i, CASE WHEN i > 0 AND level_id <> lag(level_id) OVER (PARTITION BY edge_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM v_vertex),
+r AS (SELECT edge_id, sum(new) OVER (PARTITION BY edge_id ORDER BY i) AS visit FROM n)
+SELECT edge_id, count(*) FILTER (edge_id % 3 = 0 AND visit % 4 = 2)::INT AS dangling, count(*) AS refs FROM r GROUP BY 1""")
 def _(v):
-    """References of steps to visits that do not exist: none."""
+    """References of steps to visits that do not exist: some visits of every third document were taken out."""
     rows = routes.visits(v.vertex, "edge_id", "i", "level_id", F.lit(False))
-    known = rows.select("edge_id", "visit").distinct().withColumn("_ok", F.lit(True))
+    known = rows.select("edge_id", "visit").distinct().where("NOT (edge_id % 3 = 0 AND visit % 4 = 2)").withColumn("_ok", F.lit(True))
     return rows.join(known, ["edge_id", "visit"], "left").groupBy("edge_id").agg(F.count_if(F.col("_ok").isNull()).cast("int").alias("dangling"), F.count(F.lit(1)).alias("refs"))
 
 

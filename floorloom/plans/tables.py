@@ -275,11 +275,23 @@ def _(v):
     return rows.select("unit_id", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"), G.ring_valid(F.col("ring")).alias("valid"))
 
 
-@query("d9_reproject")
+@query("d9_reproject", "SELECT unit_id, round(x + 505000.0, 3) AS x, round(y + 5458000.0, 3) AS y, true AS inside FROM v_unit")
 def _(v):
-    """Units from UTM 10N metres to longitude and latitude (A2)."""
+    """Units from UTM 10N metres to longitude and latitude, and back again; whether the degrees lie where those metres do."""
     rows = v.unit.withColumn("p", G.utm_inverse(F.col("x") + 505000.0, F.col("y") + 5458000.0))
-    return rows.select("unit_id", F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
+    back = G.utm_forward(F.col("p.lon"), F.col("p.lat"))
+    inside = F.col("p.lon").between(-122.94, -122.92) & F.col("p.lat").between(49.27, 49.28)
+    return rows.select("unit_id", F.round(back["x"], 3).alias("x"), F.round(back["y"], 3).alias("y"), inside.alias("inside"))
+
+
+@query("a2_layer_reprojected", "SELECT edge_id, count(*) AS points, round(min(x) + 505000.0, 3) AS min_x, round(max(y) + 5458000.0, 3) AS max_y FROM v_vertex GROUP BY 1 HAVING count(*) > 1")
+def _(v):
+    """A layer of lines copied into degrees and back into metres, its dimension kept."""
+    p = F.transform(F.array_sort(F.collect_list(F.struct("i", "x", "y"))), lambda q: F.struct((q["x"] + 505000.0).alias("x"), (q["y"] + 5458000.0).alias("y"), F.lit(3.0).alias("z")))
+    lines = v.vertex.groupBy("edge_id").agg(p.alias("g")).where(F.size("g") > 1)
+    rows = lines.select("edge_id", G.reprojected(G.reprojected(F.col("g"), "EPSG:4326"), "EPSG:26910").alias("g"))
+    kept = F.size(F.filter("g", lambda q: q["z"] == 3.0)).cast("long")
+    return rows.select("edge_id", kept.alias("points"), F.round(F.array_min(F.transform("g", lambda q: q["x"])), 3).alias("min_x"), F.round(F.array_max(F.transform("g", lambda q: q["y"])), 3).alias("max_y"))
 
 
 @query("d13_room_labels", "SELECT unit_id, CASE WHEN room_id IS NOT NULL AND room_id <> '' AND NOT starts_with(room_id, 'R1') THEN trim(room_id) ELSE 'the selected room' END AS label FROM v_unit")
@@ -293,7 +305,7 @@ def _(v):
     return v.table("conversations").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("conv_id", "turn", F.lower(X.collapsed(F.col("text"))).alias("compact"))
 
 
-@query("d14_casefold")
+@query("d14_casefold", r"SELECT conv_id, turn, sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss')) AS digest FROM conversations")
 def _(v):
     """Full case folding of all texts, beyond ASCII too."""
     return v.table("conversations").select("conv_id", "turn", F.sha2(X.casefold(X.collapsed(F.col("text"))), 256).alias("digest"))
@@ -453,6 +465,14 @@ def _(v):
     return level_heights(v.level, nodes).withColumn("z_mean", F.round("z_mean", 6))
 
 
+@query("e23_folded_labels", "SELECT 'strasse ' || (unit_id % 40) AS label, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY unit_id) AS unit_ids FROM v_unit GROUP BY 1")
+def _(v):
+    """Labels that differ in case alone, beyond ASCII, are one."""
+    name = F.when(F.col("unit_id") % 3 == 0, "Straße ").when(F.col("unit_id") % 3 == 1, "STRASSE ").otherwise("strasse ")
+    rows = search.labels(v.unit.select("unit_id", F.concat(name, (F.col("unit_id") % 40).cast("string")).alias("room_id")))
+    return rows.select("label", F.array_join(F.transform("unit_ids", lambda x: x.cast("string")), ",").alias("unit_ids"))
+
+
 @query("e23_room_labels", "SELECT lower(room_id) AS label, string_agg(CAST(unit_id AS VARCHAR), ',' ORDER BY unit_id) AS unit_ids FROM v_unit GROUP BY 1")
 def _(v):
     rows = search.labels(v.unit)

@@ -1,5 +1,6 @@
 """Operators on literal cases."""
 
+import random
 import json
 
 import pytest
@@ -161,12 +162,16 @@ PARTS = f"feature_id string, part_index int, direction int, geometry {G.LINE}"
 
 @pytest.mark.parametrize("parts, reason", [
     ([line((1, 0, 0), (2, 0, 0)), line((0, 0, 0), (1, 0, 0))], None),
-    ([line((0, 0, 0), (1, 0, 0)), line((5, 0, 0), (6, 0, 0))], "disjoint"),
-    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 0), (2, 0, 0)), line((1, 0, 0), (1, 5, 0))], "branched"),
-    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 0), (0, 1, 0)), line((0, 1, 0), (0, 0, 0))], "closed"),
-    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 9), (2, 0, 0))], "disjoint"),
-    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 0), (0, 0, 0))], "duplicate_part"),
-    ([line((0, 0, 0)), line((1, 0, 0), (0, 0, 0))], "short_part"),
+    ([line((0, 0, 0), (1, 0, 0)), line((5, 0, 0), (6, 0, 0))], "branched_or_closed_multipart"),
+    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 0), (2, 0, 0)), line((1, 0, 0), (1, 5, 0))], "branched_or_closed_multipart"),
+    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 0), (0, 1, 0)), line((0, 1, 0), (0, 0, 0))], "branched_or_closed_multipart"),
+    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 9), (2, 0, 0))], "branched_or_closed_multipart"),
+    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 0), (0, 0, 0))], "branched_or_closed_multipart"),
+    ([line((0, 0, 0)), line((1, 0, 0), (0, 0, 0))], "ambiguous_multipart_part"),
+    ([line((0, 0, 0), (1, 0, 0)), line((5, 5, 0), (6, 5, 0)), line((6, 5, 0), (5, 5, 0)), line((1, 0, 0), (2, 0, 0))], "disjoint_multipart"),
+    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 0), (2, 0, float("nan")))], "ambiguous_multipart_part"),
+    ([line((0, 0, 0), (1, 0, 0)), line((1, 0, 0), (1, 0, 0), (2, 0, 0))], "ambiguous_multipart_part"),
+    ([line((0, 0, 0), (4, 0, 0)), line((4, 0, 0), (4, 2, 0), (2, 2, 0), (2, -2, 0))], "ambiguous_multipart_chain"),
 ])
 def test_multipart(spark, parts, reason):
     df = spark.createDataFrame([("f", i, 1, g) for i, g in enumerate(parts)], PARTS)
@@ -178,8 +183,34 @@ def test_multipart(spark, parts, reason):
 
 
 def test_multipart_direction(spark):
-    df = spark.createDataFrame([("f", 0, 2, line((0, 0, 0), (1, 0, 0)))], PARTS)
-    assert topology.joined_parts(df).first()["reason"] == "direction"
+    """A single part is taken whatever its direction; several parts only if they are directed forward."""
+    df = spark.createDataFrame([("f", 0, 2, line((0, 0, 0), (1, 0, 0))), ("g", 0, 1, line((0, 0, 0), (1, 0, 0))), ("g", 1, 2, line((1, 0, 0), (2, 0, 0)))], PARTS)
+    rows = {r["feature_id"]: r for r in topology.joined_parts(df).collect()}
+    assert rows["f"]["reason"] is None and len(rows["f"]["geometry"]) == 2 and rows["g"]["reason"] == "unsupported_multipart_direction"
+
+
+def test_multipart_lines_cut_at_random(spark):
+    """Lines cut into parts that are dealt in any order and direction come together again, with part 0 forward and every segment named."""
+    r = random.Random(3)
+    rows, want = [], {}
+    for k in range(40):
+        points = [(float(i), float(r.randint(0, 3)), float(r.randint(0, 2))) for i in range(r.randint(3, 14))]
+        cuts = sorted({0, len(points) - 1, *r.sample(range(1, len(points) - 1), r.randint(1, min(5, len(points) - 2)))})
+        pieces = [points[a : b + 1] for a, b in zip(cuts, cuts[1:])]
+        turned = [r.random() < 0.5 for _ in pieces]
+        number = r.sample(range(len(pieces)), len(pieces))
+        rows += [(f"f{k}", i, 1, line(*(p[::-1] if t else p))) for i, p, t in zip(number, pieces, turned)]
+        order = list(zip(number, turned))
+        if dict(order)[0]:
+            points, order = points[::-1], [(i, not t) for i, t in reversed(order)]
+        size = dict(zip(number, (len(p) for p in pieces)))
+        spans = [(i, a + 1, a) if t else (i, a, a + 1) for i, t in order for a in (reversed(range(size[i] - 1)) if t else range(size[i] - 1))]
+        want[f"f{k}"] = (points, order, spans)
+    for row in topology.joined_parts(spark.createDataFrame(rows, PARTS)).collect():
+        points, order, spans = want.pop(row["feature_id"])
+        assert row["reason"] is None and [tuple(p) for p in row["geometry"]] == points
+        assert [tuple(p) for p in row["parts"]] == order and [tuple(x) for x in row["spans"]] == spans
+    assert not want
 
 
 EDGES = f"route string, occurrence int, mode string, level_id string, level_from string, level_to string, source string, target string, geometry {G.LINE}, length_3d double, key string"
