@@ -1,6 +1,6 @@
 """All queries on the indoor model."""
 
-from floorloom.plans import network, tables  # noqa: F401  registered by import
+from floorloom.plans import network, runs, tables  # noqa: F401  registered by import
 from floorloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

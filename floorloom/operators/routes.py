@@ -171,6 +171,78 @@ def guidance(edges: DataFrame, ends: DataFrame, levels: DataFrame, nodes: DataFr
     return docs, out
 
 
+def guided(edges: DataFrame, ends: DataFrame, levels: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Checked edges with run and limited, the routes that have directions, and their ends; what the parts of a document are made of."""
+    rows = checked(edges, levels, nodes)
+    whole = rows.groupBy("route").agg(F.max(F.col("refusal").isNotNull()).alias("refused"), (~F.every("length_ok") | ~F.every("floor_ok")).alias("limited"))
+    live = ends.select("route").join(whole, "route", "left").where(~F.coalesce("refused", F.lit(False))).select("route", F.coalesce("limited", F.lit(False)).alias("limited"))
+    w = W.Window.partitionBy("route").orderBy("occurrence")
+    walk = F.col("mode") == "pathway"
+    rows = rows.join(live, "route").withColumns({"level": F.when(walk & F.col("from_ok") & F.col("to_ok"), F.col("level_id")), "_walk": walk})
+    cut = ~walk | ~F.coalesce(F.lag("_walk").over(w), F.lit(False)) | ~F.col("level").eqNullSafe(F.lag("level").over(w))
+    return rows.withColumn("run", F.sum(cut.cast("int")).over(w)), live, ends
+
+
+def markers(rows: DataFrame, live: DataFrame, ends: DataFrame, tips: DataFrame, internal: str = "INT_") -> DataFrame:
+    """route, marker_id, kind, level_id, label, x, y: both ends of a route and both sides of its changes of floor, in order.
+
+    ``tips``: route, origin_xy, destination_xy (structs, null if unknown).
+    """
+    point = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
+    ride = rows.where(~F.col("_walk"))
+    title = F.initcap("mode")
+    side = lambda b, ok, level, verb, at: F.struct(F.lit(b).alias("b"), F.col("mode").alias("kind"), F.when(F.col(ok), F.col(level)).alias("level_id"), F.concat(title, F.lit(f" {verb}")).alias("label"), point(at).alias("p"))
+    two = F.array(side(0, "from_ok", "_from", "departure", F.element_at("geometry", 1)), side(1, "to_ok", "_to", "arrival", F.element_at("geometry", -1)))
+    middle = ride.select("route", F.col("occurrence").cast("long").alias("a"), F.explode(two).alias("m")).select("route", "a", "m.*")
+    known = ends.join(live, "route").join(tips, "route")
+    tip = lambda a, kind, text: known.select("route", F.lit(a).cast("long").alias("a"), F.lit(0).alias("b"), F.lit(kind).alias("kind"), F.col(f"{kind}_level").alias("level_id"), F.concat(F.lit(text), X.room_label(F.col(f"{kind}_label"), internal)).alias("label"), F.col(f"{kind}_xy").alias("p"))
+    every = tip(-1, "origin", "Start near ").unionByName(middle).unionByName(tip(1 << 40, "destination", "End near "))
+    every = every.where(G.finite(F.col("p.x")).isNotNull() & G.finite(F.col("p.y")).isNotNull())
+    number = F.row_number().over(W.Window.partitionBy("route").orderBy("a", "b")) - 1
+    return every.select("route", F.concat(F.lit("marker-"), number).alias("marker_id"), "kind", "level_id", "label", "p.x", "p.y")
+
+
+def transitions(rows: DataFrame, live: DataFrame, ends: DataFrame) -> DataFrame:
+    """route, transition_id, edge_occurrence, mode, floors, labels, visits and markers on both sides, distance_m of every change of floor.
+
+    A visit begins with the route, on another floor than the one before, and with every arrival; markers count from the origin's.
+    """
+    w = W.Window.partitionBy("route").orderBy("occurrence")
+    left = F.when(F.col("_walk"), F.col("level")).otherwise(F.when(F.col("from_ok"), F.col("_from")))
+    came = F.when(F.col("_walk"), F.col("level")).otherwise(F.when(F.col("to_ok"), F.col("_to")))
+    first = ends.select(F.col("route").alias("_r"), F.col("origin_level").alias("_start"))
+    seen = rows.join(first, F.col("route") == F.col("_r")).withColumns({"_left": left, "_came": came})
+    before = F.when(F.row_number().over(w) == 1, F.col("_start")).otherwise(F.lag("_came").over(w))
+    opened = (~F.col("_left").eqNullSafe(before)).cast("int")
+    seen = seen.withColumn("_open", opened).withColumn("_forced", (~F.col("_walk")).cast("int"))
+    seen = seen.withColumn("_visit", F.sum(F.col("_open") + F.col("_forced")).over(w)).withColumn("_n", F.sum("_forced").over(w) - 1)
+    label = lambda ok, p: F.when(F.col(ok), F.trim(f"{p}.label")).otherwise("Floor not recorded")
+    name = lambda kind, n: F.concat(F.lit(f"{kind}-"), n.cast("string"))
+    return seen.where(~F.col("_walk")).select(
+        "route", name("transition", F.col("_n")).alias("transition_id"), F.col("occurrence").alias("edge_occurrence"), "mode", F.col("_left").alias("from_level_id"), F.col("_came").alias("to_level_id"),
+        label("from_ok", "lf").alias("from_label"), label("to_ok", "lt").alias("to_label"), name("visit", F.col("_visit") - 1).alias("from_visit_id"), name("visit", F.col("_visit")).alias("to_visit_id"),
+        name("marker", 2 * F.col("_n") + 1).alias("departure_marker_id"), name("marker", 2 * F.col("_n") + 2).alias("arrival_marker_id"), F.when(~F.col("limited"), F.col("length_3d")).alias("distance_m"),
+    )
+
+
+def geometries(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """route, geometry_id, level_id, edge_occurrence, start_segment, end_segment, coordinates: what each walking step shows of each edge.
+
+    Steps are cut at turns; neighbouring segments of one edge in one step are one piece.  Limited routes have one step a run.
+    """
+    n = F.size("geometry")
+    pairs = F.zip_with(F.slice("geometry", 1, n - 1), F.slice("geometry", 2, n - 1), lambda a, b: F.struct((b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")))
+    legs = rows.where("_walk").select("route", "run", "level", "limited", "occurrence", F.posexplode(pairs).alias("k", "m"))
+    legs = legs.select("route", "run", "level", "limited", "occurrence", F.col("k").cast("long").alias("k"), (F.col("occurrence").cast("long") * (1 << 20) + F.col("k")).alias("pos"), "m.dx", "m.dy", F.hypot("m.dx", "m.dy").alias("length"))
+    acts = headed(legs, "route", "run")
+    step = F.sum(F.when(~F.col("limited") & (F.coalesce(F.col("act"), F.lit("continue")) != "continue"), 1).otherwise(0)).over(W.Window.partitionBy("route", "run").orderBy("pos"))
+    spans_ = acts.withColumn("step", step).groupBy("route", "run", "level", "step", "occurrence").agg(F.min("k").alias("start_segment"), (F.max("k") + 1).alias("end_segment"))
+    shown = spans_.join(rows.select("route", "occurrence", "geometry"), ["route", "occurrence"])
+    number = F.row_number().over(W.Window.partitionBy("route").orderBy("run", "step", "occurrence", "start_segment")) - 1
+    part = F.slice("geometry", (F.col("start_segment") + 1).cast("int"), (F.col("end_segment") - F.col("start_segment") + 1).cast("int"))
+    return shown.select("route", F.concat(F.lit("geometry-"), number).alias("geometry_id"), F.col("level").alias("level_id"), F.col("occurrence").alias("edge_occurrence"), "start_segment", "end_segment", G.xy(part).alias("coordinates"))
+
+
 def legacy_steps(edges: DataFrame) -> DataFrame:
     """route, place, type, instruction: depart, one step per pathway, two per transition, arrive.
 

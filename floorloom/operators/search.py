@@ -23,7 +23,11 @@ def levels(rows: DataFrame, facility=None) -> DataFrame:
 
 
 def one(rows: DataFrame, key: str, value) -> DataFrame:
-    return rows.where(F.col(key) == value).limit(1)
+    """The row with the key; an error if there is none."""
+    found = rows.where(F.col(key) == value).limit(1)
+    if found.isEmpty():
+        raise LookupError(f"no {key} {value}")
+    return found
 
 
 def scene(level, **layers: DataFrame) -> DataFrame:

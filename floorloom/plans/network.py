@@ -380,11 +380,17 @@ def _(v):
     return routes.spans(v.vertex, "edge_id", "i", "level_id").select("edge_id", "level_id", "start_segment", "end_segment")
 
 
-@query("f8_landmark_dedupe")
-def _(v):
-    """First representatives of landmarks within half a metre, per category and level."""
+@query("f8_landmark_dedupe", """
+WITH RECURSIVE p AS (SELECT substr(description, 1, 3) AS category, level_id, fid, x, y, row_number() OVER (PARTITION BY substr(description, 1, 3), level_id ORDER BY x, y, fid) AS k FROM v_landmark_raw),
+r AS (SELECT category, level_id, k, [{'fid': fid, 'x': x, 'y': y}] AS kept FROM p WHERE k = 1
+  UNION ALL SELECT p.category, p.level_id, p.k, CASE WHEN len(list_filter(r.kept, lambda q: sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) <= 0.505)) > 0 THEN r.kept ELSE list_append(r.kept, {'fid': p.fid, 'x': p.x, 'y': p.y}) END
+  FROM r JOIN p ON p.category = r.category AND p.level_id = r.level_id AND p.k = r.k + 1),
+m AS (SELECT category, level_id, arg_max(kept, k) AS kept FROM r GROUP BY 1, 2)
+SELECT category, level_id, u.fid AS fid FROM (SELECT category, level_id, unnest(kept) AS u FROM m)""")
+def _(v):
+    """First representatives of landmarks within half a metre, per category and level; a radius that no pair of points has exactly."""
     rows = v.landmark_raw.withColumn("category", F.substring("description", 1, 3))
-    return graph.greedy_representatives(rows, 0.5).select("category", "level_id", "fid")
+    return graph.greedy_representatives(rows, 0.505).select("category", "level_id", "fid")
 
 
 @query("f10_discontinuity", "SELECT user_id AS feature_id, bool_or(jump) AS discontinuous FROM (SELECT user_id, coalesce(value <> lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS jump FROM events) GROUP BY 1")
@@ -526,24 +532,36 @@ _BEST = """sp(profile, node, best) USING KEY (profile, node) AS (SELECT profile,
   UNION SELECT s.profile, a.dst, min({'c': s.best.c + a.w, 's': list_append(s.best.s, a.sign), 'k': list_append(s.best.k, a.key), 'ok': s.best.ok AND a.ok})
   FROM sp s JOIN step a ON a.profile = s.profile AND a.src = s.node LEFT JOIN recurring.sp r ON r.profile = s.profile AND r.node = a.dst
   WHERE r.best IS NULL OR s.best.c + a.w < r.best.c OR (s.best.c + a.w = r.best.c AND list_append(s.best.s, a.sign) < r.best.s) GROUP BY s.profile, a.dst)"""
+_TWO = f"""{_PROFILES}, one AS (SELECT profile, CASE mode WHEN 'pathway' THEN 'PW_' ELSE 'TR_' END || feature_id AS feature_id, src, dst, mode, length_3d FROM v_feature JOIN prof USING (mode) WHERE src <> dst),
+arcs AS (SELECT * FROM one UNION ALL SELECT profile, feature_id || '_R', dst, src, mode, length_3d FROM one), profs AS (SELECT DISTINCT profile FROM prof),
+origin AS (SELECT src AS node_id FROM arcs GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"""
 _STEP = """step AS (SELECT profile, src, dst, key, greatest(len, 0.0::DOUBLE) AS w, len > 0 AS ok, '{"edge_key":"' || key || '","target_node":' || dst || '}' AS sign
   FROM (SELECT profile, src, dst, feature_id AS key, CAST(%s AS DOUBLE) AS len FROM arcs))"""
 
 
-@query("g6_tied_paths", f"""WITH RECURSIVE {_ARCS}, {_ANCHOR}, origin AS (SELECT unit_id, node_id FROM anchor WHERE eligible ORDER BY unit_id LIMIT 1), profs AS (SELECT DISTINCT profile FROM prof), {_STEP % "length(mode) % 3"}, {_BEST}
+def _both(v):
+    """Arcs both ways, and the node with most of them as the origin of each profile."""
+    arcs = graph.by_profile(graph.both_ways(v.feature))
+    first = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1).select(F.col("src").alias("node"))
+    return arcs, first.crossJoin(F.broadcast(v.spark.createDataFrame([(p,) for p in graph.PROFILES], "profile string"))).select("profile", F.col("node").alias("origin"), "node")
+
+
+@query("g6_tied_paths", f"""WITH RECURSIVE {_TWO}, {_STEP % "length(mode) % 3"}, {_BEST}
 SELECT profile, node, best.c AS cost, array_to_string(best.k, '>') AS path FROM sp""")
 def _(v):
     """Cheapest paths where many cost the same: lengths of 0 to 2, arcs both ways; the smallest signature decides."""
-    arcs = _arcs(v).withColumn("length_3d", (F.length("mode") % 3).cast("double"))
-    return graph.shortest(arcs, _origin(v)).select("profile", "node", "cost", F.array_join("path", ">").alias("path"))
+    arcs, start = _both(v)
+    arcs = arcs.withColumn("length_3d", (F.length("mode") % 3).cast("double"))
+    return graph.shortest(arcs, start).select("profile", "node", "cost", F.array_join("path", ">").alias("path"))
 
 
-@query("g7_path_validity", f"""WITH RECURSIVE {_ARCS}, {_ANCHOR}, origin AS (SELECT unit_id, node_id FROM anchor WHERE eligible ORDER BY unit_id LIMIT 1), profs AS (SELECT DISTINCT profile FROM prof), {_STEP % "CASE WHEN dst % 4 = 0 THEN -1 ELSE length_3d END"}, {_BEST}
+@query("g7_path_validity", f"""WITH RECURSIVE {_TWO}, {_STEP % "CASE WHEN dst % 4 = 0 THEN -1 ELSE length_3d END"}, {_BEST}
 SELECT profile, node, best.ok AS valid FROM sp""")
 def _(v):
     """Whether every arc of each cheapest path is allowed and positive; a quarter of the arcs is not."""
-    arcs = _arcs(v).withColumn("length_3d", F.when(F.col("dst") % 4 == 0, -1.0).otherwise(F.col("length_3d")))
-    return graph.path_valid(graph.shortest(arcs, _origin(v)), arcs).select("profile", "node", "valid")
+    arcs, start = _both(v)
+    arcs = arcs.withColumn("length_3d", F.when(F.col("dst") % 4 == 0, -1.0).otherwise(F.col("length_3d")))
+    return graph.path_valid(graph.shortest(arcs, start), arcs).select("profile", "node", "valid")
 
 
 @query("g8_route_envelope", f"""
@@ -611,7 +629,7 @@ cut AS (SELECT edge_id, last, a, b, bool_or(flat) OVER (PARTITION BY edge_id) AS
 
 
 @query("g14_noded_conservation", f"""WITH {_PIECES} SELECT edge_id AS feature_id, true AS conserved, (CASE WHEN bool_or(whole) THEN 1 ELSE count(*) END)::BIGINT AS pieces,
-  CASE WHEN bool_or(whole) THEN edge_id || ':v0-' || any_value(last) ELSE string_agg(edge_id || ':v' || a || '-' || b, ',' ORDER BY a) END AS ids, round(any_value(last) + 1.0, 6) AS length FROM cut GROUP BY edge_id""")
+  CASE WHEN bool_or(whole) THEN edge_id || ':v0-' || any_value(last) ELSE string_agg(edge_id || ':v' || a || '-' || b, ',' ORDER BY a) END AS ids, round(CAST(any_value(last) + 1 AS DOUBLE), 6) AS length FROM cut GROUP BY edge_id""")
 def _(v):
     """Pieces of every line, by their ids, and that they add up to it again; a line with a collapsed piece stays whole."""
     from floorloom.operators import topology
@@ -766,7 +784,19 @@ def _(v):
     return v.snap_old.select("fid").intersect(v.snap_new.select("fid"))
 
 
-@query("h3_schema_changes")
+@query("h3_layer_flags", """
+SELECT n_name AS layer, CASE WHEN n_nationkey % 4 = 0 THEN 'removed' WHEN n_nationkey % 4 = 1 THEN 'added' ELSE 'kept' END AS status,
+  n_nationkey % 4 IN (2, 3) AND n_nationkey % 3 = 0 AS crs_changed, n_nationkey % 4 IN (2, 3) AND n_nationkey % 5 = 0 AS geometry_type_changed FROM nation""")
+def _(v):
+    """Layers of two snapshots: added, removed, and whose reference system or geometry type differs."""
+    k = F.col("n_nationkey")
+    rows = v.table("nation").select(k, F.col("n_name").alias("layer"))
+    old = rows.where(k % 4 != 1).select("layer", F.lit("EPSG:26910").alias("crs"), F.lit("Polygon").alias("geometry_type"))
+    new = rows.where(k % 4 != 0).select("layer", F.when(k % 3 == 0, "EPSG:4326").otherwise("EPSG:26910").alias("crs"), F.when(k % 5 == 0, "MultiPolygon").otherwise("Polygon").alias("geometry_type"))
+    return review.layer_changes(old, new)
+
+
+@query("h3_schema_changes", "SELECT * FROM (VALUES ('extra', CAST(NULL AS VARCHAR), 'int'), ('fid', 'bigint', 'string')) AS t(name, old_type, new_type)")
 def _(v):
     """Columns of two layers that differ in name or type."""
     return review.schema_changes(v.snap_old, v.snap_new.withColumn("fid", F.col("fid").cast("string")).withColumn("extra", F.lit(1)))
@@ -979,7 +1009,7 @@ def _routes(v):
         F.when(~walk, F.col("level_id")).alias("level_from"), F.when(~walk, F.col("l2")).alias("level_to"), node("i").alias("source"), node(F.col("i") + 1).alias("target"),
         F.array(point("x", "y"), point("x2", "y2")).alias("geometry"), F.hypot(F.col("x2") - F.col("x"), F.col("y2") - F.col("y")).alias("length_3d"), node("i").alias("key"),
     )
-    names = v.spark.createDataFrame([(t, f"Floor {t}", k) for k, t in enumerate(("click", "purchase", "scroll", "signup", "view"))], "level_id string, label string, vertical_order int")
+    names = v.spark.createDataFrame([(t, f"Floor {t}", k) for k, t in enumerate(("click", "error", "purchase", "signup", "view"))], "level_id string, label string, vertical_order int")
     order = F.broadcast(names.select(F.col("level_id").alias("_l"), "vertical_order"))  # five floors
     nodes = v.vertex.join(order, F.col("level_id") == F.col("_l"), "left").select(node("i").alias("node"), "x", "y", "vertical_order", F.array("level_id").alias("level_ids"))
     tips = v.vertex.groupBy("edge_id").agg(F.min(F.struct("i", "level_id")).alias("a"), F.max(F.struct("i", "level_id")).alias("b"))
@@ -987,10 +1017,25 @@ def _routes(v):
     return edges, ends, names, nodes
 
 
-@query("k1_guidance_documents")
+def _sql(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("k1_guidance_documents", f"""
+WITH e AS (SELECT edge_id, i, sqrt((lead(x) OVER w - x) * (lead(x) OVER w - x) + (lead(y) OVER w - y) * (lead(y) OVER w - y)) AS len FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+r AS (SELECT edge_id, count(len) AS n, sum(len) AS total, coalesce(bool_or(len = 0), false) OR edge_id % 13 = 5 AS off FROM e GROUP BY 1),
+s AS (SELECT *, CASE WHEN n > 0 AND edge_id % 17 = 3 THEN 'endpoints' WHEN n > 0 AND edge_id % 11 = 0 THEN 'mode' END AS refused FROM r)
+SELECT edge_id AS route, CASE WHEN refused IS NOT NULL THEN 'unavailable' WHEN off AND n > 0 THEN 'limited' ELSE 'available' END AS status,
+  CASE WHEN refused IS NULL AND NOT (off AND n > 0) THEN round(coalesce(total, 0), 4) END AS distance_m,
+  CASE WHEN refused = 'mode' THEN {_sql(routes.REFUSALS["mode"])} WHEN refused = 'endpoints' THEN {_sql(routes.REFUSALS["endpoints"])} WHEN off AND n > 0 THEN {_sql(routes.LENGTHS)} ELSE '' END AS warnings FROM s""")
 def _(v):
-    """Status, distance and warnings of a route per polyline (K3, K7)."""
-    docs, _steps = routes.guidance(*_routes(v))
+    """Status, distance and warnings of a route per polyline, some of them with an unknown mode, displaced ends or wrong lengths (K3, K7)."""
+    edges, ends, names, nodes = _routes(v)
+    edges = edges.withColumns({
+        "mode": F.when(F.col("route") % 11 == 0, "ferry").otherwise(F.col("mode")), "length_3d": F.when(F.col("route") % 13 == 5, F.col("length_3d") * 2 + 1).otherwise(F.col("length_3d")),
+        "geometry": F.when(F.col("route") % 17 == 3, F.transform("geometry", lambda p: F.struct((p["x"] + 1).alias("x"), p["y"].alias("y"), p["z"].alias("z")))).otherwise(F.col("geometry")),
+    })
+    docs, _steps = routes.guidance(edges, ends, names, nodes)
     return docs.select("route", "status", F.round("distance_m", 4).alias("distance_m"), F.array_join("warnings", "|").alias("warnings"))
 
 
@@ -1001,13 +1046,64 @@ def _(v):
     return steps.withColumn("distance_m", F.round("distance_m", 4))
 
 
-@query("k8_legacy_steps")
+@query("k5_transitions", """
+WITH n AS (SELECT edge_id, i, level_id, lead(level_id) OVER w AS l2, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+e AS (SELECT *, sqrt(dx * dx + dy * dy) AS len FROM n WHERE l2 IS NOT NULL), bad AS (SELECT edge_id, bool_or(len = 0) AS limited FROM e GROUP BY 1)
+SELECT edge_id AS route, 'transition-' || (row_number() OVER (PARTITION BY edge_id ORDER BY i) - 1) AS transition_id, i AS edge_occurrence, level_id AS from_level_id, l2 AS to_level_id, 'Floor ' || level_id AS from_label, 'Floor ' || l2 AS to_label,
+  'marker-' || (2 * row_number() OVER (PARTITION BY edge_id ORDER BY i) - 1) AS departure_marker_id, 'marker-' || (2 * row_number() OVER (PARTITION BY edge_id ORDER BY i)) AS arrival_marker_id,
+  'visit-' || (row_number() OVER (PARTITION BY edge_id ORDER BY i) - 1) AS from_visit_id, 'visit-' || row_number() OVER (PARTITION BY edge_id ORDER BY i) AS to_visit_id, CASE WHEN NOT limited THEN round(len, 4) END AS distance_m
+FROM e JOIN bad USING (edge_id) WHERE level_id <> l2""")
+def _(v):
+    """Records of the changes of floor of a route: floors, visits and markers on both sides."""
+    edges, ends, names, nodes = _routes(v)
+    return routes.transitions(*routes.guided(edges, ends, names, nodes)).withColumn("distance_m", F.round("distance_m", 4)).drop("mode")
+
+
+@query("k6_markers", """
+WITH n AS (SELECT edge_id, i, x, y, level_id, lead(level_id) OVER w AS l2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, max(i) OVER (PARTITION BY edge_id) AS last FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+m AS (SELECT edge_id, -1 AS a, 0 AS b, 'origin' AS kind, level_id, 'Start near R' || edge_id AS label, x, y FROM n WHERE i = 0
+  UNION ALL SELECT edge_id, i, 0, 'elevator', level_id, 'Elevator departure', x, y FROM n WHERE l2 <> level_id UNION ALL SELECT edge_id, i, 1, 'elevator', l2, 'Elevator arrival', x2, y2 FROM n WHERE l2 <> level_id
+  UNION ALL SELECT edge_id, 1000000, 0, 'destination', level_id, 'End near the selected room', x, y FROM n WHERE i = last)
+SELECT edge_id AS route, 'marker-' || (row_number() OVER (PARTITION BY edge_id ORDER BY a, b) - 1) AS marker_id, kind, level_id, label, x, y FROM m""")
+def _(v):
+    """Markers of a route: its ends and both sides of every change of floor."""
+    edges, ends, names, nodes = _routes(v)
+    tips = v.vertex.groupBy("edge_id").agg(F.min_by(F.struct("x", "y"), "i").alias("origin_xy"), F.max_by(F.struct("x", "y"), "i").alias("destination_xy")).withColumnRenamed("edge_id", "route")
+    return routes.markers(*routes.guided(edges, ends, names, nodes), tips)
+
+
+@query("k1_geometries", f"""
+WITH {_SEG}, lv AS (SELECT edge_id, i, level_id, level_id = lead(level_id) OVER w AS walk FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+bad AS (SELECT edge_id FROM s GROUP BY 1 HAVING bool_or(length = 0)), q AS (SELECT s.edge_id, s.pos FROM s JOIN lv ON lv.edge_id = s.edge_id AND lv.i = s.pos WHERE walk)
+SELECT edge_id AS route, 'geometry-' || (row_number() OVER (PARTITION BY edge_id ORDER BY pos) - 1) AS geometry_id, pos AS edge_occurrence, 0::BIGINT AS start_segment, 1::BIGINT AS end_segment, 2 AS points FROM q""")
+def _(v):
+    """Pieces of geometry that the walking steps of a route show, each a span of segments of one edge."""
+    edges, ends, names, nodes = _routes(v)
+    rows, live, _ends = routes.guided(edges, ends, names, nodes)
+    return routes.geometries(rows, live).select("route", "geometry_id", "edge_occurrence", "start_segment", "end_segment", F.size("coordinates").alias("points"))
+
+
+@query("k8_legacy_steps", """
+WITH e AS (SELECT edge_id, i, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, level_id = lead(level_id) OVER w AS walk FROM v_vertex WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+b AS (SELECT *, CASE WHEN dx <> 0 OR dy <> 0 THEN degrees(atan2(dy, dx)) END AS h FROM e WHERE dx IS NOT NULL),
+t AS (SELECT *, CASE WHEN walk AND lag(walk) OVER w THEN lag(h) OVER w END AS before FROM b WINDOW w AS (PARTITION BY edge_id ORDER BY i)),
+d AS (SELECT *, ((h - before + 180) % 360 + 360) % 360 - 180 AS delta FROM t), f AS (SELECT *, CASE WHEN delta > 0 THEN 'left' ELSE 'right' END AS side FROM d),
+s AS (SELECT edge_id, i, 0 AS k, CASE WHEN walk THEN CASE WHEN coalesce(abs(delta) < 15, true) THEN 'continue' ELSE 'turn' END ELSE 'enter_transition' END AS type,
+    CASE WHEN NOT walk THEN 'Enter the elevator transition.' WHEN coalesce(abs(delta) < 15, true) THEN 'Continue along the measured pathway.' WHEN abs(delta) <= 45 THEN 'Bear ' || side || ' along the measured pathway.'
+      WHEN abs(delta) <= 135 THEN 'Turn ' || side || ' along the measured pathway.' ELSE 'Make a ' || side || ' u-turn along the measured pathway.' END AS instruction FROM f
+  UNION ALL SELECT edge_id, i, 1, 'exit_transition', 'Exit the elevator transition.' FROM f WHERE NOT walk)
+SELECT edge_id AS route, row_number() OVER (PARTITION BY edge_id ORDER BY i, k) AS place, type, instruction FROM s""")
 def _(v):
     edges, *_rest = _routes(v)
     return routes.legacy_steps(edges)
 
 
-@query("l1_rate_limit")
+@query("l1_rate_limit", """
+WITH RECURSIVE q AS (SELECT event_id, user_id, event_type = 'purchase' AS post, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id, event_type = 'purchase' ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, post, k, event_id, true AS allowed, [t] AS held FROM q WHERE k = 1
+  UNION ALL SELECT user_id, post, k, event_id, len(h) < lim, CASE WHEN len(h) < lim THEN list_append(h, t) ELSE h END
+  FROM (SELECT q.*, CASE WHEN q.post THEN 1 ELSE 3 END AS lim, list_filter(r.held, lambda a: q.t - a < 86400) AS h FROM r JOIN q ON q.user_id = r.user_id AND q.post = r.post AND q.k = r.k + 1))
+SELECT event_id, allowed FROM r""")
 def _(v):
     """Admission of events under a window per client and kind; refused ones do not count."""
     from floorloom.streaming.admission import admitted
@@ -1022,12 +1118,35 @@ def _(v):
     return rows.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@query("m2_table_digest")
+#: Columns of the tables that are digested, in the order of their names: i numbers and texts, d doubles, t times, a arrays of doubles.
+_DIGESTED = {
+    "region": "r_name:i r_regionkey:i", "nation": "n_name:i n_nationkey:i n_regionkey:i", "customer": "c_acctbal:d c_custkey:i c_mktsegment:i c_name:i c_nationkey:i",
+    "supplier": "s_acctbal:d s_name:i s_nationkey:i s_suppkey:i", "part": "p_brand:i p_name:i p_partkey:i p_retailprice:d p_size:i p_type:i",
+    "orders": "o_custkey:i o_orderdate:t o_orderkey:i o_orderpriority:i o_orderstatus:i o_totalprice:d",
+    "lineitem": "l_discount:d l_extendedprice:d l_linenumber:i l_linestatus:i l_orderkey:i l_partkey:i l_quantity:d l_returnflag:i l_shipdate:t l_suppkey:i l_tax:d",
+    "events": "event_id:i event_type:i props:i ts:t user_id:i value:d", "documents": "doc_id:i lang:i n_chars:i source:i text:i", "embeddings": "embedding:a label:i vec_id:i", "pages": "html:i page_id:i url:i",
+    "benchmark": "item_id:i text:i", "labels": "doc_id:i quality:i toxic:i", "conversations": "conv_id:i role:i text:i turn:i",
+}
+_AS_TEXT = {"i": "CAST({0} AS VARCHAR)", "d": "CAST(CAST(floor({0} * 1000000) AS BIGINT) AS VARCHAR)", "t": "CAST(epoch_us({0}) AS VARCHAR)", "a": "array_to_string(list_transform({0}, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',')"}
+
+
+def _digest_sql(table):
+    cells = [f"coalesce({_AS_TEXT[c.split(':')[1]].format(c.split(':')[0])}, '~')" for c in _DIGESTED[table].split()]
+    rows = f"SELECT sha256({' || chr(31) || '.join(cells)}) AS h FROM {table}"
+    parts = f"SELECT substr(h, 1, (SELECT length(to_hex(count(*))) // 2 FROM {table})) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d FROM ({rows}) GROUP BY 1"
+    return f"SELECT '{table}' AS layer, sha256(coalesce(string_agg(d, '' ORDER BY p), '')) AS digest FROM ({parts})"
+
+
+@query("m2_table_digest", " UNION ALL ".join(map(_digest_sql, _DIGESTED)))
 def _(v):
-    """Digests of tables, whatever the order of their rows."""
+    """Digests of all tables, whatever the order of their rows."""
     from floorloom.operators.lineage import content_digest
 
-    return v.spark.createDataFrame([(t, content_digest(v.table(t))) for t in ("region", "nation", "customer", "supplier")], "layer string, digest string")
+    out = None
+    for t in _DIGESTED:
+        one = content_digest(v.table(t)).select(F.lit(t).alias("layer"), "digest")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("m6_run_comparison", f"WITH {_DIFF} SELECT count(*) FILTER (status <> 'unchanged') = 0 AS same, count(*) AS keys FROM d")

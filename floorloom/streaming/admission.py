@@ -6,7 +6,8 @@ in time order; the state is at most ``limit`` admission times.  ``admitted`` doe
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
+from collections import OrderedDict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,6 +46,49 @@ def admitted(requests: DataFrame, window_seconds: float = WINDOW_SECONDS, limits
     return sorted_fold(rows, ["client", "category"], ["ts", "event_id"], start, step, "allowed boolean").drop("t")
 
 
+def in_flight(requests: DataFrame, most: int = 16) -> DataFrame:
+    """server, event_id, ts, seconds, admitted: a server does ``most`` requests at a time and refuses more, it queues none.
+
+    The state of a server is at most ``most`` ends of requests; its sorted requests are streamed, not held.
+    """
+    from floorloom.operators.network import sorted_fold
+
+    rows = requests.select("server", "event_id", "ts", "seconds", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"))
+
+    def step(ends: list, pdf):
+        out = []
+        for t, seconds in zip(pdf["t"], pdf["seconds"]):
+            while ends and ends[0] <= t:
+                heapq.heappop(ends)
+            ok = len(ends) < most
+            if ok:
+                heapq.heappush(ends, t + seconds)
+            out.append(ok)
+        return out
+
+    return sorted_fold(rows, ["server"], ["ts", "event_id"], list, step, "admitted boolean").drop("t")
+
+
+def cached(requests: DataFrame, size: int = 8) -> DataFrame:
+    """server, event_id, ts, scene, hit: whether a server has the scene among the ``size`` that it used last.
+
+    One that it has not is loaded once, by the request that asks first, and puts the one used longest ago out.
+    """
+    from floorloom.operators.network import sorted_fold
+
+    def step(held: OrderedDict, pdf):
+        out = []
+        for scene in pdf["scene"]:
+            out.append(scene in held)
+            held[scene] = None
+            held.move_to_end(scene)
+            if len(held) > size:
+                held.popitem(last=False)
+        return out
+
+    return sorted_fold(requests.select("server", "event_id", "ts", "scene"), ["server"], ["ts", "event_id"], OrderedDict, step, "hit boolean")
+
+
 def admit_stream(requests: DataFrame, window_seconds: float = WINDOW_SECONDS, limits: dict[str, int] = LIMITS) -> DataFrame:
     """The same over a stream of (client, category, event_id, ts); late rows are judged in the order they come within a batch."""
 
