@@ -37,7 +37,7 @@ def test_pipeline_stages(spark):
     scores = {r["doc_id"]: r["score"] for r in queries.op9_toxicity_ftrl(spark, SF).collect()}
     assert {i for i, _ in rows(clean)} == {i for i, s in scores.items() if s < toxicity.THRESHOLD}
     single = corpus_pipeline.drop_near_copies(spark, clean, SF).cache()
-    assert sorted(i for i, _ in rows(single)) == sorted(i for i, _, _, kept in classes(rows(clean)) if kept)
+    assert sorted(i for i, _ in rows(single)) == sorted(i for i, _, _, kept in classes(rows(clean), corpus_pipeline.NEAR) if kept)
     cut = corpus_pipeline.cut_repeats(spark, single, SF).cache()
     left = {i: n - k for i, n, k, _, _ in cuts(rows(single))}
     assert cut.columns == docs.columns and {i: len((t or "").encode()) for i, t in rows(cut)} == left

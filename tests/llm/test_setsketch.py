@@ -14,7 +14,7 @@ def elements(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, link=85):
     sets = [(i, elements(t)) for i, t in rows]
     parent = {i: i for i, _ in rows}
 
@@ -26,7 +26,7 @@ def brute(rows):
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             (i, x), (j, y) = sets[a], sets[b]
-            if x and y and i is not None and j is not None and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and i is not None and j is not None and 100 * len(x & y) >= link * len(x | y):
                 p, q = sorted((root(i), root(j)))
                 parent[q] = p
     return sorted(((i, len(x), root(i), root(i) == i) for i, x in sets if i is not None), key=str)
