@@ -7,8 +7,6 @@ cuts the lineage.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -45,35 +43,11 @@ def self_loops(features: DataFrame) -> DataFrame:
     return features.where(F.col("src") == F.col("dst")).select("feature_id")
 
 
-#: Edges up to which the components of a profile are found inside one task; a building's graph has some ten thousand.
-LOCAL_EDGES = 1 << 20
-
-
-def profile_components(arcs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """profile, node, component (smallest node), undirected and over nodes with an arc only.
-
-    Distinct edges are counted first.  Up to ``local_edges`` of them a task per profile propagates labels in memory; more are
-    labelled by distributed rounds.
-    """
-    edges = settled(arcs.select("profile", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    if edges.count() > local_edges:
-        found = components(edges.select(F.struct("profile", F.col("src").alias("n")).alias("src"), F.struct("profile", F.col("dst").alias("n")).alias("dst")))
-        return found.select(F.col("node.profile").alias("profile"), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
-    kind = dict(edges.dtypes)["src"]
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, codes = np.unique(np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()]), return_inverse=True)
-        a, b = codes[: len(pdf)], codes[len(pdf) :]
-        low, before = np.arange(len(nodes)), None
-        while before is None or (low != before).any():
-            before = low.copy()
-            least = np.minimum(low[a], low[b])
-            np.minimum.at(low, a, least)
-            np.minimum.at(low, b, least)
-            low = low[low]
-        return pd.DataFrame({"profile": pdf["profile"].iloc[0], "node": nodes, "component": nodes[low]})
-
-    return edges.groupBy("profile").applyInPandas(label, f"profile string, node {kind}, component {kind}")
+def profile_components(arcs: DataFrame) -> DataFrame:
+    """profile, node, component (smallest node), undirected and over nodes with an arc only; all profiles in the same rounds."""
+    edges = arcs.where("src IS NOT NULL AND dst IS NOT NULL").select(F.struct("profile", F.col("src").alias("n")).alias("src"), F.struct("profile", F.col("dst").alias("n")).alias("dst"))
+    found = components(edges)
+    return found.select(F.col("node.profile").alias("profile"), F.col("node.n").alias("node"), F.col("component.n").alias("component"))
 
 
 def component_ids(labels: DataFrame) -> DataFrame:

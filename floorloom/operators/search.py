@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from floorloom.functions import texts as X
+from floorloom.plans.recovery import settled
 
 #: Words that decide the intent of a message, in the order of the decision (fixed values).
 ROUTING = ("route", "directions", "path", "get me to")
@@ -67,8 +68,13 @@ def envelope(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def placed(rows: DataFrame, *order) -> DataFrame:
-    """Rows with their place in a total order; for tables of catalogue size, as the window has one partition."""
-    return rows.withColumn("place", F.row_number().over(W.Window.orderBy(*order)))
+    """Rows with their place in a total order: ranges are sorted by themselves, and each is moved by the rows of the ranges before it."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    mark = F.monotonically_increasing_id()
+    kept = settled(ranged.withColumns({"_range": F.shiftright(mark, 33), "_at": mark.bitwiseAND(F.lit((1 << 33) - 1))}))
+    per = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    ahead = per.select(F.col("_range").alias("_r"), (F.sum("_n").over(W.Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
+    return kept.join(F.broadcast(ahead), F.col("_range") == F.col("_r")).withColumn("place", (F.col("_ahead") + F.col("_at") + 1).cast("int")).drop("_range", "_at", "_r", "_ahead")
 
 
 def resolve(requests: DataFrame, units: DataFrame) -> DataFrame:

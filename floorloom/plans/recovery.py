@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,14 @@ from pyspark.sql.functions import broadcast
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of this application, which driver and executors share.
 
-    It lies in ``spark.checkpoint.dir``; only where the session names none (a local test) a temporary one is set.
+    It lies in ``spark.checkpoint.dir``.  Only a session inside one process may name none: it gets a temporary one.  On a cluster that is an error, since
+    executors do not see the driver's disk.
     """
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 

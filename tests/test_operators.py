@@ -107,9 +107,8 @@ def arcs(spark):
     return graph.by_profile(spark.createDataFrame(ARCS, "level string, src string, dst string, key string, mode string, length_3d double"))
 
 
-@pytest.mark.parametrize("local", [0, 100])
-def test_profile_components(spark, local):
-    found = {(r["profile"], r["node"]): r["component"] for r in graph.profile_components(arcs(spark), local).collect()}
+def test_profile_components(spark):
+    found = {(r["profile"], r["node"]): r["component"] for r in graph.profile_components(arcs(spark)).collect()}
     assert found == {("default", n): "A" for n in "ABCS"} | {("elevator_only", n): "A" for n in "ABC"}
 
 
