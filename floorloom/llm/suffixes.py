@@ -43,6 +43,8 @@ from floorloom.plans.sampling import sampled
 LENGTH, GRAM = 50, 24
 #: Bytes of text per block and per range; splitter samples at least, of which every range has four until there are so many ranges, and two beyond.
 BLOCK, SAMPLES = 8 << 20, 1 << 14
+#: Rows of bytes that are worked on at once, where many arrays of their size would be made.
+PIECE = 1 << 14
 _KEY = "_suffix_block"
 _LAST = np.iinfo(np.int64).max
 
@@ -74,17 +76,21 @@ def marks(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.n
 def multikey(rows: np.ndarray) -> np.ndarray:
     """Order of byte rows (n, w): sorted by the first 8 bytes as one character, ties by the next, and so on."""
     n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    chars = np.ascontiguousarray(padded).view(">u8").astype(np.uint64)
-    order = np.argsort(chars[:, 0], kind="stable")
+
+    def char(of: np.ndarray | slice, k: int) -> np.ndarray:
+        out = np.zeros((len(rows) if isinstance(of, slice) else len(of), 8), np.uint8)
+        some = rows[of, 8 * k : 8 * k + 8]
+        out[:, : some.shape[1]] = some
+        return out.view(">u8").reshape(-1).astype(np.uint64)
+
+    order = np.argsort(char(slice(None), 0), kind="stable")
     ties = np.arange(n)  # places in the order that are not decided
     part = np.zeros(n, np.int64)
-    for k in range(chars.shape[1]):
+    for k in range(-(-width // 8)):
         if k:
-            sub = np.lexsort((chars[order[ties], k], part))
+            sub = np.lexsort((char(order[ties], k), part))
             order[ties] = order[ties][sub]
-        key = chars[order[ties], k]
+        key = char(order[ties], k)
         new = np.append(True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])) if len(ties) else np.zeros(0, bool)
         part = np.cumsum(new)
         tied = np.append(~new[1:], False) | ~new if len(ties) else new
@@ -97,9 +103,10 @@ def multikey(rows: np.ndarray) -> np.ndarray:
 def common(rows: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each byte row with the one before; 0 for the first."""
     out = np.zeros(len(rows), np.int64)
-    if len(rows) > 1:
-        differ = rows[1:] != rows[:-1]
-        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    for lo in range(1, len(rows), PIECE):
+        hi = min(len(rows), lo + PIECE)
+        differ = rows[lo:hi] != rows[lo - 1 : hi - 1]
+        out[lo:hi] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
     return out
 
 
@@ -174,12 +181,13 @@ class Block:
         at, row = self.at[self.use], self.row[self.use]
         left = np.minimum(at - self.off[row], before)
         right = np.minimum(self.off[row + 1] - at, length)
-        place = at[:, None] + np.arange(-before, length)
         step = np.arange(-before, length)
-        real = (step >= -left[:, None]) & (step < right[:, None])
-        context = np.where(real, self.data[np.clip(place, 0, max(0, len(self.data) - 1))], np.uint8(0)) if len(at) else np.zeros((0, before + length), np.uint8)
         wide = np.zeros((len(at), -(-(before + length + 2) // 8) * 8), np.uint8)
-        wide[:, : before + length] = context
+        for lo in range(0, len(at), PIECE):
+            part = slice(lo, lo + PIECE)
+            real = (step >= -left[part, None]) & (step < right[part, None])
+            wide[part, : before + length] = np.where(real, self.data[np.clip(at[part, None] + step, 0, len(self.data) - 1)], np.uint8(0))
+        context = wide[:, : before + length]
         wide[:, -2], wide[:, -1] = left, right
         h = np.zeros(len(at), np.uint64)
         for k, part in enumerate(wide.view(np.uint64).T):
