@@ -39,7 +39,7 @@ EPOCH = 1704067200
 PERIOD = 253402300800 - EPOCH
 END = "\r\n"
 #: Captures per range, bytes of payload per archive, gzip's level.
-RANGE, ARCHIVE, LEVEL = 16384, 32 << 20, 6
+RANGE, ARCHIVE, LEVEL = 16384, 32 << 20, 3
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
