@@ -118,7 +118,9 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t"))  # null sorts last and differs from every source
     unit = (F.xxhash64(F.col("doc_id").cast("string"), F.lit(97)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
     rows = rest.select(*(F.col(c).alias(a) for a, c in zip(aside, rest.columns)), key.alias("_key"), words(F.col("text")).alias("size"), unit.alias("_unit"))
-    histogram = settled(rows.groupBy("_key", "size").agg(F.count(F.lit(1)).alias("n")))
+    # What decides, without the texts: three numbers a row, so that the texts are read for them once, and once more for the result.
+    narrow = settled(rows.select("_key", "size", "_unit"))
+    histogram = settled(narrow.groupBy("_key", "size").agg(F.count(F.lit(1)).alias("n")))
     # One row per source: the list of sources is the configuration of the mix, not its data.
     sources = histogram.groupBy("_key").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("n")).toPandas()
     sources = sources.sort_values("_key", key=lambda k: k.map(lambda x: [ord(c) for c in x])).reset_index(drop=True)
@@ -132,15 +134,19 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     hint = lambda df: spread(df, len(sources))
     tilted = F.when(F.col("size") == 0, 0.0).when(F.col("_at") == float("inf"), float(most)).when(F.col("_at") == float("-inf"), 0.0)
     tilted = tilted.otherwise(F.least(F.lit(float(most)), F.exp(F.least(F.col("_at") * F.col("size") / F.col("_mean"), F.lit(float(np.log(most)))))))
-    rated = (
-        rows.join(hint(plan), "_key").withColumn("rate", tilted)
-        .withColumns({"copies": F.floor("rate").cast("long"), "_part": F.col("rate") - F.floor("rate")})
-        .withColumn("_order", F.when((F.col("_part") > 1e-12) & (F.col("size") > 0), F.col("_unit") / F.col("_part")))
-        # u / fraction is mostly below 1, with a tail; this brings it into 0..1 and keeps the order.
-        .withColumn("_bin", F.floor(F.col("_order") / (1 + F.col("_order")) * BINS).cast("long"))
-    )
+
+    def rated(part: DataFrame) -> DataFrame:
+        return (
+            part.join(hint(plan), "_key").withColumn("rate", tilted)
+            .withColumns({"copies": F.floor("rate").cast("long"), "_part": F.col("rate") - F.floor("rate")})
+            .withColumn("_order", F.when((F.col("_part") > 1e-12) & (F.col("size") > 0), F.col("_unit") / F.col("_part")))
+            # u / fraction is mostly below 1, with a tail; this brings it into 0..1 and keeps the order.
+            .withColumn("_bin", F.floor(F.col("_order") / (1 + F.col("_order")) * BINS).cast("long"))
+        )
+
+    numbers = rated(narrow)
     # A source's whole copies and bins of the order, summed map-side; the window runs over at most BINS + 1 rows a source.
-    bins = rated.groupBy("_key", "_bin").agg(F.sum(F.col("copies") * F.col("size")).alias("base"), F.sum("size").alias("step"), F.first("target").alias("target"))
+    bins = numbers.groupBy("_key", "_bin").agg(F.sum(F.col("copies") * F.col("size")).alias("base"), F.sum("size").alias("step"), F.first("target").alias("target"))
     ordered = W.Window.partitionBy("_key").orderBy("_bin").rowsBetween(W.Window.unboundedPreceding, -1)
     bins = bins.withColumns({
         "_left": F.round("target").cast("long") - F.sum("base").over(W.Window.partitionBy("_key")),
@@ -149,13 +155,13 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     # The bin in which the running sum passes what is left; beyond every bin if it never does.
     cut = bins.groupBy("_key").agg(F.max("_left").alias("_left"), F.max(F.when(F.col("_bin").isNotNull() & (F.col("_before") <= F.col("_left")), F.struct("_bin", "_before"))).alias("_at"))
     cut = cut.select("_key", "_left", F.col("_at._bin").alias("_cut"), F.coalesce(F.col("_at._before"), F.lit(0)).alias("_before"))
-    marked = rated.join(hint(cut), "_key")
-    inside = marked.where(F.col("_bin") == F.col("_cut"))
+    cut = settled(cut)
+    inside = numbers.join(hint(cut), "_key").where(F.col("_bin") == F.col("_cut"))
     ranked = inside.groupBy("_key", "_order").agg(F.sum("size").alias("step"), F.first("_left").alias("_left"), F.first("_before").alias("_before"))
     ranked = ranked.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("step").over(W.Window.partitionBy("_key").orderBy("_order").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
     # The last value of the order that still gets words, and how many of its step.
     last = ranked.where(F.col("_sum") < F.col("_left")).groupBy("_key").agg(F.max(F.struct("_order", F.least("step", F.col("_left") - F.col("_sum")).alias("give"), "step")).alias("_last"))
-    out = marked.join(hint(last), "_key", "left")
+    out = rated(rows).join(hint(cut), "_key").join(hint(settled(last)), "_key", "left")
     edge = F.col("_last._order")
     more = (
         F.when(F.col("_bin").isNull() | F.col("_cut").isNull(), 0)
