@@ -7,14 +7,18 @@ cuts the lineage.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from floorloom.functions.geometry import positive
 from floorloom.operators.connectivity import components
-from floorloom.plans.recovery import settled
+from floorloom.plans.recovery import settled, small
 
+#: Metres beyond which the search for the nearest node meets all nodes of a floor: more than the earth's girth.
+FAR = 1e8
 #: Modes that each profile may use (fixed values).
 PROFILES = {"default": ("elevator", "pathway", "stairs"), "elevator_only": ("elevator", "pathway")}
 
@@ -157,17 +161,60 @@ def contracted(edges: DataFrame, boundary: DataFrame) -> DataFrame:
     return merged.join(outer, "chain", "left")
 
 
+def _met(points: DataFrame, nodes: DataFrame, radius: float | None, on: str) -> DataFrame:
+    """unit_id, b (d, k, node_id): the nearest node of the level at most ``radius`` away (6 places), of points that have one; None: at any distance.
+
+    A point looks into the nine grid cells around it, each a little wider than the radius, so that what rounds to it is found too.
+    """
+    n = nodes.select(F.col(on).alias("_l"), "node_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    p = points.select("unit_id", on, "x", "y")
+    same = F.col(on) == F.col("_l")
+    if radius is not None:
+        cell = lambda c: F.floor(F.col(c) / (radius + 1e-5)).cast("double")
+        around = F.array(*map(F.lit, (-1.0, 0.0, 1.0)))
+        n = n.withColumns({"cx": cell("nx"), "cy": cell("ny")})
+        p = p.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumns({"gx": cell("x") + F.col("_dx"), "gy": cell("y") + F.col("_dy")})
+        same = same & (F.col("gx") == F.col("cx")) & (F.col("gy") == F.col("cy"))
+    met = p.join(n, same).withColumn("d", F.round(F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")), 6))
+    met = met if radius is None else met.where(F.col("d") <= radius)
+    return met.groupBy("unit_id").agg(F.min(F.struct("d", F.col("node_id").cast("string").alias("k"), "node_id")).alias("b"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows with finite coordinates."""
+    return rows.where(F.hypot("x", "y") < float("inf"))
+
+
+def anchors(points: DataFrame, nodes: DataFrame, limit: float, on: str = "level_id") -> DataFrame:
+    """unit_id, node_id, eligible: the nearest node of the same level at most ``limit`` away; null and not eligible where there is none."""
+    found = _met(_placed(points), _placed(nodes), limit, on)
+    return points.select("unit_id").distinct().join(found, "unit_id", "left").select("unit_id", F.col("b.node_id").alias("node_id"), F.col("b").isNotNull().alias("eligible"))
+
+
 def nearest(points: DataFrame, nodes: DataFrame, limit: float, on: str = "level_id") -> DataFrame:
     """Nearest node of the same level for every point (unit_id, level, x, y): node_id, distance (6 places), eligible, reason.
 
-    Ties go to the smaller node key as text.  Points without a node on their level are kept.
+    Ties go to the smaller node key as text.  Points without a node on their level are kept, and those without finite coordinates, which are too
+    far from any; nodes without are none.  Points look into grid cells of the limit's size; those that find nothing look into cells four times as
+    wide, and so on, so that a point meets the nodes around it and not its whole floor.  Only what is left beyond ``FAR`` does.
     """
-    met = points.join(nodes.select(F.col(on).alias("_l"), "node_id", F.col("x").alias("nx"), F.col("y").alias("ny")), F.col(on) == F.col("_l"), "left")
-    away = F.round(F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny")), 6)
-    best = met.groupBy("unit_id").agg(F.min(F.when(F.col("node_id").isNotNull(), F.struct(away.alias("d"), F.col("node_id").cast("string").alias("k"), "node_id"))).alias("b"))
+    nodes = _placed(nodes)
+    levels = small(nodes.select(F.col(on).alias("_l")).distinct().withColumn("_has", F.lit(True)))
+    known = points.join(levels, F.col(on) == F.col("_l"), "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
+    rest = settled(_placed(known.where("_has")).select("unit_id", on, "x", "y"))
+    radius, rounds = max(limit, 1.0), []
+    while not rest.isEmpty():
+        rounds.append(settled(_met(rest, nodes, radius if radius < FAR else None, on)))
+        rest = settled(rest.join(rounds[-1].select("unit_id"), "unit_id", "left_anti"))
+        radius *= 4
+    out = known.groupBy("unit_id").agg(F.max("_has").alias("_has"))
+    if rounds:
+        out = out.join(functools.reduce(DataFrame.union, rounds).groupBy("unit_id").agg(F.min("b").alias("b")), "unit_id", "left")
+    else:
+        out = out.withColumn("b", F.lit(None).cast(f"struct<d:double,k:string,node_id:{dict(nodes.dtypes)['node_id']}>"))
     eligible = F.coalesce(F.col("b.d") <= limit, F.lit(False))
-    reason = F.when(F.col("b").isNull(), "no_node_on_level").when(~eligible, "too_far").otherwise("ok")
-    return best.select("unit_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("distance"), eligible.alias("eligible"), reason.alias("reason"))
+    reason = F.when(~F.col("_has"), "no_node_on_level").when(~eligible, "too_far").otherwise("ok")
+    return out.select("unit_id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("distance"), eligible.alias("eligible"), reason.alias("reason"))
 
 
 def within(points: DataFrame, nodes: DataFrame, radius: float, on: str = "level_id") -> DataFrame:

@@ -28,7 +28,7 @@ def _arcs(v):
 
 
 def _anchors(v):
-    return graph.nearest(v.unit, v.node, _LIMIT)
+    return graph.anchors(v.unit, v.node, _LIMIT)
 
 
 def _labels(v):
@@ -94,7 +94,7 @@ def _(v):
 @query("c7_nearest_anchor", f"WITH {_ANCHOR} SELECT * FROM anchor")
 def _(v):
     """Nearest node of each unit, with its eligibility."""
-    return _anchors(v)
+    return graph.nearest(v.unit, v.node, _LIMIT)
 
 
 @query("c8_transition_nodes", "SELECT DISTINCT src AS node FROM v_feature WHERE mode <> 'pathway' UNION SELECT dst FROM v_feature WHERE mode <> 'pathway'")

@@ -2,6 +2,7 @@
 
 import random
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,35 @@ def test_within_is_inclusive(spark):
 LINES = f"feature_id string, level_id string, geometry {G.LINE}, length_3d double"
 
 
+def test_nearest_against_brute_force(spark):
+    """Ties, units on a cell's border, far away, twice, without coordinates and on floors without nodes."""
+    deal = random.Random(5)
+    spot = lambda: (deal.randrange(-40, 40) / 2.0, deal.randrange(-40, 40) / 2.0)
+    units = [(i, i % 3, *spot()) for i in range(150)] + [(150, 0, 9000.0, -70000.0), (151, 1, 3e9, 0.0), (152, 0, None, 1.0), (153, 1, float("nan"), 1.0), (154, 1, float("inf"), 1.0), (0, 0, 2.5, 2.5), (155, None, 1.0, 1.0), (156, 1, 30.0, 0.0)]
+    nodes = [(i, i % 2, *spot()) for i in range(30)] + [(30, 2, None, 0.0), (31, 2, 0.0, float("nan")), (32, 1, 20.0, 0.0)]
+    expected = {}
+    for unit, level, x, y in units:
+        there = [n for n in nodes if n[1] == level and n[2] is not None and not math.isnan(n[3])]
+        placed = x is not None and math.isfinite(x)
+        best = min(((round(math.hypot(x - n[2], y - n[3]), 6), str(n[0]), n[0]) for n in there), default=None) if placed else None
+        had = expected.get(unit)
+        has = bool(there) or (had is not None and had[0])
+        expected[unit] = (has, min((b for b in (best, had and had[1]) if b), default=None))
+    rows = spark.createDataFrame(units, "unit_id long, level_id int, x double, y double"), spark.createDataFrame(nodes, "node_id long, level_id int, x double, y double")
+    reason = lambda has, b: "no_node_on_level" if not has else "ok" if b and b[0] <= 10 else "too_far"
+    found = {r["unit_id"]: (r["node_id"], r["distance"], r["eligible"], r["reason"]) for r in graph.nearest(*rows, 10.0).collect()}
+    assert found == {u: (b and b[2], b and b[0], bool(b) and b[0] <= 10, reason(has, b)) for u, (has, b) in expected.items()}
+    assert {"ok", "too_far", "no_node_on_level"} == {f[3] for f in found.values()}
+    near = {r["unit_id"]: (r["node_id"], r["eligible"]) for r in graph.anchors(*rows, 10.0).collect()}
+    assert near == {u: (f[0] if f[2] else None, f[2]) for u, f in found.items()}
+
+
+def test_nearest_of_nothing(spark):
+    units, nodes = spark.createDataFrame([(1, 1, 0.0, 0.0)], "unit_id long, level_id int, x double, y double"), spark.createDataFrame([], "node_id long, level_id int, x double, y double")
+    assert [tuple(r) for r in graph.nearest(units, nodes, 10.0).collect()] == [(1, None, None, False, "no_node_on_level")]
+    assert graph.nearest(units.limit(0), nodes, 10.0).count() == 0
+
+
 def test_noding_cuts_at_a_junction(spark):
     df = spark.createDataFrame([("1", "L", line((0, 0, 0), (1, 0, 0), (2, 0, 0)), 2.0), ("2", "L", line((1, 0, 0), (1, 1, 0)), 1.0), ("3", "M", line((1, 0, 0), (5, 5, 0)), 6.4)], LINES)
     pieces = {r["piece_id"]: r["length_3d"] for r in topology.noded(df).collect()}
