@@ -213,15 +213,19 @@ doc AS (SELECT p.profile, '{{"different":[' || (SELECT min(o) || ',' || arg_min(
         FROM profs p LEFT JOIN iso ON iso.profile = p.profile)
 SELECT profile, body, sha256(body) AS digest FROM doc""")
 def _(v):
-    """Evidence of a build per profile, with its own digest: a connected and an unconnected pair of units, and the nodes without an arc."""
+    """Evidence of a build per profile, with its own digest: a connected and an unconnected pair of units, and the nodes without an arc.
+
+    Every profile has a row; the body of one without either pair is null, as nothing proves it.
+    """
     pairs = graph.first_pairs(_labels(v).select("profile", "unit_id", "rid"))
     pair = lambda kind: F.max(F.when(F.col("outcome") == kind, F.concat_ws(",", F.col("o").cast("string"), F.col("d").cast("string")))).alias(kind)
     both = pairs.groupBy("profile").agg(pair("same"), pair("different"))
     used = _arcs(v).select("profile", F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    alone = v.node.select("node_id").crossJoin(F.broadcast(v.spark.createDataFrame([(p,) for p in graph.PROFILES], "profile string"))).join(used, ["profile", "node_id"], "left_anti")
+    profiles = v.spark.createDataFrame([(p,) for p in graph.PROFILES], "profile string")
+    alone = v.node.select("node_id").crossJoin(F.broadcast(profiles)).join(used, ["profile", "node_id"], "left_anti")
     alone = alone.groupBy("profile").agg(F.array_join(F.array_sort(F.collect_list(F.col("node_id").cast("string"))), ",").alias("ids"))
     body = F.concat(F.lit('{"different":['), "different", F.lit('],"isolated":['), F.coalesce("ids", F.lit("")), F.lit('],"profile":"'), "profile", F.lit('","same":['), "same", F.lit("]}"))
-    rows = both.join(alone, "profile", "left").withColumn("body", body)
+    rows = profiles.join(both, "profile", "left").join(alone, "profile", "left").withColumn("body", body)
     return rows.select("profile", "body", F.sha2("body", 256).alias("digest"))
 
 
