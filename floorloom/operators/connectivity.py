@@ -20,12 +20,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     Edges with a null end are no edges; loops make a component of one node.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    loops = pairs.where("u = v").select(F.col("u").alias("node"))
-    held = settled(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = held.count()
+    # Loops are settled with the edges, so that what makes the edges runs once.
+    held = settled(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = held.agg(F.count_if(F.col("u") != F.col("v")), F.count_if(F.col("u") == F.col("v"))).first()
+    loops = held.where("u = v").select(F.col("u").alias("node")) if mark[1] else None
+    held = held.where("u <> v")
     while True:
         # Edges are few bytes: few of them need few tasks, whatever the session's number of shuffle partitions.
-        n = max(1, -(-(mark if isinstance(mark, int) else mark[0]) // ROWS))
+        n = max(1, -(-mark[0] // ROWS))
         held = held.coalesce(n)
         both = held.union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -41,5 +43,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         mark = now
     roots = held.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     found = held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-    alone = loops.distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    if loops is None:
+        return found
+    alone = loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
     return found.union(alone)

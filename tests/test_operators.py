@@ -97,6 +97,22 @@ def test_components(spark):
     assert found[3] == 1 and found[6] == 5 and found[7] == 7 and found[140] == 100 and len(found) == 3 + 2 + 1 + 41
 
 
+def test_components_make_their_edges_once(spark):
+    """Loops, alone and beside other edges, out of a table that counts how often its rows are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(1, 1), (2, 2), (2, 2), (3, 2), (5, 4), (4, 6), (6, 6), (9, 9), (None, 7), (7, None)]
+    edges = spark.createDataFrame(rows, "src long, dst long").mapInArrow(counted, "src long, dst long")
+    found = sorted((r["node"], r["component"]) for r in components(edges).collect())
+    assert found == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 4), (6, 4), (9, 9)]
+    assert made.value == len(rows)
+
+
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
