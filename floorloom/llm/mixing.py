@@ -9,8 +9,9 @@ documents), written once, and sends the next multipliers to all tasks.  No task
 
 Rates become copies by order sampling: a document has its rate's whole part for certain, and documents are given one
 more in the order of ``u / fraction`` (u: a hash of the id) until the source's target is reached; inclusion
-follows the fractions, reruns agree, and no random state is kept.  The cut is found in a histogram of that order, so
-only one bin of a source is ever ranked.  The document at the cut gives a part of a copy, so that the source meets its
+follows the fractions, reruns agree, and no random state is kept.  The cut is found in a histogram of that order, coarse bins
+first and then the fine ones of the coarse bin at the cut: at most ``COARSE + 1`` rows of a source are ordered at once, and of
+its documents only those in one of ``COARSE ** 2`` bins.  The document at the cut gives a part of a copy, so that the source meets its
 target to the word.  Every document's words taken are at most ``most`` times its size.
 
 Null or empty texts have size 0 and are taken 0 times.  Sources are ordered by code point, null last, and null is a
@@ -31,7 +32,9 @@ from pyspark.sql import window as W
 from floorloom.plans.recovery import settled
 
 WEIGHTS, MOST = (5, 2, 1), 3
-BINS = 1 << 16
+#: Bins of the order in each of two steps, as a power of two.
+STEP = 10
+COARSE = 1 << STEP
 #: Sources up to which their plan is sent to all tasks; beyond, it is joined by key.
 FEW = 4096
 
@@ -141,21 +144,28 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
             .withColumns({"copies": F.floor("rate").cast("long"), "_part": F.col("rate") - F.floor("rate")})
             .withColumn("_order", F.when((F.col("_part") > 1e-12) & (F.col("size") > 0), F.col("_unit") / F.col("_part")))
             # u / fraction is mostly below 1, with a tail; this brings it into 0..1 and keeps the order.
-            .withColumn("_bin", F.floor(F.col("_order") / (1 + F.col("_order")) * BINS).cast("long"))
+            .withColumn("_bin", F.floor(F.col("_order") / (1 + F.col("_order")) * (COARSE * COARSE)).cast("long"))
         )
 
     numbers = rated(narrow)
-    # A source's whole copies and bins of the order, summed map-side; the window runs over at most BINS + 1 rows a source.
-    bins = numbers.groupBy("_key", "_bin").agg(F.sum(F.col("copies") * F.col("size")).alias("base"), F.sum("size").alias("step"), F.first("target").alias("target"))
-    ordered = W.Window.partitionBy("_key").orderBy("_bin").rowsBetween(W.Window.unboundedPreceding, -1)
-    bins = bins.withColumns({
-        "_left": F.round("target").cast("long") - F.sum("base").over(W.Window.partitionBy("_key")),
-        "_before": F.coalesce(F.sum(F.when(F.col("_bin").isNotNull(), F.col("step"))).over(ordered), F.lit(0)),
-    })
-    # The bin in which the running sum passes what is left; beyond every bin if it never does.
-    cut = bins.groupBy("_key").agg(F.max("_left").alias("_left"), F.max(F.when(F.col("_bin").isNotNull() & (F.col("_before") <= F.col("_left")), F.struct("_bin", "_before"))).alias("_at"))
-    cut = cut.select("_key", "_left", F.col("_at._bin").alias("_cut"), F.coalesce(F.col("_at._before"), F.lit(0)).alias("_before"))
-    cut = settled(cut)
+    ordered = W.Window.partitionBy("_key").orderBy("_place").rowsBetween(W.Window.unboundedPreceding, -1)
+
+    def passed(bins: DataFrame) -> DataFrame:
+        """The place of every source at which the sum of the steps passes what is left, beyond all if it never does, and the sum before it."""
+        step = F.when(F.col("_place").isNotNull(), F.col("step"))
+        bins = bins.withColumn("_sum", F.col("_before") + F.coalesce(F.sum(step).over(ordered), F.lit(0)))
+        at = F.max(F.when(F.col("_place").isNotNull() & (F.col("_sum") <= F.col("_left")), F.struct("_place", "_sum")))
+        found = bins.groupBy("_key").agg(F.max("_left").alias("_left"), at.alias("_at"))
+        return found.select("_key", "_left", F.col("_at._place").alias("_cut"), F.coalesce(F.col("_at._sum"), F.lit(0).cast("long")).alias("_before"))
+
+    # Words that whole copies leave, and the coarse bins, summed map-side.
+    bins = numbers.groupBy("_key", F.shiftright("_bin", STEP).alias("_place")).agg(F.sum(F.col("copies") * F.col("size")).alias("base"), F.sum("size").alias("step"), F.first("target").alias("target"))
+    left = F.round("target").cast("long") - F.sum("base").over(W.Window.partitionBy("_key"))
+    coarse = settled(passed(bins.withColumns({"_left": left, "_before": F.lit(0).cast("long")})))
+    # The fine bins of the coarse one at the cut.
+    fine = numbers.join(hint(coarse), "_key").where(F.shiftright("_bin", STEP) == F.col("_cut"))
+    fine = fine.groupBy("_key", F.col("_bin").alias("_place")).agg(F.sum("size").alias("step"), F.first("_left").alias("_left"), F.first("_before").alias("_before"))
+    cut = settled(coarse.select("_key", "_left").join(hint(passed(fine).drop("_left")), "_key", "left"))
     inside = numbers.join(hint(cut), "_key").where(F.col("_bin") == F.col("_cut"))
     ranked = inside.groupBy("_key", "_order").agg(F.sum("size").alias("step"), F.first("_left").alias("_left"), F.first("_before").alias("_before"))
     ranked = ranked.withColumn("_sum", F.col("_before") + F.coalesce(F.sum("step").over(W.Window.partitionBy("_key").orderBy("_order").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))

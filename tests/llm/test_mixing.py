@@ -1,6 +1,7 @@
 """Source mixing: targets, the dual and the rounding."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from floorloom.llm import mixing
 
@@ -59,6 +60,28 @@ def test_sources_meet_their_targets(spark):
     assert len(parts) <= len(per) + 1  # whole copies but for the one at each cut
 
 
+def test_words_are_those_of_the_order(spark):
+    """All words taken against a plain walk along each source's order; the cut also falls into coarse bins with several fine ones."""
+    df = documents(spark, 3000)
+    unit = (F.xxhash64(F.col("doc_id").cast("string"), F.lit(97)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float(1 << 52)
+    out = mixing.mix(df).withColumn("unit", unit).toPandas()
+    for _, group in out.groupby(out["source"].fillna("~")):
+        whole = np.floor(group["rate"]).astype(int)
+        part = group["rate"] - whole
+        left = round(group["target"].iloc[0]) - (whole * group["size"]).sum()
+        want = whole * group["size"]
+        open_ = group[(part > 1e-12) & (group["size"] > 0)]
+        order = open_["unit"] / part[open_.index]
+        for at in np.sort(order.unique()):
+            tied = open_[order == at]
+            give = min(left, tied["size"].sum())
+            if give <= 0:
+                break
+            want[tied.index] += give * tied["size"] // tied["size"].sum()
+            left -= give
+        assert (want == group["taken"]).all()
+
+
 def test_reruns_agree(spark):
     a, b = (sorted((str(r["doc_id"]), r["taken"]) for r in mixing.mix(documents(spark).repartition(k)).collect()) for k in (1, 5))
     assert a == b
