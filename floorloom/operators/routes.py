@@ -137,7 +137,8 @@ def guidance(edges: DataFrame, ends: DataFrame, levels: DataFrame, nodes: DataFr
     n = F.size("geometry")
     pairs = F.zip_with(F.slice("geometry", 1, n - 1), F.slice("geometry", 2, n - 1), lambda a, b: F.struct((b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy")))
     lengths = G.segment_lengths(F.col("geometry"))
-    legs = rows.where(walk).select("route", "status", "_run", "_level", "occurrence", F.posexplode(F.arrays_zip(pairs.alias("m"), F.transform(lengths, lambda x: x * F.col("length_3d") / F.col("measured")).alias("l"))).alias("k", "s"))
+    # A line without length has no shares; its route is limited.
+    legs = rows.where(walk).select("route", "status", "_run", "_level", "occurrence", F.posexplode(F.arrays_zip(pairs.alias("m"), F.transform(lengths, lambda x: F.try_divide(x * F.col("length_3d"), F.col("measured"))).alias("l"))).alias("k", "s"))
     legs = legs.select("route", "status", "_run", "_level", (F.col("occurrence").cast("long") * (1 << 20) + F.col("k")).alias("pos"), "s.m.dx", "s.m.dy", F.col("s.l").alias("length"))
     limited = F.col("status") == "limited"
     turned = walk_steps(legs.where(~limited), "route", "_run", "_level").select("route", "_run", "_level", "step", "act", F.col("length").alias("distance_m"))

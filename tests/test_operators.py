@@ -297,6 +297,15 @@ def test_guidance_is_limited_by_weights(spark, weight):
     assert [r["instruction"] for r in steps.where("kind = 'walk'").collect()] == ["Follow the highlighted route."]
 
 
+def test_guidance_of_a_line_without_length(spark):
+    """Two equal vertices were an error: a division by their distance."""
+    still = ("r", 1, "pathway", "L1", None, None, "b", "b", line((3, 4, 0), (3, 4, 0)), 0.0, "s")
+    docs, steps = guided(spark, [BEND, still])
+    assert (docs.first()["status"], docs.first()["distance_m"], docs.first()["warnings"]) == ("limited", None, [routes.LENGTHS])
+    rows = sorted(steps.collect(), key=lambda r: int(r["step_id"].split("-")[1]))
+    assert [(r["kind"], r["action"], r["instruction"], r["distance_m"]) for r in rows[1:-1]] == [("walk", "continue", "Follow the highlighted route.", None)]
+
+
 def test_guidance_refusals(spark):
     docs, steps = guided(spark, [BEND[:8] + (None, 7.0, "e")])
     assert (docs.first()["status"], docs.first()["warnings"], steps.count()) == ("unavailable", [routes.REFUSALS["geometry"]], 0)
