@@ -58,3 +58,11 @@ def test_safe_cells_of_many_customers(spark, tmp_path):
     con.sql(f"CREATE OR REPLACE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     found = spark_rows(catalogue.QUERIES["g15_safe_cells"](spark, str(tmp_path)))
     assert found == duck_rows(con, catalogue.ORACLES["g15_safe_cells"]) and len(found[1]) == 266
+
+
+def test_guidance_of_repeated_events(spark, tmp_path):
+    """Events of which every one comes twice: lines without length were a division by zero."""
+    spark.read.parquet(f"{SF}/events.parquet").selectExpr("explode(array(event_id, event_id + 1000000)) AS event_id", "* EXCEPT (event_id)").write.parquet(f"{tmp_path}/events.parquet")
+    own = database(SF)
+    own.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert spark_rows(catalogue.QUERIES["k1_guidance_documents"](spark, str(tmp_path))) == duck_rows(own, catalogue.ORACLES["k1_guidance_documents"])
