@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorloom.llm import text
-from floorloom.llm.local import reached
+from floorloom.llm.local import lean, reached
 from floorloom.operators.connectivity import components
 from floorloom.plans.recovery import settled, small
 
@@ -202,7 +202,7 @@ def sketch(documents: DataFrame, width: int = WIDTH, link: int = LINK) -> DataFr
 
     import pyarrow.compute  # noqa: F401  pa.compute for the executors' closure
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +222,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, link: int) -> DataFrame:
             ok = likely(batch.column("n_u").to_numpy(), batch.column("n_v").to_numpy(), *_counts(a, b), link / 100)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(run, "u long, v long").distinct()
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def _elements(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -238,7 +238,7 @@ def _elements(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     raw = np.ascontiguousarray(found, np.uint64).tobytes()
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, z - a), pa.array([raw[16 * i : 16 * j] for i, j in zip(at[:-1], at[1:])], pa.binary())], names=["id", "elements"])
 
-    return documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").mapInArrow(run, "id long, elements binary")
+    return documents.select("doc_id", "text").join(small(wanted), "doc_id", "left_semi").mapInArrow(lean(run), "id long, elements binary")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, link: int, width: int) ->
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
     of = lambda x: made.select(F.col("id").alias(x), F.col("elements").alias("e" + x))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "eu", "ev").mapInArrow(compare, "u long, v long").distinct()
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "eu", "ev").mapInArrow(lean(compare), "u long, v long").distinct()
 
 
 def shared_elements(left: list[np.ndarray], right: list[np.ndarray], block: int = 8192) -> np.ndarray:
@@ -325,7 +325,7 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
             out += [left[met], right[hit]] if i != j else [left[met]]
         return pd.concat(out)[["clump", "i", "j", "own", "doc_id", "label"]]
 
-    needed = settled(rows.join(involved, "doc_id").withColumn("g", group).repartition(groups, "g").groupBy("g").applyInPandas(plausible, place))
+    needed = settled(rows.join(involved, "doc_id").withColumn("g", group).repartition(groups, "g").groupBy("g").applyInPandas(lean(plausible), place))
     if needed.isEmpty():
         return none
     made = _elements(documents, needed.select("doc_id").distinct(), width)
@@ -348,7 +348,7 @@ def _between(members: DataFrame, hubs: DataFrame, labels: DataFrame, involved: D
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["src", "dst"])
 
     ready = needed.join(made, F.col("doc_id") == F.col("id")).withColumn("g", group).repartition(groups, "g")
-    return ready.groupBy("g").applyInPandas(exact, "src long, dst long")
+    return ready.groupBy("g").applyInPandas(lean(exact), "src long, dst long")
 
 
 def near_duplicates(documents: DataFrame, link: int = LINK, width: int = WIDTH) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorloom.llm import text
+from floorloom.llm.local import lean
 from floorloom.plans.sampling import sampled
 
 LENGTH, GRAM = 50, 24
@@ -346,9 +347,9 @@ def dedup(documents: DataFrame, length: int = LENGTH, texts: bool = False) -> Da
             columns["text"] = pa.array([k if v else None for k, v in zip(kept, whole.is_valid().to_pylist())], kind)
         return pa.table(columns | {"n_bytes": pa.array(np.diff(b.off)), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array(digests, pa.string())})
 
-    first = dealt.groupBy(_KEY).applyInArrow(ask_marks, _MESSAGE).groupBy("bucket").applyInArrow(tell_marks, _MESSAGE)
-    second = dealt.groupBy(_KEY).cogroup(first.groupBy("block")).applyInArrow(ask_ranges, _MESSAGE).groupBy("bucket").applyInArrow(tell_ranges, _MESSAGE)
-    return dealt.groupBy(_KEY).cogroup(first.union(second).groupBy("block")).applyInArrow(remove, schema)
+    first = dealt.groupBy(_KEY).applyInArrow(lean(ask_marks), _MESSAGE).groupBy("bucket").applyInArrow(lean(tell_marks), _MESSAGE)
+    second = dealt.groupBy(_KEY).cogroup(first.groupBy("block")).applyInArrow(lean(ask_ranges), _MESSAGE).groupBy("bucket").applyInArrow(lean(tell_ranges), _MESSAGE)
+    return dealt.groupBy(_KEY).cogroup(first.union(second).groupBy("block")).applyInArrow(lean(remove), schema)
 
 
 #: DuckDB: every window of 50 bytes of every document.

@@ -17,13 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from floorloom.llm import text
+from floorloom.llm.local import lean
 from floorloom.plans.sampling import sampled
 
 BITS = 20
@@ -80,18 +80,22 @@ def fit(documents: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int
     # One row per id, so that a repeated id does not exceed the bound.
     sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("r")).select("doc_id", "r.text", "r.y", F.lit(1).alias("one"))
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(text=pdf["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable")
+    def learn(table: pa.Table) -> pa.Table:
+        # Large: together the texts may exceed the offsets of a string column.
+        table = table.set_column(table.schema.get_field_index("text"), "text", table.column("text").cast(pa.large_string())).sort_by("doc_id")
+        y = table.column("y").to_numpy()
+        data, off = text.buffers(table.column("text"))
+        del table
         coords = []
-        data, off = text.buffers(pa.array(pdf["text"], pa.large_string()))
         for lo, hi, part, cut in text.slices(data, off):
             rows, at = features(part, cut, bits)
             pairs = np.unique(rows << bits | at)
-            coords += np.split(pairs & ((1 << bits) - 1), np.searchsorted(pairs >> bits, np.arange(1, hi - lo)))
-        at, w, bias = train(coords, pdf["y"].to_numpy(), bits)
-        return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w, bias)})
+            # All coordinates are held at once, in half the bytes.
+            coords += np.split((pairs & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(pairs >> bits, np.arange(1, hi - lo)))
+        at, w, bias = train(coords, y, bits)
+        return pa.table({"at": np.append(at, -1), "w": np.append(w, bias)})
 
-    model = sample.groupBy("one").applyInPandas(learn, "at long, w double").toPandas()  # at most 2**bits + 1 rows
+    model = sample.groupBy("one").applyInArrow(lean(learn), "at long, w double").toPandas()  # at most 2**bits + 1 rows
     at, w = model["at"].to_numpy(np.int64), model["w"].to_numpy(np.float64)
     bias = w[at < 0]
     return at[at >= 0], w[at >= 0], float(bias[0]) if len(bias) else 0.0
@@ -121,4 +125,4 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bit
             out = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)
